@@ -98,7 +98,7 @@ def sentences(text: Column) -> Column:
     body = F.regexp_replace(F.coalesce(text, F.lit("")), WRAP, "$1 $2")
     body = F.translate(body, UPPER + "\x01", LOWER + " ")
     body = F.regexp_replace(F.regexp_replace(body, END, "\x01"), OTHER, " ")
-    return F.filter(F.transform(F.split(body, "\x01"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(body, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def find(docs: DataFrame) -> DataFrame:
