@@ -51,12 +51,15 @@ def unpack(b: bytes, dtype, ascending: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=kind) if ascending and len(a) else a
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, text as bytes (null: empty) and chunk: a number that deals rows evenly over chunks of about chunk_bytes."""
+def chunked(docs: DataFrame, *more, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """doc_id, text as bytes (null: empty), columns more, and chunk, which deals rows evenly over chunks of about chunk_bytes.
+
+    Rows equal in doc_id and text share a chunk. The second result is the number of chunks.
+    """
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // chunk_bytes))
     body = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", body.cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id", body), F.lit(n)).cast("int").alias("chunk"))
+    return docs.select("doc_id", body.cast("binary").alias("text"), *more, F.pmod(F.xxhash64("doc_id", body), F.lit(n)).cast("int").alias("chunk")), n
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,3 +69,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x81DADEF4BC2DD44D)
     return h ^ (h >> np.uint64(33))
+
+
+def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that keeps rows of a bucket together, as they came, and where each bucket ends."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n), side="right")
