@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, packing, rans, secrets, simhash
+from . import decontaminate, language, licences, packing, quality, rans, repeats, secrets, simhash, suffix_tree
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_tree": suffix_tree.op1_suffix_tree,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_simhash": simhash.op3_simhash,
         "op4_pack": packing.op4_pack,
         "op5_rans": rans.op5_rans,
         "op6_licences": licences.op6_licences,
+        "op7_repeats": repeats.op7_repeats,
         "op8_secrets": secrets.op8_secrets,
+        "op9_language": language.op9_language,
+        "op10_quality": quality.op10_quality,
     }
 
 

@@ -148,18 +148,18 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """All columns of docs and secret_spans: (start, ord, stop, kind), ordered; offsets are code points, stops exclusive."""
+    """All columns of docs and __spans: (start, ord, stop, kind), ordered; offsets are code points, stops exclusive."""
     grams, masks = _queries(rules)
     body = F.coalesce(F.col("text"), F.lit(""))
-    low = docs.withColumn("low_", F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    words = {f"post_{k}_": w for k, w in enumerate(postings(F.col("low_"), grams))}
-    low = low.withColumns(words).drop("low_")
+    low = docs.withColumn("__low", F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = {f"__post_{k}": w for k, w in enumerate(postings(F.col("__low"), grams))}
+    low = low.withColumns(words).drop("__low")
     none = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")
     found = []
     for k, r in enumerate(rules):
         maybe = candidate([F.col(w) for w in words], masks[r.kind]) if masks[r.kind] else F.lit(True)
         found.append(F.when(maybe & body.rlike(r.pattern), _spans(body, r, k)).otherwise(none))
-    return low.withColumn("secret_spans", F.array_sort(F.concat(*found))).drop(*words)
+    return low.withColumn("__spans", F.array_sort(F.concat(*found))).drop(*words)
 
 
 def _joined(spans: Column) -> Column:
@@ -168,7 +168,7 @@ def _joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Per row: doc_id, counts of the base kinds, digest of the base spans, all spans."""
-    s, base = F.col("secret_spans"), [k for k, r in enumerate(rules) if r.base]
+    s, base = F.col("__spans"), [k for k, r in enumerate(rules) if r.base]
     count = lambda kind: F.size(F.filter(s, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return with_spans(docs.select("doc_id", "text"), rules).select("doc_id", *(count(rules[k].kind) for k in base), F.sha2(_joined(F.filter(s, lambda x: x["ord"].isin(*base))), 256).alias("base_sha256"), _joined(s).alias("spans"))
 
@@ -181,8 +181,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: list[Rule] = RULES)
         gap = F.when(x["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], gap).alias("out")).cast(kind)
 
-    text = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length(F.col("text")))))
-    return with_spans(docs, rules).withColumn("text", F.when(F.size("secret_spans") > 0, text).otherwise(F.col("text"))).drop("secret_spans")
+    text = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length(F.col("text")))))
+    return with_spans(docs, rules).withColumn("text", F.when(F.size("__spans") > 0, text).otherwise(F.col("text"))).drop("__spans")
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

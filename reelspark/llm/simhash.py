@@ -40,22 +40,24 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """All columns of docs and fp, the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """All columns of docs and the fingerprint as a signed 64-bit integer."""
 
     def rows(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, size) for t in b["text_"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.drop_columns(["text_"]).columns, pa.array(fp)], [*b.drop_columns(["text_"]).schema.names, "fp"])
+            rest = b.drop_columns(["__text"])
+            fp = np.array([fingerprint(t, size) for t in b["__text"].to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(fp)], [*rest.schema.names, name])
 
-    schema = docs.withColumn("fp", F.lit(0).cast("long")).schema
-    return docs.withColumn("text_", F.col("text").cast("binary")).mapInArrow(rows, schema)
+    schema = docs.withColumn(name, F.lit(0).cast("long")).schema
+    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(rows, schema)
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
     """(64, tiles) words: bit j of word t of plane b is bit b of fingerprint 64 t + j."""
     bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 64, 64)
-    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0])
+    packed = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little"))
+    return np.ascontiguousarray(packed.view(np.uint64)[:, :, 0])
 
 
 def near(query: np.ndarray, tiles: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -253,15 +255,33 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, fp, fingerprint (hex) and component_id, the smallest doc_id reachable over links."""
-    kept = saved(fingerprints(docs.select("doc_id", "text"), size).select("doc_id", "fp"))
-    nodes = kept.groupBy("fp").agg(F.min("doc_id").alias("low"))
+def _ids(docs: DataFrame, size: int) -> DataFrame:
+    return fingerprints(docs.select("doc_id", "text"), size).select("doc_id", "fp")
+
+
+def groups(ids: DataFrame) -> DataFrame:
+    """fp, root and component_id of every distinct fingerprint of ids (doc_id, fp)."""
+    nodes = ids.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = saved(components(edges(nodes.select("fp"))))
     # rows of one fingerprint meet only after they were reduced to its smallest doc_id
     low = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    best = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return kept.join(best, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Per row: doc_id, fingerprint (hex), component_id, the smallest doc_id reachable over links, and fp, the number."""
+    ids = saved(_ids(docs, size))
+    return ids.join(groups(ids).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document of each group, all columns: the one with the smallest doc_id (null after all others)."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    ids = saved(_ids(docs, size))
+    best = ids.join(groups(ids), "fp").groupBy("root").agg(F.min(first).alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__best"))
+    rows = fingerprints(docs, size, "__fp")
+    stay = rows.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__best")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
