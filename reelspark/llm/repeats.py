@@ -37,6 +37,8 @@ LENGTH, ANCHOR = 100, 40
 SPREAD = LENGTH - ANCHOR + 1
 #: Places of one anchor (counted once a chunk and fragment) up to which its fragments meet in one bucket.
 HOT = 20_000
+#: Bytes of text in a chunk: hashing needs some 50 times as much memory for a moment.
+CHUNK = 4_000_000
 U = np.uint64
 
 
@@ -138,7 +140,9 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     for k in range(8):
         key = (key << U(8)) | padded[k : k + n]
     sa = np.argsort(key, kind="stable")
-    head = np.r_[True, key[sa][1:] != key[sa][:-1]]
+    key = key[sa]
+    head = np.r_[True, key[1:] != key[:-1]]
+    del key
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     group = np.flatnonzero(head)[np.cumsum(head) - 1]  # a suffix's rank is where its group starts
@@ -230,8 +234,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans, the removed byte ranges. doc_id: an integer."""
     import zstandard
 
-    parts, n_chunks = chunked(docs)
-    n = max(4, n_chunks // 3)
+    parts, n_chunks = chunked(docs, chunk_bytes=CHUNK)
+    n, n_cut = max(4, n_chunks // 6), max(4, 2 * n_chunks)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
@@ -287,7 +291,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 out.append(k)
         mark_doc, ms, me = c.doc_of(np.array(ms, np.int64)), np.array(ms, np.int64), np.array(me, np.int64)
         k = np.array(out, np.int64)
-        o, ends = by_bucket((mix(c.hash[k] + U(1)) % U(n)).astype(np.int64), n)
+        o, ends = by_bucket((mix(c.hash[k] + U(1)) % U(n_cut)).astype(np.int64), n_cut)
         for b, some in enumerate(np.split(k[o], ends[:-1])):
             if len(some):
                 d = c.doc_of(c.first[some])
@@ -303,13 +307,13 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             twice = starts[~new]
             mark_doc, ms, me = np.concatenate([mark_doc, c.doc_of(twice)]), np.concatenate([ms, twice]), np.concatenate([me, twice + LENGTH])
             h, starts = h[new], starts[new]
-            o, ends = by_bucket((mix(h[:, 1]) % U(n)).astype(np.int64), n)
+            o, ends = by_bucket((mix(h[:, 1]) % U(n_cut)).astype(np.int64), n_cut)
             for b, some in enumerate(np.split(o, ends[:-1])):
                 if len(some):
                     d = c.doc_of(starts[some])
                     rows.append((b, chunk, 2, packed(number[d], c.tie[d], d, starts[some] - c.start[d]), packed(h[some, 0].view(np.int64), h[some, 1].view(np.int64))))
         mark_doc, ms, me = merged(mark_doc, ms - c.start[mark_doc], me - c.start[mark_doc])
-        rows.append((chunk % n, chunk, 3, packed(mark_doc, ms, me), b""))
+        rows.append((chunk % n_cut, chunk, 3, packed(mark_doc, ms, me), b""))
         return table(rows)
 
     def marks(t: pa.Table) -> pa.Table:
