@@ -15,7 +15,7 @@ import numpy as np
 #: Tokenizer files by name; the folder is a parameter of the library that owns them.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that one generation of the memo holds; two generations are kept, so memory is bounded.
-MEMO = 400_000
+MEMO = 600_000
 
 _ODD = re.compile(r"\s\s|^\s|\s$|[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]|\x00")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,])")
@@ -27,7 +27,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(text: str) -> list[str]:
+_ODD_MARK, _CUT_MARK = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]|\x00"), re.compile(r"[ \n]|(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,])")
+
+
+def pieces(text: str, folds: bool = False) -> list[str]:
+    """folds: for tokenizers that lower-case and drop white space, A-Z is lower-cased and spaces and line feeds are left out."""
+    if folds:
+        text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        if _ODD_MARK.search(text):
+            return _CUT_MARK.split(text)
+        return text.replace(" ", "\0").replace("\n", "\0").replace(".", "\0.").replace(",", "\0,").split("\0")
     if _ODD.search(text):
         return _CUT.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
@@ -45,6 +54,7 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
+        self.folds = self._plain("A\nb c") == self._plain("a") + self._plain("b") + self._plain("c")
         self.between, self.mark = next((s, self._plain(s)[0]) for s in ("\n", " | ") if len(self._plain(s)) == 1)
 
     def _plain(self, text: str) -> list[int]:
@@ -59,9 +69,8 @@ class Encoder:
             ids = np.array(self._plain(self.between.join(part)), np.uint32)
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) == len(part) - 1:
-                self.young.update(zip(part, (x.tobytes() for x in np.split(ids, ends)), strict=True))
-                for p in part[1:]:
-                    self.young[p] = self.young[p][4:]
+                raw, begin = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+                self.young.update(zip(part, map(raw.__getitem__, map(slice, begin, [*(4 * ends).tolist(), len(raw)])), strict=True))
             else:
                 self.young.update((p, np.array(self._plain(p), np.uint32).tobytes()) for p in part)
         for p in set(new).difference(joined):
@@ -70,7 +79,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         for k in range(0, len(texts), 64):
-            cut = [pieces(t) if t else [] for t in texts[k : k + 64]]
+            cut = [pieces(t, self.folds) if t else [] for t in texts[k : k + 64]]
             if len(self.young) > self.memo:
                 self.young, self.old = {}, self.young
             young, old, new = self.young, self.old, []
