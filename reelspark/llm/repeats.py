@@ -59,7 +59,7 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
 class Chunk:
     """A chunk's distinct documents in order, and the runs of strings that share an anchor."""
 
-    def __init__(self, ids: list, texts: list[bytes]):
+    def __init__(self, ids: list, texts: list[bytes], hashed: bool = True):
         tie = [xxhash.xxh64_intdigest(t, 11) - (1 << 63) for t in texts]
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] if ids[k] is not None else 0, tie[k], texts[k]))
         self.rows: list[int] = [0] * len(ids)  # the document of each row
@@ -77,7 +77,7 @@ class Chunk:
         b = np.frombuffer(self.raw, np.uint8)
         self.first = self.last = self.anchor = np.zeros(0, np.int64)
         self.hash = np.zeros(0, U)
-        if len(b) < LENGTH:
+        if len(b) < LENGTH or not hashed:
             return
         h = gram_hashes(b)
         bits = max(24, len(h).bit_length())
@@ -239,8 +239,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
-    def of(t: pa.Table) -> Chunk:
-        return Chunk(t["doc_id"].to_pylist(), t["text"].to_pylist())
+    def of(t: pa.Table, hashed: bool = True) -> Chunk:
+        return Chunk(t["doc_id"].to_pylist(), t["text"].to_pylist(), hashed)
 
     def table(rows: list[tuple]) -> pa.Table:
         return pa.table({c: pa.array([r[k] for r in rows], k_) for k, (c, k_) in enumerate((("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("meta", pa.binary()), ("body", pa.binary())))})
@@ -363,7 +363,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         return table(out)
 
     def finish(t: pa.Table, marks: pa.Table) -> pa.Table:
-        c = of(t)
+        c = of(t, hashed=False)
         spans = np.concatenate([np.zeros((3, 0), np.int64), *(columns(m, 3) for m in marks["meta"].to_pylist())], axis=1)
         doc, s, e = merged(*spans)
         lo, hi = np.searchsorted(doc, np.arange(len(c.texts))), np.searchsorted(doc, np.arange(len(c.texts)), side="right")
