@@ -278,10 +278,11 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One document of each group, all columns: the one with the smallest doc_id (null after all others)."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     ids = saved(_ids(docs, size))
-    best = ids.join(groups(ids), "fp").groupBy("root").agg(F.min(first).alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__best"))
-    rows = fingerprints(docs, size, "__fp")
-    stay = rows.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__best")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
+    best = ids.join(groups(ids), "fp").groupBy("root").agg(F.min(first).alias("best")).select("best.doc_id", F.col("best.fp").alias("__fp"))
+    keys = ["__none", "__id", "__fp"]  # plain equality on these, so that join and dropDuplicates share one exchange
+    keyed = lambda df: df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))})
+    stay = keyed(fingerprints(docs, size, "__fp")).join(keyed(best).select(*keys), keys, "left_semi")
+    return stay.dropDuplicates(keys).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
