@@ -27,6 +27,8 @@ LANES, STEP, SCALE = 512, 128, 20
 LOW = 1 << 31
 #: Ids after which a block is closed; documents are never split, so one longer document makes a longer block.
 BLOCK_IDS = 262_144
+#: Text pieces whose ids a worker remembers (twice as many at most).
+MEMO = 600_000
 MAGIC = b"RNSB"
 _HEAD = struct.Struct("<4sIIIIII")
 
@@ -141,7 +143,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, kind) -> DataFrame:
         for b in batches:
             for k in range(0, len(b), 256):
                 piece = b.slice(k, 256)
-                ids = [np.concatenate([t, end]) for t in encoder(path).encode(piece["text"].to_pylist())]
+                ids = [np.concatenate([t, end]) for t in encoder(path, MEMO).encode(piece["text"].to_pylist())]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), piece["doc_id"], pa.array([planes(t) for t in ids], pa.binary())], names)
                 seq += n

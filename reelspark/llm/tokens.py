@@ -14,8 +14,8 @@ import numpy as np
 
 #: Tokenizer files by name; the folder is a parameter of the library that owns them.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Pieces that one generation of the memo holds; two generations are kept, so memory is bounded.
-MEMO = 600_000
+#: Pieces that one generation of the memo holds, unless a caller says otherwise; two generations are kept, so memory is bounded.
+MEMO = 300_000
 
 _ODD = re.compile(r"\s\s|^\s|\s$|[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]|\x00")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,])")
@@ -96,8 +96,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """One encoder a file and Python worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, memo)
     return _ENCODERS[path]
