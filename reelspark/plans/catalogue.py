@@ -450,7 +450,7 @@ def divergent_clips(spark, sf_dir):
     return W.top(d, ["series_id"], [F.desc("sd"), "ingest_pos"], 10).select("series_id", "ingest_pos", F.round("sd", 4).alias("sd"))
 
 
-@query(f"with {_CLIPS}, p as (select *, (row_number() over (partition by series_id order by ep, time_s, ingest_pos) - 1) * 7.0 as place, count(*) over (partition by series_id) * 7.0 as total from c) select series_id, ingest_pos, round(emotion * (case when place < 3 then 3.0 when place < 10 then 2.0 when place > total * 0.8 then 1.5 else 1.0 end), 2) as weighted from p")
+@query(f"with {_CLIPS}, p as (select *, (row_number() over (partition by series_id order by ep, time_s, ingest_pos) - 1) * 7.0 as place, count(*) over (partition by series_id) * 7.0 as total from c) select series_id, ingest_pos, round(cast(emotion * (case when place < 3 then 3.0 when place < 10 then 2.0 when place > total * 0.8 then 1.5 else 1.0 end) as double), 2) as weighted from p")
 def time_weighted(spark, sf_dir):
     """Openings and endings weigh more: the place in the whole, seven seconds a clip."""
     part = Window.partitionBy("series_id")

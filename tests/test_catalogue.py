@@ -1,5 +1,7 @@
 """Every registered query that has a DuckDB twin gives its rows; plans have no window over the whole table."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -19,7 +21,7 @@ def duck():
 
 def rows(names, values):
     order = sorted(range(len(names)), key=names.__getitem__)
-    plain = lambda v: round(float(v), 4) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda v: round(float(v), 4) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else v
     return sorted(str(tuple(plain(r[k]) for k in order)) for r in values)
 
 
