@@ -19,6 +19,11 @@ def clamp(value: Column, lo: int = 1, hi: int = 5) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), value.cast("int")))
 
 
+def number(text: Column, kind: str) -> Column:
+    """A text as a number; null where it is none."""
+    return text.try_cast(kind)
+
+
 def falsy(value: Column, default) -> Column:
     """Null and zero become the default."""
     return F.coalesce(F.nullif(value, F.lit(0)), F.lit(default))

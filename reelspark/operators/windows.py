@@ -86,3 +86,95 @@ def diverse(ranked: DataFrame, key: Sequence[str], rank: str = "rank", per_ep: i
         return pd.DataFrame(out, columns=pdf.columns)
 
     return ranked.groupBy(*key).applyInPandas(pick, schema)
+
+
+def batches(lines: DataFrame, key: str, order: Sequence[str], text: str, size: int = 25_000) -> DataFrame:
+    """Each key's lines, in order and joined by line feeds, cut into texts of at most size characters: key, batch, text.
+
+    A batch ends behind the last line feed past its half, else at its full size. Lines stream by in key order, so a task holds
+    one open batch and one line, however long a key's text is. Null lines are left out.
+    """
+
+    def cut(frames):
+        now, held, n = None, "", -1
+        for f in frames:
+            out = []
+            for k, line in zip(f[key].tolist(), f[text].tolist(), strict=True):
+                if n >= 0 and k == now:
+                    held += "\n" + line
+                else:
+                    if n >= 0:
+                        out.append((now, n, held))
+                    now, held, n = k, line, 0
+                begin = 0
+                while len(held) - begin > size:
+                    feed = held.rfind("\n", begin, begin + size)
+                    end = feed + 1 if feed > begin + size // 2 else begin + size
+                    out.append((now, n, held[begin:end]))
+                    begin, n = end, n + 1
+                held = held[begin:]
+            yield pd.DataFrame(out, columns=[key, "batch", "text"])
+        if n >= 0:
+            yield pd.DataFrame([(now, n, held)], columns=[key, "batch", "text"])
+
+    kind = lines.schema[key].dataType.simpleString()
+    some = lines.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, *order, text)
+    return some.repartition(key).sortWithinPartitions(key, *order).mapInPandas(cut, f"{key} {kind}, batch int, text string")
+
+
+def stretched(cuts: DataFrame, key: Sequence[str], order: str, dur: str, longest: str, target: str) -> DataFrame:
+    """Where a key's clips fill less than 0.8 of the target, lengthen them in order until 0.9 is reached.
+
+    Each takes at most twice its even share of what is missing and at most 1.5 times the longest. Groups are bounded by the
+    rank cut before.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.struct(*[c for c in cuts.columns if c not in key]).alias("r"))))
+    start = F.struct(F.lit(0.0).alias("need"), F.array().cast("array<double>").alias("durs"))
+
+    def step(acc, x):
+        room = x["r"][longest] * 1.5 - x["r"][dur]
+        add = F.when((acc["need"] > 0) & (room > 0), F.least(room, acc["need"] / F.size("__rows") * 2)).otherwise(0.0)
+        return F.struct((acc["need"] - add).alias("need"), F.concat(acc["durs"], F.array(F.round(x["r"][dur] + add, 1))).alias("durs"))
+
+    g = cuts.groupBy(*key).agg(rows.alias("__rows"), F.sum(dur).alias("__sum"), F.min(target).cast("double").alias("__target"))
+    need = F.when(F.col("__sum") < F.col("__target") * 0.8, F.col("__target") * 0.9 - F.col("__sum")).otherwise(0.0)
+    g = g.withColumn("__durs", F.aggregate("__rows", start.withField("need", need), step, lambda a: a["durs"]))
+    one = g.select(*key, F.posexplode("__rows").alias("__k", "__x"), "__durs")
+    return one.select(*key, "__x.r.*", F.get("__durs", F.col("__k")).alias("stretched_s"))
+
+
+def key_times(points: DataFrame, key: Sequence[str], at: str, duration: str, frames: Sequence[int] = (4, 7, 10)) -> DataFrame:
+    """The seconds at which each key's frames are taken: key, time_s.
+
+    Near both ends, and per bucket of the duration the first scene point in it, else its centre; without any point, at fixed shares;
+    times under five seconds apart become their mean; at most as many as the duration's class has frames. points: one row a scene
+    point, at null where a key has none. Points meet per key and bucket, so what a key collects is bounded by its frames.
+    """
+    d = F.col(duration)
+    most = F.when(d < 90, frames[0]).when(d < 180, frames[1]).otherwise(frames[2])
+    inside = lambda t: (t > 1.0) & (t < d - 1)
+    p = points.withColumn("__most", most).withColumn("__b", F.least(F.floor(F.col(at) / (d / (F.col("__most") - 2))), F.col("__most") - 3))
+    p = p.groupBy(*key, duration, "__most", "__b").agg(F.min(F.when(inside(F.col(at)), F.col(at))).alias("__t"), F.count(at).alias("__n"))
+    g = p.groupBy(*key, duration, "__most").agg(F.map_from_entries(F.collect_list(F.when(F.col("__t").isNotNull(), F.struct("__b", "__t")))).alias("__first"), F.sum("__n").alias("__n"))
+    size = d / (F.col("__most") - 2)
+    filled = F.transform(F.sequence(F.lit(0), F.col("__most") - 3), lambda k: F.bround(F.coalesce(F.col("__first")[k.cast("long")], (k + 0.5) * size), 1))
+    # Shares of the duration, by class, where there are no scene points.
+    plan = F.when(d < 90, F.array(*map(F.lit, (0.25, 0.50, 0.75)))).when(d < 180, F.array(*map(F.lit, (0.15, 0.30, 0.50, 0.70, 0.85)))).otherwise(F.array(*map(F.lit, (0.10, 0.22, 0.35, 0.50, 0.60, 0.75, 0.90))))
+    times = F.filter(F.when(F.col("__n") > 0, filled).otherwise(F.transform(plan, lambda s: F.bround(d * s, 1))), inside)
+    ends = F.when(d > 5, F.array(F.lit(2.0), F.bround(d - 2, 1))).otherwise(F.array(F.lit(2.0)))
+    merge = lambda kept, t: F.when(
+        (F.size(kept) == 0) | (t - F.element_at(kept, -1) >= 5.0), F.concat(kept, F.array(t))
+    ).otherwise(F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.bround((F.element_at(kept, -1) + t) / 2, 1))))
+    merged = F.aggregate(F.array_sort(F.array_distinct(F.concat(ends, times))), F.array().cast("array<double>"), merge)
+    return g.select(*key, F.explode(F.slice(merged, 1, F.col("__most"))).alias("time_s"))
+
+
+def narrative_mix(ranked: DataFrame, key: Sequence[str], order: Sequence, role: str, shares: dict[str, float], n: int = 8) -> DataFrame:
+    """n rows of each key: the best of each role, then each role's share, then the best of the rest. Adds pos, by the roles' order."""
+    w = Window.partitionBy(*key)
+    quota = F.create_map(*(F.lit(x) for k, s in shares.items() for x in (k, max(1, round(n * s)))))
+    beat = F.create_map(*(F.lit(x) for k, r in enumerate(shares) for x in (r, k)))
+    r = ranked.withColumn("__k", F.row_number().over(Window.partitionBy(*key, role).orderBy(*order)))
+    tier = F.when(F.col("__k") == 1, 0).when(F.col("__k") <= F.coalesce(quota[F.col(role)], F.lit(1)), 1).otherwise(2)
+    few = r.withColumn("__tier", tier).withColumn("__n", F.row_number().over(w.orderBy("__tier", *order))).where(F.col("__n") <= n)
+    return few.withColumn("pos", F.row_number().over(w.orderBy(F.coalesce(beat[F.col(role)], F.lit(9)), *order))).drop("__k", "__tier", "__n")

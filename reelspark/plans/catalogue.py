@@ -11,6 +11,10 @@ from ..functions import rules as R
 from ..operators import joins as J
 from ..operators import windows as W
 from ..sources import adapters as A
+from ..sources import annotations as N
+from ..sources import reviews as V
+from ..sources import subtitles as S
+from ..streaming import ingest as I
 from . import dims
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,14 +367,20 @@ def review_override(spark, sf_dir):
     return j.select("series_id", "mol_type", "ingest_pos", F.row_number().over(w).alias("pos"))
 
 
-@query("select conv_id as ep, string_agg('[EP' || lpad(cast(conv_id as varchar), 2, '0') || ' ' || lpad(cast(turn * 6 // 60 as varchar), 2, '0') || ':' || lpad(cast(turn * 6 % 60 as varchar), 2, '0') || '] ' || text, chr(10) order by turn) as script from conversations group by conv_id")
-def dialogue_merge(spark, sf_dir):
-    """Each episode's lines in order, with their times."""
+def _spoken(spark, sf_dir):
+    """Cues with their line: [EPnn mm:ss] text."""
     c = A.cues(spark, sf_dir).where("text is not null")
     two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
     ep = F.col("ep").cast("string")
-    line = F.concat(F.lit("[EP"), F.when(F.length(ep) < 2, F.lpad(ep, 2, "0")).otherwise(F.substring(ep, 1, 2)), F.lit(" "), two(F.floor(F.col("start_s") / 60)), F.lit(":"), two(F.col("start_s") % 60), F.lit("] "), F.col("text"))
-    return c.groupBy("ep").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("script"))
+    number = F.when(F.length(ep) < 2, F.lpad(ep, 2, "0")).otherwise(F.substring(ep, 1, 2))
+    return c.withColumn("line", F.concat(F.lit("[EP"), number, F.lit(" "), two(F.floor(F.col("start_s") / 60)), F.lit(":"), two(F.col("start_s") % 60), F.lit("] "), F.col("text")))
+
+
+@query("select conv_id as ep, string_agg('[EP' || lpad(cast(conv_id as varchar), 2, '0') || ' ' || lpad(cast(turn * 6 // 60 as varchar), 2, '0') || ':' || lpad(cast(turn * 6 % 60 as varchar), 2, '0') || '] ' || text, chr(10) order by turn) as script from conversations group by conv_id")
+def dialogue_merge(spark, sf_dir):
+    """Each episode's lines in order, with their times."""
+    c = _spoken(spark, sf_dir)
+    return c.groupBy("ep").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_pos", "line"))), lambda x: x["line"]), "\n").alias("script"))
 
 
 @query(f"with {_CUES}, g as (select ep, cue_pos, lead(start_s) over (partition by ep order by cue_pos) - end_s as gap from u) select ep, cue_pos, round(gap, 3) as gap, case when gap > 0 and gap < 0.15 then 'overlap_risk' else 'long_silence' end as finding from g where (gap > 0 and gap < 0.15) or gap > 3")
@@ -548,3 +558,91 @@ def label_cache(spark, sf_dir):
     """One label call a content key; the others are answered from it."""
     k = A.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("|v1"))).alias("key"))
     return k.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("uses")).withColumn("hits", F.col("uses") - 1)
+
+
+_LABELS = ["shot", "event", "event_subtype", "emo", "action_level", "visual_quality", "audio_energy", "speech_density", "face_quality", "action_direction", "emotion_trend", "reject_reason"]
+
+
+@query(f"""with {_CLIPS} select ingest_pos, ep, time_s, case ingest_pos % 4 when 0 then 'legacy' else 'v2' end as format, emotion,
+ case ingest_pos % 4 when 0 then emotion else action_level end as action_level, case ingest_pos % 4 when 0 then 3 else visual_quality end as visual_quality,
+ event || (case event_subtype when '无' then '' else '/' || event_subtype end) || (case ingest_pos % 4 when 0 then '' else '/' || shot end) as scene_types from c""")
+def annotation_scan(spark, sf_dir):
+    """Annotation lines of three dialects (JSON, JSON in a reply, legacy sentence), written as text and read back as clips."""
+    c, at = A.clips(spark, sf_dir).withColumn("emo", F.col("emotion")), A.new_folder(spark, "annotations")
+    body = F.regexp_extract("value", r"\{.*\}", 0)
+    head = F.substring_index("value", " ", 2)
+    plain = N.as_lines(c.where("ingest_pos % 4 >= 2"), _LABELS)
+    fenced = N.as_lines(c.where("ingest_pos % 4 = 1"), _LABELS).select(F.concat(head, F.lit(" 结果如下 {见下} ```json "), body, F.lit(" ``` 完")).alias("value"))
+    told = F.format_string("一段画面。情绪：%d。类型：%s/%s。", F.col("emotion"), F.col("event"), F.col("event_subtype"))
+    legacy = N.as_lines(c.where("ingest_pos % 4 = 0").withColumn("told", told), ["told"]).select(F.concat(head, F.lit(" "), F.get_json_object(body, "$.told")).alias("value"))
+    plain.unionByName(fenced).unionByName(legacy).write.text(at)
+    t = N.typed(N.lines(spark.read.text(at)))
+    pos = F.regexp_extract("frame_id", r"_f(\d+)$", 1).cast("long")
+    return t.select(pos.alias("ingest_pos"), "ep", "time_s", "format", "emotion", "action_level", "visual_quality", F.array_join("scene_types", "/").alias("scene_types"))
+
+
+_SAID = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ')"
+
+
+@query(f"with {_CUES} select ep, cue_pos, round(start_s, 3) as start_s, round(end_s, 3) as end_s, {_SAID} as text, cast(length({_SAID}) as int) as chars, round(end_s - start_s, 3) as duration_s from u where {_SAID} <> ''")
+def cue_scan(spark, sf_dir):
+    """Subtitle blocks to cues."""
+    u = A.cues(spark, sf_dir)
+    return S.cues(u.select("ep", "cue_pos", S.block(F.col("start_s"), F.col("end_s"), F.col("text")).alias("value")))
+
+
+@query()
+def dialogue_batches(spark, sf_dir):
+    """Each episode's merged dialogue in texts of at most 25,000 characters, cut at line ends where one is near."""
+    return W.batches(_spoken(spark, sf_dir), "ep", ["cue_pos"], "line")
+
+
+def _role(c: str) -> str:
+    return f"(case {c} " + " ".join(f"when '{k}' then '{v}'" for k, v in dims.NARRATIVE.items()) + " else 'rising' end)"
+
+
+_PER = "(case role " + " ".join(f"when '{k}' then {max(1, round(8 * s))}" for k, s in dims.BEATS.items()) + " else 1 end)"
+_BEAT = f"list_position({list(dims.BEATS)}, role)"
+
+
+@query(f"""with {_CLIPS}, a as (select series_id, ingest_pos, {_CLASSIC} as score, {_role('event')} as role from c),
+ k as (select *, row_number() over (partition by series_id, role order by score desc, ingest_pos) as k from a),
+ n as (select *, row_number() over (partition by series_id order by case when k = 1 then 0 when k <= {_PER} then 1 else 2 end, score desc, ingest_pos) as n from k)
+ select series_id, ingest_pos, role, cast(row_number() over (partition by series_id order by {_BEAT}, score desc, ingest_pos) as int) as pos from n where n <= 8""")
+def narrative_diversity(spark, sf_dir):
+    """Eight clips a series that cover the narrative roles, in the order of the beats."""
+    c = A.clips(spark, sf_dir).select("series_id", "ingest_pos", R.clip_score().alias("score"), R.narrative().alias("role"))
+    return W.narrative_mix(c, ["series_id"], [F.desc("score"), "ingest_pos"], "role", dims.BEATS).select("series_id", "ingest_pos", "role", "pos")
+
+
+@query()
+def key_timestamps(spark, sf_dir):
+    """The seconds at which an episode's frames are taken, from its scene points."""
+    c = A.clips(spark, sf_dir).select("series_id", "ep", F.when(F.col("ep") % 9 != 0, F.col("time_s")).alias("at"), (50.0 + 2 * F.col("ep")).alias("duration_s"))
+    return W.key_times(c, ["series_id", "ep"], "at", "duration_s")
+
+
+@query()
+def cut_stretch(spark, sf_dir):
+    """Clip lengths after short cuts were stretched towards the template's length."""
+    c = cut(spark, sf_dir).select("series_id", "mol_type", "pos", "ingest_pos", "dur_s", "dur_hi", "target_dur")
+    return W.stretched(c, ["series_id", "mol_type"], "pos", "dur_s", "dur_hi", "target_dur").select("series_id", "mol_type", "pos", "ingest_pos", "dur_s", "stretched_s")
+
+
+@query(f"with {_CLIPS} select ep, cast(time_s as int) as time_s, count(*) as n from c where emotion >= 2 group by 1, 2")
+def review_round_trip(spark, sf_dir):
+    """Marks of a review table, written as CSV and read back."""
+    at = A.new_folder(spark, "review")
+    mark = F.when(F.col("emotion") < 2, "N").when(F.col("emotion") == 2, " yes").otherwise("Y")
+    V.write_review(A.clips(spark, sf_dir).select(mark.alias("keep"), "ep", "time_s"), at)
+    return V.kept_keys(V.read_review(spark, at)).groupBy("ep", "time_s").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_CLIPS} select series_id, ep, count(*) as n, sum(emotion)::bigint as emotion from c group by 1, 2")
+def stream_ingest(spark, sf_dir):
+    """Events that arrive as a stream, annotated batch by batch; a second run with the same checkpoint adds nothing."""
+    schema, to, state = A.table(spark, sf_dir, "events").schema, A.new_folder(spark, "ingested"), A.new_folder(spark, "ingest-state")
+    annotate = lambda batch: batch.sparkSession.sql(A.CLIPS, events=batch)
+    for _ in range(2):
+        I.ingest(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"), annotate, to, state).awaitTermination()
+    return spark.read.parquet(to).groupBy("series_id", "ep").agg(F.count("*").alias("n"), F.sum("emotion").alias("emotion"))

@@ -59,6 +59,8 @@ SIDE_WORDS = [("群体冲突", ["一群", "多人", "围住", "围观"]), ("双
 # Event to narrative function, event rarity.
 NARRATIVE = {"葬礼": "setup", "仪式": "setup", "日常": "setup", "悲伤": "setup", "跪地": "setup", "冲突": "inciting", "威胁": "inciting", "背叛": "inciting", "对峙": "rising", "打斗": "climax", "惊恐": "hook", "悬念": "hook", "回忆": "transition"}
 RARITY = {"打斗": 2.0, "对峙": 1.2, "冲突": 1.3, "特写": 1.3, "日常": 0.5}
+# Share of a cut by narrative role, in the order of the beats.
+BEATS = {"hook": 0.15, "setup": 0.10, "inciting": 0.15, "rising": 0.30, "climax": 0.25, "transition": 0.05}
 # Stage nodes of a story (name, first and last episode).
 STAGES = [("序幕", 1, 10), ("局势", 11, 25), ("权谋高潮", 26, 45), ("生死反转", 46, 62), ("终局决战", 63, 76)]
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 CLIPS = """select concat('S', cast(user_id % 8 as varchar(4))) as series_id, event_id as ingest_pos,
@@ -33,3 +36,9 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CUES, conversations=table(spark, sf_dir, "conversations"))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An unused path where driver and executors both see it: under spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
