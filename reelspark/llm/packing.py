@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import BYTE_BPE, encoder, tokenizer_path
+from .tokens import BYTE_BPE, MEMO, encoder, tokenizer_path
 
 CAPACITY, LINEAR, QUADRATIC = 1024, 1.0, 1.0 / 1024
 #: Ids that one block holds before it is packed.
@@ -55,8 +55,11 @@ def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR,
     return out
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """One row a piece: document, place in it, CRC-32 of its ids, sequence, offset there, and its cost."""
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, memo: int = MEMO) -> DataFrame:
+    """One row a piece: document, place in it, CRC-32 of its ids, sequence, offset there, and its cost.
+
+    memo: text pieces whose ids a worker remembers (twice as many at most).
+    """
     path = path or tokenizer_path(BYTE_BPE)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -83,7 +86,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, ca
         for b in batches:
             texts = b["text"].to_pylist()
             for k in range(0, len(texts), 256):
-                new = [np.concatenate([t, end]) for t in encoder(path).encode(texts[k : k + 256])]
+                new = [np.concatenate([t, end]) for t in encoder(path, memo).encode(texts[k : k + 256])]
                 ids += b["doc_id"].slice(k, 256).to_pylist()
                 tokens += new
                 held += sum(map(len, new))
@@ -98,4 +101,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, ca
 
 
 def op4_pack(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), memo=600_000)
