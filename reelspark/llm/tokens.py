@@ -17,7 +17,7 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that one generation of the memo holds, unless a caller says otherwise; two generations are kept, so memory is bounded.
 MEMO = 300_000
 
-_ODD = re.compile(r"\s\s|^\s|\s$|[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]|\x00")
+_GAP = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,])")
 
 
@@ -27,17 +27,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_ODD_MARK, _CUT_MARK = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]|\x00"), re.compile(r"[ \n]|(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,])")
+_MARK, _CUT_MARK = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]"), re.compile(r"[ \n]|(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,])")
+
+
+def _odd(text: str) -> bool:
+    """Whether a full stop or comma stands behind anything but a letter or digit, or zeros are in the text (one search a pattern: alternatives are slower)."""
+    return "\0" in text or text[:1] in (".", ",") or _MARK.search(text) is not None
 
 
 def pieces(text: str, folds: bool = False) -> list[str]:
     """folds: for tokenizers that lower-case and drop white space, A-Z is lower-cased and spaces and line feeds are left out."""
     if folds:
         text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        if _ODD_MARK.search(text):
+        if _odd(text):
             return _CUT_MARK.split(text)
         return text.replace(" ", "\0").replace("\n", "\0").replace(".", "\0.").replace(",", "\0,").split("\0")
-    if _ODD.search(text):
+    if text[:1].isspace() or text[-1:].isspace() or _GAP.search(text) or _odd(text):
         return _CUT.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
 
@@ -64,9 +69,10 @@ class Encoder:
         """Ids of pieces that neither generation knows: many of them in one call, told apart by the mark."""
         inside = self.between.strip() or self.between
         joined = [p for p in new if inside not in p and p and not p[-1].isspace()]
-        for k in range(0, len(joined), 64):
-            part = joined[k : k + 64]
-            ids = np.array(self._plain(self.between.join(part)), np.uint32)
+        parts = [joined[k : k + 16] for k in range(0, len(joined), 16)]
+        got = self.inner.encode_batch_fast([self.between.join(x) for x in parts], add_special_tokens=False)
+        for part, encoded in zip(parts, got, strict=True):
+            ids = np.array(encoded.ids, np.uint32)
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) == len(part) - 1:
                 raw, begin = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
@@ -82,14 +88,20 @@ class Encoder:
             cut = [pieces(t, self.folds) if t else [] for t in texts[k : k + 64]]
             if len(self.young) > self.memo:
                 self.young, self.old = {}, self.young
-            young, old, new = self.young, self.old, []
-            for p in set().union(*cut).difference(young):
+            young, old = self.young, self.old
+            found = [list(map(young.get, c)) for c in cut]
+            gaps = [(c, f, [k for k, ids in enumerate(f) if ids is None]) for c, f in zip(cut, found, strict=True) if None in f]
+            new = []
+            for p in {c[k] for c, _, at in gaps for k in at}:
                 if p in old:
                     young[p] = old[p]
                 else:
                     new.append(p)
             self._learn(new)
-            out += [np.frombuffer(b"".join(map(young.__getitem__, c)), np.uint32) for c in cut]
+            for c, f, at in gaps:
+                for k in at:
+                    f[k] = young[c[k]]
+            out += [np.frombuffer(b"".join(f), np.uint32) for f in found]
         return out
 
 
