@@ -178,3 +178,32 @@ def narrative_mix(ranked: DataFrame, key: Sequence[str], order: Sequence, role:
     tier = F.when(F.col("__k") == 1, 0).when(F.col("__k") <= F.coalesce(quota[F.col(role)], F.lit(1)), 1).otherwise(2)
     few = r.withColumn("__tier", tier).withColumn("__n", F.row_number().over(w.orderBy("__tier", *order))).where(F.col("__n") <= n)
     return few.withColumn("pos", F.row_number().over(w.orderBy(F.coalesce(beat[F.col(role)], F.lit(9)), *order))).drop("__k", "__tier", "__n")
+
+
+def episode_spread(chosen: DataFrame, pool: DataFrame, key: Sequence[str], role: str, rank: str, long: int = 50) -> DataFrame:
+    """chosen, with clips swapped so that each third of a long story is there: per key, at most one swap a third.
+
+    A third without a clip takes the pool's best of it, for the first chosen clip of the same role whose own third keeps another.
+    Keys whose last episode is at most long stay as they are. Both have key, role, rank and ep; a group holds the chosen rows and
+    three more.
+    """
+    ends = pool.groupBy(*key).agg(F.max("ep").alias("__max"))
+    third = F.when(F.col("ep") <= F.floor(F.col("__max") * 0.33), 0).when(F.col("ep") <= F.floor(F.col("__max") * 0.66), 1).otherwise(2)
+    placed = lambda df: df.join(ends, list(key)).withColumn("__third", F.when(F.col("ep") > 0, third).otherwise(-1))
+    best = top(placed(pool.select(*chosen.columns)).where((F.col("__third") >= 0) & (F.col("__max") > long)), [*key, "__third"], [rank], 1, "__k").drop("__k")
+    both = placed(chosen).withColumn("__in", F.lit(True)).unionByName(best.withColumn("__in", F.lit(False)))
+    columns = chosen.columns
+
+    def swap(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = pdf[pdf["__in"]].sort_values(rank).to_dict("records")
+        for k in range(3):
+            spare = pdf[~pdf["__in"] & (pdf["__third"] == k)].to_dict("records")
+            thirds = [r["__third"] for r in kept]
+            if not spare or k in thirds:
+                continue
+            out = next((j for j, r in enumerate(kept) if r[role] == spare[0][role] and thirds.count(r["__third"]) > 1), None)
+            if out is not None:
+                kept = [*kept[:out], *kept[out + 1 :], spare[0]]
+        return pd.DataFrame(kept, columns=columns)
+
+    return both.groupBy(*key).applyInPandas(swap, chosen.schema)

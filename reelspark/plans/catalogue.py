@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import directions as D
+from ..functions import labels as L
 from ..functions import rules as R
 from ..operators import joins as J
 from ..operators import windows as W
 from ..sources import adapters as A
 from ..sources import annotations as N
+from ..sources import profiles as P
 from ..sources import reviews as V
 from ..sources import subtitles as S
 from ..streaming import ingest as I
@@ -646,3 +649,101 @@ def stream_ingest(spark, sf_dir):
     for _ in range(2):
         I.ingest(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"), annotate, to, state).awaitTermination()
     return spark.read.parquet(to).groupBy("series_id", "ep").agg(F.count("*").alias("n"), F.sum("emotion").alias("emotion"))
+
+
+_DIRECTIONS = f"d as (select *, unnest({list(D.MODIFIERS)}) as direction from c)"
+
+
+def _weight(part: str) -> str:
+    changed = " ".join(f"when '{d}' then {m[part]}" for d, m in D.MODIFIERS.items() if part in m)
+    return f"round({D.BASE[part]} * (case direction {changed} else 1.0 end), 2)"
+
+
+_FACES = "(case when face_quality in ('无人', '模糊') then 0 else 1 end)"
+
+
+@query(f"""with {_CLIPS}, {_DIRECTIONS} select ingest_pos, direction, cast(round((case emotion when 1 then 0 when 2 then 5 when 3 then 15 when 4 then 40 else 70 end) * {_weight('emotion')}
+ + least(30.0, ({_RARE}) * 5) * {_weight('scene_rare')} + least(40, (speech_density - 1) * 8) * {_weight('dialogue')} + (case when event <> '日常' then 12 else 0 end) * {_weight('content')} + {_FACES} * 4 * {_weight('faces')}, 1) as double) as score from d""")
+def weighted_scores(spark, sf_dir):
+    """Each clip's score under the weights of every editing direction."""
+    rarity = F.create_map(*(F.lit(x) for kv in dims.RARITY.items() for x in kv))
+    rare = sum((F.coalesce(rarity[F.col(c)], F.lit(1.0)) for c in ("event", "event_subtype", "shot")), F.lit(0.0))
+    faces = F.when(F.col("face_quality").isin("无人", "模糊"), 0).otherwise(1)
+    c = A.clips(spark, sf_dir).withColumn("direction", F.explode(D.directions()))
+    score = D.weighted_score(F.col("direction"), rare, F.col("speech_density") - 1, F.col("event") != "日常", faces)
+    return c.select("ingest_pos", "direction", score.alias("score"))
+
+
+_INNER = ", ".join(map(_q, D.INNER))
+
+
+@query(f"""with {_CLIPS}, {_DIRECTIONS}, t as (select *, speech_density > 3 as spoken, event <> '日常' as described, event in ({_INNER}) or shot in ({_INNER}) as inward, {_FACES} > 0 as seen from d),
+ a as (select *, case direction when 'first_person' then emotion >= 3 and (spoken or inward) when 'third_person' then true when 'role_cut' then seen and spoken when 'episode_split' then emotion >= 3
+ when 'highlight_mix' then emotion >= 4 when 'emotion_focus' then emotion >= 3 and (described or spoken) when 'commentary' then spoken or described else true end as ok from t)
+ select series_id, direction, count(*) filter (where ok) as n, count(*) as total from a group by 1, 2""")
+def direction_prefilter_counts(spark, sf_dir):
+    """How many clips of a series each editing direction may use."""
+    c = A.clips(spark, sf_dir).withColumn("direction", F.explode(D.directions()))
+    faces = F.when(F.col("face_quality").isin("无人", "模糊"), 0).otherwise(1)
+    ok = D.allowed(F.col("direction"), F.col("emotion"), F.greatest(F.lit(0), F.col("speech_density") - 3), F.array("event", "shot"), F.col("event") != "日常", faces)
+    return c.groupBy("series_id", "direction").agg(F.count_if(ok).alias("n"), F.count("*").alias("total"))
+
+
+_LABELLED = """l as (select ingest_pos, nullif(event, '日常') as mood, shot as scene, event_subtype as props, case when speech_density >= 4 then '竖排的纯文字占满了整个画面' when emotion = 4 then '剧终' when emotion = 5 then '纯黑' end as subtitle_text,
+ case face_quality when '正脸' then '一人可见' when '侧脸' then '一人半面' when '无人' then '[]' else '一人' end as chars, case when reject_reason = '黑屏' then '低质量' else reject_reason end as reject_reason, cast(null as varchar(9)) as event_subtype,
+ case when action_level = 1 then '模糊' else '可见' end as event_conf, case when visual_quality = 5 then null else visual_quality end as visual_quality, action_direction, emotion_trend, audio_energy > 1 as probe_usable from c)"""
+_LICENCES = f"({_any('blob', L.LICENCE)})"
+
+
+@query(f"""with {_CLIPS}, {_LABELLED}, b as (select *, concat_ws(' ', coalesce(mood, ''), scene, props, coalesce(subtitle_text, ''), chars) as blob, coalesce(visual_quality, 3) as seen from l),
+ r as (select *, case when not probe_usable and seen <= 2 then '低质量' when {_LICENCES} then '片头' when {_any('blob', L.ENDING)} then '片尾' when {_any('blob', L.WHITE)} then '白屏' when {_any('blob', L.BLACK)} then '黑屏'
+ when length(coalesce(subtitle_text, '')) >= 12 and {_any('blob', L.CARD)} then '纯文字' when event_conf = '模糊' and seen <= 2 then '模糊' when reject_reason = '低质量' and seen >= 3 then '无' else reject_reason end as reason,
+ case when action_direction = '' then '静止' else action_direction end as act from b)
+ select ingest_pos, reason as reject_reason, reason = '无' as usable, case when reason <> '无' then '模糊' else event_conf end as event_conf,
+ case emotion_trend || '|' || act {' '.join(f"when '{a}|{b}' then {v}" for (a, b), v in L.EMOTION.items())} else 2 end as emo, case act {' '.join(f"when '{k}' then {v}" for k, v in L.ACTION.items())} end as action_level,
+ coalesce(visual_quality, case when reason in ('白屏', '黑屏', '模糊', '低质量') then 1 when reason in ('片头', '片尾', '纯文字', '空镜') then 2 else 3 end) as visual_quality,
+ case when chars like '%可见%' then '正脸' when chars like '%半面%' then '侧脸' when chars = '[]' then '无人' else '模糊' end as face_quality,
+ case when reason in ({', '.join(map(_q, L.FRAMES))}) then reason else {_case('blob', L.SUBTYPES, "'无'")} end as event_subtype from r""")
+def label_quality(spark, sf_dir):
+    """Labels made whole: reject reason, trends, levels and qualities that were left out."""
+    c = A.clips(spark, sf_dir)
+    said = F.when(F.col("speech_density") >= 4, "竖排的纯文字占满了整个画面").when(F.col("emotion") == 4, "剧终").when(F.col("emotion") == 5, "纯黑")
+    face = F.col("face_quality")
+    raw = c.select(
+        "ingest_pos", F.lit("").alias("hint"), F.nullif("event", F.lit("日常")).alias("mood"), F.col("shot").alias("scene"), F.col("event_subtype").alias("props"), said.alias("subtitle_text"),
+        F.when(face == "正脸", "一人可见").when(face == "侧脸", "一人半面").when(face == "无人", "[]").otherwise("一人").alias("chars"),
+        F.when(F.col("reject_reason") == "黑屏", "低质量").otherwise(F.col("reject_reason")).alias("reject_reason"), F.lit(None).cast("string").alias("event_subtype"), "shot",
+        F.when(F.col("action_level") == 1, "模糊").otherwise("可见").alias("event_conf"), F.nullif("visual_quality", F.lit(5)).alias("visual_quality"), F.lit(None).cast("string").alias("face_quality"),
+        F.lit(None).cast("boolean").alias("dialogue_visible"), F.lit(None).cast("boolean").alias("usable"), "action_direction", "emotion_trend", (F.col("audio_energy") > 1).alias("probe_usable"), F.lit(None).cast("string").alias("probe_reason"),
+    )
+    return L.filled(raw).select("ingest_pos", "reject_reason", "usable", "event_conf", "emo", "action_level", "visual_quality", "face_quality", "event_subtype")
+
+
+@query(f"""with {_CLIPS}, g as (select series_id, {_STAGE} as stage, min(ep) as ep_lo, max(ep) as ep_hi from c group by 1, 2), s as (select *, row_number() over (partition by series_id order by stage) - 1 as node_pos from g)
+ select series_id, 'node' as kind, cast(node_pos as int) as pos, cast(stage as varchar) as name, ep_lo, ep_hi from s
+ union all select series_id, 'quote', max(emotion), cast(ep as varchar), ep, cast(max(time_s) as int) from c group by series_id, ep""")
+def story_profiles(spark, sf_dir):
+    """Profiles of each series, written as JSON and read back as plot nodes and quotes."""
+    c, at = A.clips(spark, sf_dir).withColumn("stage", R.stage_index(F.col("ep"))), A.new_folder(spark, "profiles")
+    two = lambda x: F.when(x < 10, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+    n = c.groupBy("series_id", "stage").agg(F.min("ep").alias("lo"), F.max("ep").alias("hi"))
+    node = F.struct("stage", F.struct(F.concat(F.lit("EP"), two(F.col("lo")), F.lit("-EP"), two(F.col("hi"))).alias("集数范围"), F.col("stage").cast("string").alias("阶段")).alias("n"))
+    n = n.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(node)), lambda x: x["n"]).alias("情节节点"))
+    q = c.groupBy("series_id", "ep").agg(F.max("time_s").cast("int").alias("t"), F.max("emotion").alias("impact"))
+    quote = F.struct(F.concat(F.lit("EP"), two(F.col("ep"))).alias("episode"), F.concat_ws(":", two(F.floor(F.col("t") / 60)), two(F.col("t") % 60)).alias("timestamp"), F.col("ep").cast("string").alias("text"), "impact")
+    q = q.groupBy("series_id").agg(F.collect_list(quote).alias("golden_quotes"))
+    n.join(q, "series_id").select("series_id", F.to_json(F.struct("情节节点", "golden_quotes")).alias("value")).write.partitionBy("series_id").text(at)
+    p = P.read(spark, at)
+    nodes = P.nodes(p).select("series_id", F.lit("node").alias("kind"), F.col("node_pos").alias("pos"), F.col("stage").alias("name"), "ep_lo", "ep_hi")
+    return nodes.unionByName(P.quotes(p).select("series_id", F.lit("quote").alias("kind"), F.col("impact").alias("pos"), F.col("text").alias("name"), F.col("ep").alias("ep_lo"), F.col("time_s").cast("int").alias("ep_hi")))
+
+
+@query()
+def episode_spread(spark, sf_dir):
+    """The clips of narrative_diversity, swapped so that each third of a long story is there."""
+    c = A.clips(spark, sf_dir).select("series_id", "ingest_pos", "ep", R.clip_score().alias("score"), R.narrative().alias("role"))
+    order = [F.desc("score"), "ingest_pos"]
+    ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy(*order)))
+    chosen = W.narrative_mix(ranked, ["series_id"], ["rank"], "role", dims.BEATS).drop("pos")
+    spread = W.episode_spread(chosen, ranked, ["series_id"], "role", "rank")
+    return W.narrative_mix(spread, ["series_id"], ["rank"], "role", dims.BEATS).select("series_id", "ingest_pos", "ep", "role", "pos")

@@ -22,3 +22,17 @@ def kept_keys(review: DataFrame) -> DataFrame:
 
 def read_review(spark, path: str) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+def read_calibration(spark, path: str) -> DataFrame:
+    """Calibration tables: the first column, whatever its heading says, is label; ep, time_s and the other columns follow as text."""
+    raw = read_review(spark, path)
+    first, *rest = raw.columns
+    return raw.select(F.col(f"`{first}`").alias("label"), *(F.col(f"`{c}`").alias("time_s" if c == "time(s)" else c) for c in rest))
+
+
+def labelled(calibration: DataFrame, references: DataFrame) -> DataFrame:
+    """References with their label 1 to 3, met on ep and whole seconds, not on row numbers; rows without a label are left out."""
+    marks = calibration.select(R.number(F.trim("label"), "int").alias("label"), R.number(F.col("ep"), "int").alias("ep"), R.number(F.col("time_s"), "double").cast("int").alias("time_s"))
+    marks = marks.where("label between 1 and 3").groupBy("ep", "time_s").agg(F.min("label").alias("label"))
+    return references.withColumn("time_s", F.col("time_s").cast("int")).join(marks, ["ep", "time_s"])

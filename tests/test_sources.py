@@ -1,11 +1,13 @@
 """Parsers, folds and the stream on literal rows and against brute force."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from reelspark.functions import directions, labels
 from reelspark.operators import windows
 from reelspark.plans import catalogue
-from reelspark.sources import annotations, reviews, subtitles
+from reelspark.sources import annotations, media, profiles, reviews, subtitles
 from reelspark.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -127,3 +129,48 @@ def test_batches_of_all_dialogue(spark):
     whole = lines.groupBy("ep").agg(F.sum(F.length("line") + 1).alias("n")).collect()
     got = catalogue.QUERIES["dialogue_batches"](spark, SF).groupBy("ep").agg(F.sum(F.length("text")).alias("n")).collect()
     assert {r["ep"]: r["n"] - 1 for r in whole} == {r["ep"]: r["n"] for r in got}
+
+
+def test_profiles(spark):
+    whole = '{"key_plot_nodes": "none", "情节节点": [{"集数范围": "EP01-EP10", "阶段": "序幕", "概要": "a"}, {"集数范围": "?"}], "golden_quotes": [], "人物关系": [{"姓名": "甲", "性格标签": ["狠"]}]}'
+    p = spark.createDataFrame([("a", whole), ("b", "{damaged"), ("c", None), ("d", '{"golden_quotes": [{"episode": "EP03", "timestamp": "01:30", "text": "x", "impact": 4}, {"episode": "?", "timestamp": "soon"}]}')], "series_id string, value string")
+    assert [tuple(r) for r in profiles.nodes(p).orderBy("node_pos").collect()] == [("a", 0, "序幕", 1, 10, "a"), ("a", 1, "", 0, 0, "")]
+    alone = spark.createDataFrame([("a", '[{"episode": "EP1", "timestamp": "0:05", "text": "y", "impact": 3}]'), ("d", '[{"text": "unused"}]'), ("e", "no list")], "series_id string, value string")
+    got = profiles.quotes(p, alone).orderBy("series_id", F.desc_nulls_last("ep")).collect()
+    assert [tuple(r) for r in got] == [("a", 1, 5.0, "y", None, 3), ("d", 3, 90.0, "x", None, 4), ("d", None, None, None, None, 0)]
+    assert [tuple(r) for r in profiles.people(p).collect()] == [("a", "甲", None, ["狠"], None)]
+    assert profiles.nodes(p.where("false")).count() == 0
+
+
+def test_media_and_calibration(spark, tmp_path):
+    for name in ("1.mp4", "01.mp4", "第2集.mp4", "show-003.mp4", "x.mp4", "4.txt"):
+        (tmp_path / name).write_bytes(b"12")
+    got = media.episodes(media.files(spark, str(tmp_path)), "show-{ep03}.mp4").orderBy("ep").collect()
+    assert [(r["ep"], r["path"].rsplit("/", 1)[1], r["bytes"]) for r in got] == [(1, "1.mp4", 2), (2, "第2集.mp4", 2), (3, "show-003.mp4", 2)]
+    (tmp_path / "c.csv").write_text("label(1=不可用/2=可用/3=顶级),ep,time(s),desc\n3,1,2.0,a\n,1,9,b\n7,2,1,c\nx,2,1,d\n", "utf-8-sig")
+    refs = spark.createDataFrame([(1, 2.4, 5), (1, 9.0, 4), (2, 1.0, 3)], "ep int, time_s double, hook_value int")
+    assert [tuple(r) for r in reviews.labelled(reviews.read_calibration(spark, str(tmp_path / "c.csv")), refs).collect()] == [(1, 2, 5, 3)]
+
+
+def test_characters_and_directions(spark):
+    people = "array<struct<id:string,gender:string,face:string,action:string,emo:string>>"
+    df = spark.createDataFrame([([("A", "女", None, "走", "4"), ("B", None, None, None, None)],), ([],), (None,)], f"c {people}")
+    assert [r[0] for r in df.select(labels.characters(F.col("c"))).collect()] == ["A(女,?,走,4); B(?,?,?,?)", "", None]
+    w = spark.range(1).select(*(directions.weight(F.lit(d), "dialogue") for d in ("commentary", "unknown"))).first()
+    assert [float(x) for x in w] == [3.5, 2.5]
+
+
+@pytest.mark.parametrize("last", [76, 40])
+def test_episode_spread(spark, last):
+    pool = spark.createDataFrame([("s", k, 1 + (k * 7) % last if k > 8 else 1 + k, "a" if k % 3 else "b") for k in range(200)] + [("s", 999, last, "a")], "s string, rank int, ep int, role string")
+    chosen = pool.where("rank <= 5")
+    got = {r["rank"]: r for r in windows.episode_spread(chosen, pool, ["s"], "role", "rank").collect()}
+    if last <= 50:
+        assert sorted(got) == list(range(6))
+        return
+    third = lambda ep: 0 if ep <= 25 else 1 if ep <= 50 else 2
+    assert len(got) == 6 and {third(r["ep"]) for r in got.values()} == {0, 1, 2}
+    rows = pool.collect()
+    for k in (1, 2):
+        best = min(r["rank"] for r in rows if third(r["ep"]) == k)
+        assert best in got
