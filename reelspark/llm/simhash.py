@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import saved
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -274,14 +275,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return ids.join(groups(ids).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One document of each group, all columns: the one with the smallest doc_id (null after all others)."""
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    ids = saved(_ids(docs, size))
-    best = ids.join(groups(ids), "fp").groupBy("root").agg(F.min(first).alias("best")).select("best.doc_id", F.col("best.fp").alias("__fp"))
-    keys = ["__none", "__id", "__fp"]  # plain equality on these, so that join and dropDuplicates share one exchange
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies (minhash.py), all columns: the one with the smallest doc_id (null after all others)."""
+    ids = saved(minhash.keyed(docs))
+    roots = saved(components(minhash.edges(ids, docs)))
+    # rows of one node meet only after they were reduced to its smallest doc_id
+    low = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("node").alias("of"))).alias("best"))
+    best = low.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best")).select("best.doc_id", F.col("best.of").alias("__node"))
+    keys = ["__none", "__id", "__node"]  # plain equality on these, so that join and dropDuplicates share one exchange
     keyed = lambda df: df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))})
-    stay = keyed(fingerprints(docs, size, "__fp")).join(keyed(best).select(*keys), keys, "left_semi")
+    stay = keyed(minhash.nodes(docs, "__node")).join(keyed(best).select(*keys), keys, "left_semi")
     return stay.dropDuplicates(keys).select(*docs.columns)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontaminate, language, licences, packing, quality, rans, repeats, secrets, simhash, suffix_tree, tokens
+from reelspark.llm import decontaminate, language, licences, minhash, packing, quality, rans, repeats, secrets, simhash, suffix_tree, tokens
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -55,6 +55,28 @@ def test_bit_slices_find_every_link():
     assert len(near) == 350 and all(bin(x ^ y).count("1") <= 3 for x, y in near)
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK_BYTES, 3_000])
+def test_near_copies_by_shingles(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
+    r, texts = np.random.default_rng(5), []
+    for k in range(30):
+        base = prose(100 + k, 100).split()
+        for n in (0, 1, 1, 2, 3, 5):  # words changed; one leaves a similarity of about 0.9
+            copy = list(base)
+            for at in r.integers(0, 100, n):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    low = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if low[a] != low[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((low[a], low[b]))
+                low = [x if z == y else z for z in low]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicated(d).collect()} == set(low) and len(set(low)) < 100
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([("q1", prose(2, 300)[:120]), ("q2", "the END"), ("q3", None), ("q4", "")], "item_id string, text string")
     for size in (decontaminate.BLOCK_BYTES, 50):  # one automaton, and many
