@@ -3,6 +3,9 @@
 A text is cut only where the tokenizer's own pre-tokens end whatever stands around: before a single space or line feed
 between two non-space characters, and before a full stop or comma behind a letter or digit. So the ids of the pieces,
 one after the other, are the ids of the text. Null texts count as empty and have no ids.
+
+A literal that the tokenizer adds to its vocabulary, as <|endoftext|>, is its one id wherever it stands in a text, as the
+tokenizer gives it by itself; texts that hold one, in whatever case, are encoded whole.
 """
 
 from __future__ import annotations
@@ -55,7 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        self.literals = [t.content.lower() for t in self.inner.get_added_tokens_decoder().values()]
+        self.literal_start = re.match("[^a-z]*", os.path.commonprefix(self.literals))[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
@@ -65,6 +69,10 @@ class Encoder:
     def _plain(self, text: str) -> list[int]:
         return self.inner.encode(text, add_special_tokens=False).ids
 
+    def _literal(self, text: str) -> bool:
+        """Whether a literal is in the text or would be once lower-cased; what starts all of them is looked for first."""
+        return bool(self.literals) and self.literal_start in text and any(x in text.lower() for x in self.literals)
+
     def _learn(self, new: list[str]) -> None:
         """Ids of pieces that neither generation knows: many of them in one call, told apart by the mark."""
         inside = self.between.strip() or self.between
@@ -85,7 +93,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         for k in range(0, len(texts), 64):
-            cut = [pieces(t, self.folds) if t else [] for t in texts[k : k + 64]]
+            whole = {i: np.array(self._plain(t), np.uint32) for i, t in enumerate(texts[k : k + 64]) if t and self._literal(t)}
+            cut = [pieces(t, self.folds) if t and i not in whole else [] for i, t in enumerate(texts[k : k + 64])]
             if len(self.young) > self.memo:
                 self.young, self.old = {}, self.young
             young, old = self.young, self.old
@@ -101,7 +110,7 @@ class Encoder:
             for c, f, at in gaps:
                 for k in at:
                     f[k] = young[c[k]]
-            out += [np.frombuffer(b"".join(f), np.uint32) for f in found]
+            out += [whole[i] if i in whole else np.frombuffer(b"".join(f), np.uint32) for i, f in enumerate(found)]
         return out
 
 

@@ -104,6 +104,23 @@ def test_pieces_give_the_ids_of_the_text(name):
     assert [x.tolist() for x in e.encode(texts)] == [e._plain(t) for t in texts]
 
 
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_literals_of_the_tokenizer_have_their_ids(spark, name, tmp_path):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.tokenizer_path(name))
+    texts = ["<|endoftext|> a", "a b <|endoftext|>", "a.<|startoftext|>b\n c", "<|ENDOFTEXT|> a", "<|EndOfText|>", "<|endof text|>", "<|endof", "text|>", "<| a |>", "plain, text"]
+    ids = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.Encoder(tokens.tokenizer_path(name), memo=2).encode(texts)] == ids
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    if name == tokens.WORD_BPE:
+        got = {r["doc_id"]: r["ids_crc32"] for r in rans.read(spark, rans.write(d, f"file:{tmp_path}/a")).collect()}
+    else:
+        got = {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(d).where("length = doc_tokens").collect()}
+    end = 2 if name == tokens.WORD_BPE else 0
+    assert got and all(crc == zlib.crc32(np.array([*ids[i], end], "<u4").tobytes()) for i, crc in got.items())
+
+
 def test_packing(docs, none):
     e = tokens.Encoder(tokens.tokenizer_path(tokens.BYTE_BPE))
     got = packing.pack_documents(docs).collect()
