@@ -235,3 +235,23 @@ def test_quality(spark, docs, none):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
     assert quality.judge(none, labels).count() == 0
     assert docs.select(F.count("*")).first()[0] == len(TEXTS)
+
+
+def test_quality_cutoffs_of_small_strata(spark, caplog):
+    kinds = [("de", 1, 0, 300), ("de", 0, 40, 20), ("fr", 1, 0, 110), ("fr", 0, 200, 9), ("xx", 1, 0, 60), ("xx", 0, 200, 5), ("yy", 0, 200, 5)]
+    rows = [(s, q, 100, 500, symbols, 0, 10, 0) for s, q, symbols, n in kinds for _ in range(n)]
+    d = spark.createDataFrame(rows, "stratum string, quality int, " + ", ".join(f"{c} long" for c in quality._COUNTS))
+    cuts = quality.cutoffs(d)
+    assert set(cuts) == {"de", "fr"} and "'xx', 'yy'" in caplog.text
+    left = {(r["stratum"], r["quality"]) for r in d.where(quality.passes(cuts)).collect()}
+    assert left == {("de", 1), ("fr", 1), ("xx", 1), ("xx", 0), ("yy", 0)}
+
+
+def test_quality_sets_keep_their_guarantee():
+    r, wrong = np.random.default_rng(3), 0
+    shape = [len(c) for c in quality.CUTS.values()]
+    for _ in range(100):  # each rule's strictest cutoff alone rejects 6 % of good documents
+        at = np.where(r.random((400, len(shape))) < 0.06, 1, 0)
+        got = quality.chosen(at, np.ones(400, int), np.zeros(400, int), quality.ALPHA, quality.DELTA)
+        wrong += got is not None and 0 in got
+    assert wrong <= 5
