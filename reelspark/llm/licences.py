@@ -3,6 +3,9 @@
 A text is cut into sentences, each is normalised (A-Z lower-cased, runs of other characters than a-z and 0-9 become one
 space) and looked up among the known licence sentences. The identifiers found, in text order, are matched against ordered
 rules: a rule holds if its identifiers occur in its order, others between them allowed; of each family the first rule wins.
+A known sentence begins and ends where a sentence or line does and may be wrapped, its lines indented or behind comment marks.
+The SQL twin joins only lines that go on with a-z or "(" at once; where no other known sentence is wrapped, both agree.
+As in the SQL, a sentence of several parts is known by its last one alone, so "mit" by itself counts as an SPDX tag's.
 
 Null and empty texts have no sentences and no licences. Repeated sentences count each time; repeated rows keep a row each;
 ties cannot arise, as rules have a fixed order; extra columns are ignored. No shuffle: one pass over the table.
@@ -82,6 +85,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that goes on in the next one; where sentences end; what a normalised sentence has none of.
 WRAP, END, OTHER = r"([^.!?;:\n])\n([a-z(])", r"[.!?;:]+[ \t\r\n]+|\n|[.!?;:]+\z", r"[^a-z0-9\x01]+"
 
+#: A comment mark that would end a sentence; sentence ends but for a line's.
+COMMENT, MARKS = r"(^|\n)[ \t]*;+", r"[.!?;:]+[ \t\r\n]+|[.!?;:]+\z"
+
 
 def normalised(sentence: str) -> str:
     return re.sub(OTHER, " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip()
@@ -94,19 +100,25 @@ def known() -> dict[str, str]:
     }
 
 
-def sentences(text: Column) -> Column:
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), WRAP, "$1 $2")
-    body = F.translate(body, UPPER + "\x01", LOWER + " ")
-    body = F.regexp_replace(F.regexp_replace(body, END, "\x01"), OTHER, " ")
-    return F.filter(F.transform(F.split(body, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+def marked(text: Column) -> Column:
+    """The normalised sentences; \x01 stands where one ends, \x02 where only a line does, after which a sentence may go on."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "$1 ")
+    body = F.translate(F.regexp_replace(body, WRAP, "$1 $2"), UPPER + "\x01\x02", LOWER + "  ")
+    body = F.translate(F.regexp_replace(body, MARKS, "\x01"), "\n", "\x02")
+    body = F.regexp_replace(body, r"[^a-z0-9\x01\x02]+", " ")  # with it go indentation and most comment marks
+    body = F.regexp_replace(body, r"\x02 ?(?:\x02 ?)+", "\x01")  # no sentence goes on behind an empty line
+    return F.trim(F.regexp_replace(body, r" ?([\x01\x02]) ?", "$1"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids and licences (comma-joined, in text and rule order), n_licences."""
     ids = known()
     names = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))
-    found = docs.select("doc_id", sentences(F.col("text")).alias("all")).select("doc_id", F.size("all").alias("n_sentences"), F.filter("all", lambda s: s.isin(*ids)).alias("hits"))
-    found = found.withColumn("hits", F.transform("hits", lambda s: F.element_at(names, s)))
+    longest = sorted(ids, key=lambda s: (-len(s), s))
+    one = F.lit(r"(?<![^\x01\x02])(" + "|".join(s.replace(" ", r"[ \x02]") for s in longest) + r")(?![^\x01\x02])")
+    found = docs.select("doc_id", marked(F.col("text")).alias("body"))
+    found = found.select("doc_id", F.size(F.filter(F.split("body", r"[\x01\x02]"), lambda s: s != "")).alias("n_sentences"), F.regexp_extract_all("body", one, F.lit(1)).alias("hits"))
+    found = found.withColumn("hits", F.transform("hits", lambda s: F.element_at(names, F.translate(s, "\x02", " "))))
     line = F.concat(F.lit("<"), F.array_join("hits", "><"), F.lit(">"))
     picks, earlier = [], {}
     for name, family, seq in RULES:

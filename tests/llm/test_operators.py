@@ -1,6 +1,7 @@
 """The ten operators against brute force on small rows, with nulls, empty and repeated texts, ties and clashing columns."""
 
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -255,3 +256,22 @@ def test_quality_sets_keep_their_guarantee():
         got = quality.chosen(at, np.ones(400, int), np.zeros(400, int), quality.ALPHA, quality.DELTA)
         wrong += got is not None and 0 in got
     assert wrong <= 5
+
+
+def test_wrapped_licences(spark):
+    def wrapped(ids, mark, width=60):
+        return "\n".join(mark + line for k in ids for line in textwrap.wrap(licences.SENTENCES[k] + ".", width))
+
+    bsd, mit = ["bsd-grant", "bsd-source", "bsd-binary"], ["mit-grant", "mit-notice", "as-is"]
+    cases = {
+        f"BSD-2-Clause{m}": ("BSD-2-Clause", wrapped(bsd, m)) for m in ("", "   ", "# ", " * ", "// ", "; ", "    -- ")
+    } | {
+        "mit": ("MIT", "/*\n * Copyright A\n *\n" + wrapped(mit, " * ") + "\n */"),
+        "gpl": ("GPL-3.0-or-later", wrapped(["gpl-redistribute", "gpl-warranty"], "# ", 50)),
+        "numbered": ("BSD-2-Clause", wrapped(bsd[:1], "") + "\n\n 1. " + wrapped(bsd[1:2], "    ").strip() + "\n 2. " + wrapped(bsd[2:], "    ").strip()),
+        "spdx": ("MIT", "// SPDX-License-Identifier: MIT\n#include <a>"),
+        "heading": ("MIT-name-only", "MIT License\n\nCopyright A"),
+        "apart": ("", "Released under\n\nthe MIT License"),
+    }
+    d = spark.createDataFrame([(k, t) for k, (_, t) in cases.items()], "doc_id string, text string")
+    assert {r["doc_id"]: r["licences"] for r in licences.find(d).collect()} == {k: w for k, (w, _) in cases.items()}
