@@ -1,17 +1,21 @@
-"""Secret scans over a trigram index, with DataFrame functions only.
+"""Secret scans over a trigram inverted index, with DataFrame functions only.
 
 Each rule's regular expression gives a Boolean trigram query: a conjunction of clauses, each a choice between literal
-strings that any match must hold one of, each string being the conjunction of its trigrams. The postings are bitmaps: bit t
-of a document's posting word says that trigram t occurs in its lower-cased text; a query is answered by intersecting those
-words, and only candidates are verified with the expression itself. Rules without a mandatory trigram scan every text.
-Postings stay beside their document, so candidates need no shuffle to reach their text.
+strings that any match must hold one of, each string being the conjunction of its trigrams. The index has a posting list
+(keys of documents, a block of BLOCK_DOCS keys a list) for every trigram that a query names; a query is answered by
+intersecting and uniting its lists. Only documents that it names are verified with the expression itself; rules without a
+mandatory trigram scan every text. So that no text is shuffled, the answers go back to the texts as one bitmap of keys a
+rule, whose size is bounded by FILTER_BITS whatever the table's size; keys that share a bit only add verifications.
 
 Null and empty texts have no spans; spans of different kinds may overlap and are all reported, ordered by start, then by
-kind as listed; repeated rows keep a row each; extra columns are kept by `redacted` and ignored by `find`.
+kind as listed; repeated rows keep a row each, and null doc_ids stay null; extra columns, whatever their names but for
+those that begin with "__", are kept by `redacted` and ignored by `find`; an empty table gives no rows. Texts are read
+whole; places are running totals in two levels, so a text of n spans takes n^1.5 small steps and copies itself once.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from itertools import product
 
@@ -33,10 +37,19 @@ RULES = [
     Rule("assign", ASSIGN, 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16, True),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # up to the end line, or where it is missing the lines of the body
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:, \t\r\n-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=]{16,}){0,60})"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("lab_token", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("chat_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]{20,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("pay_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("package_token", r"(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,})"),
+    Rule("mail_key", r"SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}"),
+    Rule("bearer", r"[bB]earer [A-Za-z0-9._~+/=-]{20,}"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]{1,64}:[A-Za-z0-9._%+!*-]{3,64}@"),
 ]
 _MANY = 64
 
@@ -92,74 +105,107 @@ def trigram_query(pattern: str) -> list[list[set[str]]]:
     return clauses
 
 
-def _queries(rules: list[Rule]) -> tuple[list[str], dict[str, list[list[int]]]]:
-    """The trigrams of all queries, and each rule's clauses as masks over them."""
-    got = {r.kind: trigram_query(r.pattern) for r in rules}
-    grams = sorted({t for c in got.values() for alternatives in c for a in alternatives for t in a})
-    at = {t: 1 << k for k, t in enumerate(grams)}
-    return grams, {k: [[sum(at[t] for t in a) for a in alternatives] for alternatives in c] for k, c in got.items()}
+#: Keys of documents in one block of the index on average, and so in one posting list at most about as many.
+BLOCK_DOCS = 16_384
+#: Bits of a rule's bitmap: 8 a document, 2**FILTER_BITS (4 MB) at most, in pieces of PIECE bits.
+FILTER_BITS, PIECE = 25, 15
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPANS = "array<struct<start:int,ord:int,stop:int,kind:string>>"
 
 
-#: Trigrams that one posting word holds.
-WORD = 60
+def _key() -> Column:
+    """A document's key in the index; equal rows share it, and a meeting of hashes only adds a verification."""
+    return F.xxhash64("doc_id", "text")
 
 
-def postings(text: Column, grams: list[str]) -> list[Column]:
-    """One column for each WORD trigrams."""
-    out = []
-    for k in range(0, len(grams), WORD):
-        word = F.lit(0).cast("long")
-        for j, t in enumerate(grams[k : k + WORD]):
-            word = word.bitwiseOR(F.when(text.contains(t), F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")))
-        out.append(word)
-    return out
+def index(docs: DataFrame, grams: list[str], blocks: int) -> DataFrame:
+    """block, term and its posting list: the keys of the block's documents that hold the trigram, in either case."""
+    low = F.translate("text", UPPER, LOWER)
+    terms = let(low, lambda body: F.filter(F.array(*map(F.lit, grams)), lambda t: F.contains(body, t)))
+    held = docs.select(_key().alias("key"), F.explode(terms).alias("term"))
+    return held.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "term").agg(F.collect_set("key").alias("docs"))
 
 
-def candidate(words: list[Column], clauses: list[list[int]]) -> Column:
-    """The query's intersection of postings: every clause has an alternative whose trigrams are all there."""
-    out = F.lit(True)
-    for alternatives in clauses:
-        either = F.lit(False)
-        for m in alternatives:
-            every = F.lit(True)
-            for k, w in enumerate(words):
-                if part := m >> (k * WORD) & ((1 << WORD) - 1):
-                    every = every & (w.bitwiseAND(F.lit(part).cast("long")) == F.lit(part).cast("long"))
-            either = either | every
-        out = out & either
-    return out
+def answers(postings: DataFrame, queries: list[list[list[set[str]]]]) -> DataFrame:
+    """rule (a place in queries) and key of each document that answers its query: lists intersected, alternatives united."""
+    lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("term", "docs"))).alias("lists"))
+    held = lambda t: F.coalesce(F.col("lists")[t], F.array().cast("array<long>"))
+    fold = lambda xs, one, join: F.aggregate(F.slice(xs, 2, F.size(xs)), one(F.get(xs, F.lit(0))), lambda acc, x: join(acc, one(x)))
+    every = lambda terms: fold(terms, held, F.array_intersect)
+    some = lambda clause: fold(clause, every, F.array_union)
+    asked = F.from_json(F.lit(json.dumps([{"rule": k, "query": [[sorted(terms) for terms in clause] for clause in q]} for k, q in enumerate(queries) if q])), "array<struct<rule:int,query:array<array<array<string>>>>>")
+    got = F.transform(asked, lambda q: F.struct(q["rule"].alias("rule"), fold(q["query"], some, F.array_intersect).alias("keys")))
+    return lists.select(F.inline(got)).select("rule", F.explode("keys").alias("key"))
+
+
+def candidates(docs: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, int]:
+    """piece and maps: for each rule with a query a piece of its bitmap of keys; and the bitmap's size in bits. None if no rule has a query."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    grams = sorted({t for q in queries for clause in q for terms in clause for t in terms})
+    n = docs.count()
+    bits = 1 << max(PIECE, min(FILTER_BITS, (8 * n).bit_length()))
+    if not grams:
+        return None, bits
+    spot = F.pmod("key", F.lit(bits))
+    got = answers(index(docs, grams, max(1, -(-n // BLOCK_DOCS))), queries)
+    pieces = got.groupBy("rule", F.shiftright(spot, PIECE).alias("__piece")).agg(F.bitmap_construct_agg(spot.bitwiseAND(F.lit((1 << PIECE) - 1))).alias("map"))
+    return pieces.groupBy("__piece").agg(F.map_from_entries(F.collect_list(F.struct("rule", "map"))).alias("__maps")), bits
+
+
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """Running totals of an array under join, in two levels: totals of blocks of about sqrt(n), then within each block."""
+
+    def within(blocks: Column, sums: Column) -> Column:
+        one = lambda b, k: let(F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), join), lambda head: F.transform(b, lambda _, j: join(head, F.aggregate(F.slice(b, F.lit(1), j + 1), F.lit(0), join))))
+        return F.flatten(F.transform(blocks, one))
 
+    def split(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        cut = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda k: F.slice(v, k * w + 1, w)))
+        return let(cut, lambda blocks: let(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), join)), lambda sums: within(blocks, sums)))
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Leftmost non-overlapping matches as (start, ord, stop, kind); what split() leaves lies between them."""
-    p = F.lit(rule.pattern)
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("val"))
-    kind = "struct<at:int,out:array<struct<start:int,ord:int,stop:int,kind:string>>>"
-
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["gap"])
-        stop = start + F.char_length(x["hit"])
-        one = F.struct(start.alias("start"), F.lit(order).alias("ord"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-        keep = x["hit"].isNotNull() & (F.char_length(x["val"]) >= rule.least)
-        return F.struct(stop.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out")).cast(kind)
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>").alias("out")).cast(kind)
-    return F.aggregate(parts, zero, step, lambda a: a["out"])
-
-
-def with_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """All columns of docs and __spans: (start, ord, stop, kind), ordered; offsets are code points, stops exclusive."""
-    grams, masks = _queries(rules)
-    body = F.coalesce(F.col("text"), F.lit(""))
-    low = docs.withColumn("__low", F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    words = {f"__post_{k}": w for k, w in enumerate(postings(F.col("__low"), grams))}
-    low = low.withColumns(words).drop("__low")
-    none = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")
-    found = []
+    return let(values, lambda v: F.when(F.size(v) > 0, split(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _spans(text: Column, rule: Rule, order: int, measure) -> Column:
+    """Leftmost non-overlapping matches as (start, ord, stop, kind), in units of measure; what split() leaves lies between them."""
+
+    def placed(gaps: Column, hits: Column) -> Column:
+        ends = running(F.transform(hits, lambda h, i: measure(F.get(gaps, i)) + measure(h)), _add)
+        value = lambda h: F.regexp_extract(h, rule.pattern, rule.group) if rule.group else h
+        span = lambda h, e: F.struct((e - measure(h)).alias("start"), F.lit(order).alias("ord"), e.alias("stop"), F.when(F.char_length(value(h)) >= rule.least, F.lit(rule.kind)).alias("kind"))
+        return F.filter(F.zip_with(hits, ends, span), lambda s: s["kind"].isNotNull())
+
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    return let(hits, lambda h: F.when(F.size(h) > 0, let(F.split(text, rule.pattern, -1), lambda gaps: placed(gaps, h))).otherwise(F.array().cast(_SPANS)))
+
+
+def with_spans(docs: DataFrame, rules: list[Rule] = RULES, measure=F.char_length) -> DataFrame:
+    """All columns of docs and __spans: (start, ord, stop, kind), ordered; offsets are code points or what measure counts, stops exclusive."""
+    found, bits = candidates(docs, rules)
+    spot = F.pmod(_key(), F.lit(bits))
+    out = docs.withColumn("__spot", spot)
+    if found is not None:  # at most 2 ** (FILTER_BITS - PIECE) rows of 4 KB a rule
+        out = out.withColumn("__piece", F.shiftright("__spot", PIECE)).join(F.broadcast(found), "__piece", "left")
+    bit = F.col("__spot").bitwiseAND(F.lit((1 << PIECE) - 1)).cast("int")
+    none, all_spans = F.array().cast(_SPANS), []
     for k, r in enumerate(rules):
-        maybe = candidate([F.col(w) for w in words], masks[r.kind]) if masks[r.kind] else F.lit(True)
-        found.append(F.when(maybe & body.rlike(r.pattern), _spans(body, r, k)).otherwise(none))
-    return low.withColumn("__spans", F.array_sort(F.concat(*found))).drop(*words)
+        if trigram_query(r.pattern):
+            byte = F.conv(F.hex(F.substring(F.col("__maps")[k], F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+            maybe = F.coalesce((F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))) % 2) == 1, F.lit(False))
+        else:
+            maybe = F.coalesce(F.col("text").rlike(r.pattern), F.lit(False))
+        all_spans.append(F.when(maybe, _spans(F.col("text"), r, k, measure)).otherwise(none))
+    return out.withColumn("__spans", F.array_sort(F.concat(*all_spans))).drop("__spot", "__piece", "__maps")
 
 
 def _joined(spans: Column) -> Column:
@@ -175,14 +221,19 @@ def find(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: list[Rule] = RULES) -> DataFrame:
     """docs with each run of overlapping spans in text replaced by the mark; other columns stay."""
-    kind = "struct<at:int,out:string>"
-
-    def step(acc, x):
-        gap = F.when(x["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], gap).alias("out")).cast(kind)
 
-    text = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length(F.col("text")))))
-    return with_spans(docs, rules).withColumn("text", F.when(F.size("__spans") > 0, text).otherwise(F.col("text"))).drop("__spans")
+    def cut(body: Column, spans: Column, stops: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(stops, i - 1))
+        heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), new)
+        end = lambda i: F.when(i > 0, F.get(stops, i - 1)).otherwise(0)
+        piece = lambda i: F.substring(body, end(i) + 1, F.get(spans, i)["start"] - end(i)).cast("string")
+        last = F.substring(body, F.element_at(stops, -1) + 1, F.octet_length(body)).cast("string")
+        return F.array_join(F.concat(F.transform(heads, piece), F.array(last)), mark)
+
+    stops = running(F.transform("__spans", lambda x: x["stop"]), F.greatest)
+    text = let(F.col("text").cast("binary"), lambda body: let(stops, lambda s: cut(body, F.col("__spans"), s)))
+    out = with_spans(docs, rules, F.octet_length)
+    return out.select(*(F.when(F.size("__spans") > 0, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
