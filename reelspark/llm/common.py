@@ -15,10 +15,13 @@ CHUNK_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
+    if not there and spark.sparkContext.master.startswith("local"):  # one machine, so its own folder is shared
         there = "file:" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not there:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(there)
     return there
 
@@ -34,6 +37,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as Parquet in the shared folder, so that later readers take only the columns they need."""
+    there = new_table(df.sparkSession, name)
+    df.write.parquet(there)
+    return df.sparkSession.read.schema(df.schema).parquet(there)
+
+
+#: Rows of a table of single numbers or words up to which it is broadcast; beyond it Spark joins by shuffle.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if they have been counted as FEW at most. df: cheap to count, as when saved."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def pack(a: np.ndarray, ascending: bool = False) -> bytes:
     """An integer or float array as compressed bytes; ascending ones are stored as differences."""
     if ascending and len(a):

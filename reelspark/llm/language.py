@@ -1,12 +1,14 @@
 """Language identification by a blended-spectrum string kernel, Nystroem landmarks and one-versus-rest ridge regression.
 
 The kernel of two texts is the share of letter n-grams (1 to ORDERS letters, words padded by a space) present in both:
-|A n B| / sqrt(|A| |B|). It is learnt on a bounded, documented sample: at most PER_LANG texts a language, chosen by the hash
-of doc_id; LANDMARKS of them span the Nystroem map K_mm^(-1/2). Prediction multiplies batches of presence rows with the
-landmarks' presence matrix, then with the map and the ridge weights.
+|A n B| / sqrt(|A| |B|). It is learnt on a bounded, documented sample: at most PER_LANG texts a language and about SAMPLE in
+all, however many languages there are, chosen by the hash of doc_id; LANDMARKS of them (2 a language where that is more, up
+to LANDMARKS_MOST) span the Nystroem map K_mm^(-1/2). Prediction multiplies batches of presence rows with the landmarks'
+presence matrix, then with the map and the ridge weights. No language is left out of the sample for being rare.
 
 Null texts and texts without a letter are `und` with score 0; if nothing was learnt, all are. Labels that are null are never
-learnt from. Ties go to the language first in order. Repeated rows get equal results; extra columns are ignored.
+learnt from, nor are rows with a null doc_id, whose held_out is false. Ties go to the language first in order. Repeated rows
+get equal results; extra columns, whatever their names, are ignored; an empty table gives no rows; texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import few, saved
+
 #: Parameters of the bounded sample and the kernel.
-PER_LANG, LANDMARKS, ORDERS, RIDGE, MAX_LANGS = 300, 192, 3, 1e-3, 200
+PER_LANG, SAMPLE, LANDMARKS, LANDMARKS_MOST, ORDERS, RIDGE = 300, 60_000, 192, 1024, 3, 1e-3
 BITS = 17
 _BATCH = 128
 
@@ -66,7 +70,8 @@ class Model:
 
     def __init__(self, langs: list[str], labels: np.ndarray, sets: list[np.ndarray]):
         self.langs = langs
-        order = np.argsort(np.arange(len(sets)) % max(1, len(sets) // max(1, LANDMARKS)), kind="stable")[:LANDMARKS]
+        n = max(LANDMARKS, min(2 * len(langs), LANDMARKS_MOST))
+        order = np.argsort(np.arange(len(sets)) % max(1, len(sets) // n), kind="stable")[:n]
         marks = [sets[k] for k in order]
         used = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
         self.column = np.full(1 << BITS, len(used), np.int32)
@@ -103,14 +108,12 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """Up to about per_lang labelled rows a language with text, by the hash of doc_id: lang and its presence set."""
+    """Up to about per_lang labelled rows a language with text, by the hash of doc_id: doc_id, lang, text."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    n = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    rate = F.lit(0.0)
-    for r in n:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["count"]))).otherwise(rate)
+    sizes = saved(known.groupBy("lang").agg(F.count("*").alias("__n")))
+    each = max(1, min(per_lang, SAMPLE // max(1, sizes.count())))
     spot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return known.where(spot < rate).select("doc_id", "lang", "text")
+    return known.select("doc_id", "lang", "text", spot.alias("__spot")).join(few(sizes), "lang").where(F.col("__spot") < F.lit(each) / F.col("__n")).select("doc_id", "lang", "text")
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
@@ -125,8 +128,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     got, sets = zip(*[(g, s) for g, s in zip(got, sets, strict=True) if len(s)], strict=True) if any(map(len, sets)) else ((), ())
     if not got:
         return None
-    langs = sorted({g[0] for g in got})
-    return Model(langs, np.array([langs.index(g[0]) for g in got]), list(sets))
+    number = {lang: k for k, lang in enumerate(sorted({g[0] for g in got}))}
+    return Model(list(number), np.array([number[g[0]] for g in got]), list(sets))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

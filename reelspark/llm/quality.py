@@ -10,7 +10,10 @@ that rejects fewest good ones, then the strictest). With four strata and no reje
 
 Null and empty texts have no words (base_failed holds). Strata without labels use base rules alone (as do those with too few, above); null strata are one
 stratum; labels with null quality or doc_id are ignored, as are labels without a document; repeated labels count once,
-and documents labelled both good and bad count as bad; extra columns are kept by `kept_documents` and ignored by `judge`.
+and documents labelled both good and bad count as bad; extra columns, whatever their names, are kept by `kept_documents`
+and ignored by `judge`; an empty table gives no rows; texts are read whole. The bound is on the good documents that pass
+the base rules: what those reject was never the method's to keep. There may be any number of strata: their counts meet on
+Spark, one group a stratum, and their cutoffs are a table, joined by stratum.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import few, saved, written
 
 ALPHA, DELTA = 0.05, 0.05
 #: Candidate cutoffs of each rule, strictest first; rejected is what exceeds (or, for least, falls under) the cutoff.
@@ -35,8 +38,6 @@ CUTS = {
     "long_words": [9.0, 10.0, 11.0, 12.0, 14.0],
     "short_words": [-5.0, -4.5, -4.0, -3.5, -3.0],
 }
-#: Strata with most labels that get cutoffs of their own.
-MAX_STRATA = 200
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
 
@@ -70,18 +71,18 @@ def measures(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     return n, chars, symbols, dup, lines, repeat
 
 
-def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """All columns of docs but text, with the counts and stratum."""
-    keep = docs.withColumn("text_", F.col("text").cast("binary")).withColumn("stratum", F.coalesce(F.col(stratum), F.lit(""))).drop("text")
-    names = [c for c in keep.columns if c != "text_"]
+def measured(docs: DataFrame, keep: list[str], stratum: str = "lang") -> DataFrame:
+    """doc (the columns to keep), doc_id, stratum and the counts of each row."""
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), "doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.col("text").cast("binary").alias("text"))
+    names = ["doc", "doc_id", "stratum"]
 
     def rows(batches):
         for b in batches:
-            got = [measures(t) for t in b["text_"].to_pylist()]
+            got = [measures(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *(pa.array(c, pa.int64()) for c in zip(*got, strict=True))], [*names, *_COUNTS])
 
-    schema = keep.select(*names, *(F.lit(0).cast("long").alias(c) for c in _COUNTS)).schema
-    return keep.mapInArrow(rows, schema)
+    schema = given.select(*names, *(F.lit(0).cast("long").alias(c) for c in _COUNTS)).schema
+    return given.mapInArrow(rows, schema)
 
 
 def base_failed() -> Column:
@@ -153,67 +154,57 @@ def chosen(passing: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float,
     return tuple(sets[np.lexsort((sets.sum(axis=1), rejected[at], left[1][at]))[0]].tolist())
 
 
-def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Stratum -> rule -> cutoff. labelled: rows of measured() with quality; only those that pass the base rules count."""
+_CUT = [f"cut_{r}" for r in CUTS]
+
+
+def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, good (labels) and a cutoff a rule (null: the rule is off). labelled: counts with quality; only those that pass the base rules count.
+
+    A stratum's group has at most one row for each combination of places in CUTS.
+    """
     places = [sum((v > c).cast("int") for c in CUTS[r]).alias(r) for r, v in rule_values().items()]
     kinds = labelled.where(F.col("quality").isin(0, 1) & ~base_failed()).select("stratum", "quality", *places).groupBy("stratum", *CUTS)
     marks = [F.sum((F.col("quality") == q).cast("long")).alias(name) for q, name in ((1, "good"), (0, "bad"))]
-    strata: dict[str, list] = {}
-    for r in kinds.agg(*marks).collect():
-        strata.setdefault(r["stratum"], []).append([*(r[c] for c in CUTS), r["good"], r["bad"]])
-    found = {k: np.array(v) for k, v in sorted(strata.items())}
-    found = {k: v for k, v in sorted(found.items(), key=lambda kv: -kv[1][:, -2].sum())[:MAX_STRATA] if v[:, -2].sum()}
-    out: dict[str, dict[str, float]] = {}
-    for stratum, v in found.items():
-        at = chosen(v[:, :-2], v[:, -2], v[:, -1], alpha, delta / len(found))
-        if at is not None:
-            out[stratum] = {rule: cuts[k] for (rule, cuts), k in zip(CUTS.items(), at, strict=True) if k < len(cuts)}
-    if none := sorted(set(strata) - set(out)):
-        logging.getLogger(__name__).warning("too few good labels for cutoffs, base rules alone: %s", ", ".join(map(repr, none)))
+    kinds = saved(kinds.agg(*marks))
+    strata = kinds.where("good > 0").agg(F.count_distinct("stratum")).first()[0]
+
+    def choose(t: pa.Table) -> pa.Table:
+        v = np.column_stack([t[c].to_numpy() for c in [*CUTS, "good", "bad"]])
+        good = int(v[:, -2].sum())
+        at = chosen(v[:, :-2], v[:, -2], v[:, -1], alpha, delta / strata) if good else None
+        cuts = [None] * len(CUTS) if at is None else [c[k] if k < len(c) else None for c, k in zip(CUTS.values(), at, strict=True)]
+        return pa.table({"stratum": t["stratum"][:1], "good": pa.array([good], pa.int64())} | {n: pa.array([c], pa.float64()) for n, c in zip(_CUT, cuts, strict=True)})
+
+    out = saved(kinds.groupBy("stratum").applyInArrow(choose, "stratum string, good long, " + ", ".join(f"{c} double" for c in _CUT)))
+    none = out.where(F.coalesce(*map(F.col, _CUT)).isNull()).agg(F.count("*"), F.min("stratum"), F.max("stratum")).first()
+    if none[0]:
+        logging.getLogger(__name__).warning("too few good labels for cutoffs, base rules alone: %d strata, from %r to %r", *none)
     return out
 
 
-def passes(cuts: dict[str, dict[str, float]]) -> Column:
-    """The method's verdict."""
-    out, values = F.lit(True), rule_values()
-    for stratum, rules in cuts.items():
-        fine = F.lit(True)
-        for rule, c in rules.items():
-            fine = fine & (values[rule] <= c)
-        out = F.when(F.col("stratum") == stratum, fine).otherwise(out)
+def passes() -> Column:
+    """The method's verdict; a rule without a cutoff rejects nothing."""
+    out = F.lit(True)
+    for rule, value in rule_values().items():
+        out = out & F.coalesce(value <= F.col(f"cut_{rule}"), F.lit(True))
     return out
 
 
-def with_verdict(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of measured() with base_failed and kept; the counts are computed once and kept in the shared folder."""
-    rows = saved(measured(docs))
+def with_verdict(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of measured() with base_failed and kept. Each text is measured once; of what is then written only the counts go to the labels."""
+    rows = written(measured(docs, keep), "measured")
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     cuts = cutoffs(rows.select("doc_id", "stratum", *_COUNTS).join(marks, "doc_id"))
-    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passes(cuts))
+    return rows.join(few(cuts), "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passes())
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return with_verdict(docs.select("doc_id", "text", "lang"), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "stratum")
+    return with_verdict(docs, labels, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "stratum")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, that are kept: the labelled ones choose the cutoffs, then all are read and judged once."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # counts, not texts, go to the labels
-    cuts = cutoffs(measured(docs.select("doc_id", "text", "lang")).select("doc_id", "stratum", *_COUNTS).join(marks, "doc_id"))
-
-    def stays(text: str | None, stratum: str | None) -> bool:
-        n, chars, symbols, dup, lines, repeat = measures(None if text is None else text.encode())
-        if n < 50 or 100 * repeat > 50 * n:
-            return False
-        value = {"symbol_share": symbols / max(chars, 1), "dup_line_share": dup / max(lines, 1), "repeat_share": repeat / n, "long_words": chars / n, "short_words": -chars / n}
-        return all(value[r] <= c for r, c in cuts.get(stratum or "", {}).items())
-
-    def rows(batches):
-        for b in batches:
-            yield b.filter(pa.array([stays(t, s) for t, s in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True)], pa.bool_()))
-
-    return docs.mapInArrow(rows, docs.schema)
+    """The documents, all columns, that are kept."""
+    return with_verdict(docs, labels, docs.columns).where("kept").select("doc.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
