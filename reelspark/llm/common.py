@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def pack(a: np.ndarray, ascending: bool = False) -> bytes:
 
 def unpack(b: bytes, dtype, ascending: bool = False) -> np.ndarray:
     kind = np.dtype(dtype)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=1 << 31), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
     a = np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
     return np.cumsum(a, dtype=kind) if ascending and len(a) else a
 
@@ -94,3 +95,75 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that keeps rows of a bucket together, as they came, and where each bucket ends."""
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n), side="right")
+
+
+#: Messages that a sender cuts its keys into at most. Where that is too few for tasks to stay small, relays cut them further.
+FAN = 64
+_ASK = "sender long, place long, keys binary, values binary"
+_REPLY = "sender long, place long, reply binary"
+
+
+def _cut(keys: np.ndarray, place: int, parts: int, of: int) -> np.ndarray:
+    """Where ascending keys of place (one of `of` equal ranges of all 64-bit numbers) cross into each of its parts."""
+    edges = [(place * parts + k) * (1 << 64) // (of * parts) for k in range(1, parts)]
+    return np.searchsorted(keys, np.array(edges, np.uint64))
+
+
+def messages(sender: int, keys: np.ndarray, values: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of _ASK: ascending keys and their values, one message for each range of keys, empty ones too."""
+    at = _cut(keys, 0, parts, 1)
+    return [(sender, k, pack(a, True), pack(v)) for k, (a, v) in enumerate(zip(np.split(keys, at), np.split(values, at), strict=True))]
+
+
+def ask_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("sender", "place", "keys", "values"), kinds, strict=True))})
+
+
+def _reply_table(rows: list[tuple]) -> pa.Table:
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("sender", pa.int64()), ("place", pa.int64()), ("reply", pa.binary())))})
+
+
+def tally(asks: DataFrame, senders: int, parts: int, ranges: int, value, answer) -> DataFrame:
+    """Sums over all senders of the values of each key, sent back to every sender that named the key.
+
+    asks: rows of messages(), cut into parts; value: their numpy type; answer(sums) gives the array that is sent back, in the
+    order of the sender's keys. Keys are hashes, so ranges of them are even, and a key comes from a sender once: no key is
+    hot. Rows of _REPLY come back. ranges: how many tasks the sums need. Where it exceeds parts, relays sum the messages of up
+    to FAN senders, cut them on, and pass the answers back; so each hop moves as many rows as senders times FAN.
+    """
+    value = np.dtype(value)
+
+    def read(t: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        named = [unpack(b, np.uint64, True) for b in t["keys"].to_pylist()]
+        keys, where = np.unique(np.concatenate(named), return_inverse=True)
+        sums = np.bincount(where, np.concatenate([unpack(b, value) for b in t["values"].to_pylist()]), len(keys)).astype(value)
+        return np.cumsum([len(a) for a in named])[:-1], keys, where, sums
+
+    def total(t: pa.Table) -> pa.Table:
+        ends, _, where, sums = read(t)
+        back = np.split(answer(sums)[where], ends)
+        return _reply_table([(s, p, pack(b)) for s, p, b in zip(t["sender"].to_pylist(), t["place"].to_pylist(), back, strict=True)])
+
+    if ranges <= parts:
+        return asks.groupBy("place").applyInArrow(total, _REPLY)
+    group, of = -(-senders // FAN), parts
+    asks = asks.withColumn("relay", F.pmod(F.xxhash64("sender"), F.lit(group)))
+    kind = answer(np.zeros(0, value)).dtype
+
+    def relay(t: pa.Table) -> pa.Table:
+        _, keys, _, sums = read(t)
+        place, me = t["place"][0].as_py(), t["relay"][0].as_py()
+        at = _cut(keys, place, FAN, of)
+        return ask_table([(me, place * FAN + k, pack(a, True), pack(v)) for k, (a, v) in enumerate(zip(np.split(keys, at), np.split(sums, at), strict=True))])
+
+    def back(t: pa.Table, replies: pa.Table) -> pa.Table:
+        t = t.sort_by("sender")
+        ends, _, where, _ = read(t)
+        got = dict(zip(replies["place"].to_pylist(), replies["reply"].to_pylist(), strict=True))
+        sent = np.split(np.concatenate([unpack(got[p], kind) for p in sorted(got)])[where], ends)
+        return _reply_table([(s, p, pack(b)) for s, p, b in zip(t["sender"].to_pylist(), t["place"].to_pylist(), sent, strict=True)])
+
+    replies = tally(asks.groupBy("place", "relay").applyInArrow(relay, _ASK), group, parts * FAN, ranges, value, answer)
+    home = replies.withColumn("from", F.floor(F.col("place") / FAN).cast("long"))
+    return asks.groupBy("place", "relay").cogroup(home.groupBy("from", "sender")).applyInArrow(back, _REPLY)

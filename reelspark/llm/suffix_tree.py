@@ -1,19 +1,22 @@
-"""Scores of texts under a probabilistic suffix tree, learnt and applied on Spark.
-
-A text is its lower-cased words joined by one space, as bytes, then an end symbol; so a distribution over such sequences is
-one over token sequences. The tree's nodes are contexts of ROOT to DEPTH bytes. A context is retained if its counts diverge
-from what its parent predicts (sum of n log(p / parent), more than DIVERGE nats for each next symbol seen), or if a longer
-one it ends is. A retained context's distribution is (n + d * parent) / (N + d), d being the number of next symbols seen;
-contexts of ROOT bytes have (n + 1/2) / (N + 128). A symbol is scored in the state of the longest retained suffix.
-
-Nothing whole goes through the driver or one task. Documents are dealt into chunks; a chunk counts its contexts and sends
-them, packed, to buckets by their last ROOT bytes, so all suffixes of a context meet; each bucket sums, builds its part of
-the tree and answers every chunk with the log probabilities of just the (context, symbol) pairs the chunk holds. Word
-counts for the base score travel the same way.
-
-Null and wordless texts are the end token alone. Null doc_ids count as training. Rows may repeat; extra columns are ignored;
-an empty table gives no rows; with no training rows the tree is empty and every symbol has probability 1/256. Words are told
-apart by 64-bit hashes.
+"""Scores of texts under a probabilistic suffix tree over words, learnt and applied on Spark.
+
+A text is its lower-cased words, then an end symbol. The tree's nodes are contexts of 0 to DEPTH preceding words (a start
+symbol stands before the first). The root's distribution is the base: (c + 1/2) / (N + (V + 1) / 2). A longer context x, seen
+T times, has p(s | x) = (n(x, s) + SMOOTH * p(s | x without its first word)) / (T + SMOOTH). It is retained if its training
+counts diverge from what its parent predicts: if the sum, over each time t it was followed by s, of
+log(((n(x, s) - 1) + SMOOTH * p) / ((T - 1 + SMOOTH) * p)), p = p(s | parent), exceeds DIVERGE nats; one occurrence is left
+out each time, so that a context that merely repeats itself by chance isn't retained. A symbol is scored in the state of the
+longest retained suffix of what precedes it.
+
+Nothing whole goes through the driver, one task or one group. Documents are coded where they are read, CHUNK_BYTES at a time,
+into numbered words, written once. Two rounds of sums over hashed keys follow (common.tally): the counts of all word
+sequences of 1 to DEPTH + 1 words, and the divergences of the contexts that occur more than once. A context's T is the count
+of a sequence one shorter, so no row ever stands for a whole context, and no frequent word gathers its followers anywhere.
+Every round moves a bounded number of messages for each chunk.
+
+Null and wordless texts are the end token alone. Null doc_ids count as training. Rows may repeat and count each time; extra
+columns, whatever their names, are ignored; an empty table gives no rows; with no training rows every symbol has the base's
+probability. A long text is one chunk of its own, coded whole. Words and contexts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,176 +24,179 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_bucket, chunked, mix, pack, unpack
+from .common import CHUNK_BYTES, FAN, ask_table, messages, mix, pack, tally, unpack, written
 
-ROOT, DEPTH, DIVERGE = 2, 5, 1.0
-#: Never a byte of UTF-8: the end of a text, and the context before its start.
-END = 0xFF
+DEPTH, SMOOTH, DIVERGE = 3, 2.0, 0.0
 U = np.uint64
+_STEP, _NEXT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+#: Hashes of the symbols that are no words.
+END, START = (U(xxhash.xxh64_intdigest(b, 7)) for b in (b"\xff", b"\xfe"))
 
 
-class Chunk:
-    """A chunk's symbols and words, numbered."""
+def coded(docs: DataFrame, held) -> DataFrame:
+    """One row a chunk of documents: their ids, which are held out, tokens of each, words as numbers (0: the end) and the words' hashes."""
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    names = ["chunk", "docs", "held", "n_train", "sizes", "words", "hashes"]
 
-    def __init__(self, texts: list[bytes], held: np.ndarray):
-        number: dict[bytes, int] = {b"\xff": 0}
+    def code(number: int, ids: list, out: list, texts: list) -> pa.RecordBatch:
+        seen: dict[bytes, int] = {b"\xff": 0}
         split = [t.lower().split() for t in texts]
-        self.ids = [np.fromiter((number.setdefault(w, len(number)) for w in s), np.int64, len(s)) for s in split]
-        self.n_words = len(number)
-        self.hash = np.array([xxhash.xxh64_intdigest(w, 7) for w in number], U)
-        lead = b"\xff" * DEPTH
-        body = [b" ".join(s) for s in split]
-        raw = np.frombuffer(lead + lead.join(b + b"\xff" for b in body), np.uint8) if body else np.zeros(0, np.uint8)
-        self.sizes = np.array([len(b) + 1 for b in body], np.int64)
-        x = raw.astype(U)
-        g = np.zeros(max(0, len(x) - DEPTH), U)
-        for k in range(DEPTH + 1):
-            g = (g << U(8)) | x[k : k + len(g)]
-        real = np.ones(len(g), bool)  # what follows a lead is a symbol, the leads between texts aren't
-        ends = np.cumsum(self.sizes + DEPTH) - DEPTH
-        for k in range(DEPTH):
-            real[ends[:-1] + k] = False
-        self.grams = g[real]
-        self.held = np.repeat(held, self.sizes)
-        self.held_docs = held
-
-    def counts(self, n: int) -> tuple[list, list]:
-        """Of grams and of words, a bucket each: ascending keys and training counts."""
-        seen, times = np.unique(self.grams[~self.held], return_counts=True)
-        keys = np.union1d(seen, self.grams[self.held])
-        c = np.zeros(len(keys), np.uint32)
-        c[np.searchsorted(keys, seen)] = times
-        order, ends = by_bucket(bucket_of(keys, n), n)
-        w = np.zeros(self.n_words, np.int64)
-        train = [i for i, h in zip(self.ids, self.held_docs, strict=True) if not h]
-        if train:
-            w += np.bincount(np.concatenate(train), minlength=self.n_words)
-        w[0] = len(train)
-        self.keys, self.key_order, self.key_ends = keys, order, ends
-        self.word_order, self.word_ends = word_order(self.hash, n)
-        parts = lambda a, e: np.split(a, e[:-1])
-        return list(zip(parts(keys[order], ends), parts(c[order], ends), strict=True)), list(zip(parts(self.hash[self.word_order], self.word_ends), parts(w[self.word_order].astype(np.uint32), self.word_ends), strict=True))
-
-
-def bucket_of(grams: np.ndarray, n: int) -> np.ndarray:
-    return (mix((grams >> U(8)) & U((1 << 8 * ROOT) - 1)) % U(n)).astype(np.int64)
-
-
-def word_order(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.argsort(hashes)
-    order, ends = by_bucket((hashes[up] % U(n)).astype(np.int64), n)
-    return up[order], ends
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-def log_probabilities(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 of each distinct gram's last symbol in the state that its context reaches; counts: training counts of the grams."""
-    some = counts > 0
-    g, c = grams[some], counts[some]
-    levels, p_parent = [], None
-    for depth in range(ROOT, DEPTH + 1):
-        keys, where = np.unique(g & U((1 << 8 * (depth + 1)) - 1), return_inverse=True)
-        n = np.bincount(where, c, len(keys))
-        ctx, of = np.unique(keys >> U(8), return_inverse=True)
-        total, kinds = np.bincount(of, n, len(ctx)), np.bincount(of, minlength=len(ctx))
-        if depth == ROOT:
-            p, kept = (n + 0.5) / (total[of] + 128), np.ones(len(ctx), bool)
-        else:
-            above, _ = _find(levels[-1]["keys"], keys & U((1 << 8 * depth) - 1))
-            p_up = p_parent[above]
-            p = (n + kinds[of] * p_up) / (total[of] + kinds[of])
-            kept = (np.bincount(of, n * np.log(n / total[of] / p_up), len(ctx)) > DIVERGE * kinds) & (total > 1)
-        levels.append({"keys": keys, "n": n, "ctx": ctx, "total": total, "kinds": kinds, "kept": kept, "depth": depth})
-        p_parent = p
-    for low, high in zip(levels[-2::-1], levels[:0:-1], strict=True):  # suffixes of what is retained are
-        up, _ = _find(low["ctx"], high["ctx"][high["kept"]] & U((1 << 8 * low["depth"]) - 1))
-        low["kept"][up] = True
-    out, alive = np.full(len(grams), 1 / 256), np.ones(len(grams), bool)
-    for x in levels:
-        at, there = _find(x["ctx"], (grams >> U(8)) & U((1 << 8 * x["depth"]) - 1))
-        alive &= there & (x["kept"][at] if len(x["ctx"]) else False)
-        if not alive.any():
-            break
-        key, known = _find(x["keys"], grams & U((1 << 8 * (x["depth"] + 1)) - 1))
-        n = np.where(known, x["n"][key], 0.0)
-        p = (n + 0.5) / (x["total"][at] + 128) if x["depth"] == ROOT else (n + x["kinds"][at] * out) / (x["total"][at] + x["kinds"][at])
-        out = np.where(alive, p, out)
-    return np.log10(out)
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """values of the asked keys, all known: by a table of hashes, and by search where hashes met."""
-    bits = max(8, int(len(keys)).bit_length() + 2)
-    spot = lambda k: ((k * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int64)
-    table = np.zeros(1 << bits, np.int32)
-    table[spot(keys)] = np.arange(len(keys))
-    at = table[spot(asked)]
-    miss = np.flatnonzero(keys[at] != asked)
-    at[miss] = np.searchsorted(keys, asked[miss])
-    return values[at]
-
-
-def score(docs: DataFrame, train_when=None) -> DataFrame:
+        words = np.fromiter((k for s in split for k in (*(seen.setdefault(w, len(seen)) for w in s), 0)), np.int32, sum(map(len, split)) + len(split))
+        sizes = np.array([len(s) + 1 for s in split], np.int32)
+        hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in seen], U)
+        n_train = int(sizes[~np.array(out, bool)].sum())
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(id_type)), pa.array([out], pa.list_(pa.bool_())), pa.array([n_train]), pa.array([pack(sizes)]), pa.array([pack(words)]), pa.array([pack(hashes)])], names)
+
+    def rows(batches):
+        n, size, ids, out, texts = TaskContext.get().partitionId() << 32, 0, [], [], []
+        for b in batches:
+            for d, h, t in zip(b["doc_id"].to_pylist(), b["held_out"].to_pylist(), b["text"].to_pylist(), strict=True):
+                ids.append(d)
+                out.append(h)
+                texts.append(t)
+                size += len(t)
+                if size >= CHUNK_BYTES:
+                    yield code(n, ids, out, texts)
+                    n, size, ids, out, texts = n + 1, 0, [], [], []
+        if ids:
+            yield code(n, ids, out, texts)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    given = docs.select("doc_id", held.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return written(given.mapInArrow(rows, f"chunk long, docs array<{kind}>, held array<boolean>, n_train long, sizes binary, words binary, hashes binary"), "coded")
+
+
+class Chunk:
+    """A chunk's positions: the keys of the sequences that end there, level by level, distinct and numbered."""
+
+    def __init__(self, row: dict):
+        self.sizes = unpack(row["sizes"], np.int32).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.held_docs = np.array(row["held"], bool)
+        self.train = ~np.repeat(self.held_docs, self.sizes)
+        h = unpack(row["hashes"], U)[unpack(row["words"], np.int32)]
+        past, context, levels = h, np.zeros(len(h), U), []
+        for d in range(DEPTH + 1):
+            levels.append(mix(context * _NEXT + h + U(d)))
+            past = self.before(past, START)
+            context = mix(context * _STEP + past + U(1))
+        self.keys, at = np.unique(np.concatenate(levels), return_inverse=True)
+        self.at = at.reshape(DEPTH + 1, -1)
+
+    def before(self, values: np.ndarray, first) -> np.ndarray:
+        """The value of the position before, in the same document."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts] = first
+        return out
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.at[:, self.train].ravel(), minlength=len(self.keys)).astype(np.int64)
+
+    def follow(self, seen: np.ndarray, docs: int, room: float):
+        """Level by level from the root on: probabilities there, and of longer contexts how often each occurred and was followed so."""
+        p = (seen[self.at[0]] + 0.5) / room
+        yield p, None, None
+        for d in range(1, DEPTH + 1):
+            n, times = seen[self.at[d]], self.before(seen[self.at[d - 1]], docs)
+            p = np.where(times > 0, (n + SMOOTH * p) / (times + SMOOTH), p)
+            yield p, n, times
+
+    def contexts(self, d: int) -> np.ndarray:
+        """Keys of the contexts of d words; the sequence that ends one before, of texts' starts a constant."""
+        return self.before(self.keys[self.at[d - 1]], mix(np.full(1, START + U(d), U))[0])
+
+    def divergences(self, seen: np.ndarray, docs: int, room: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending keys of the contexts that occur twice or more in training, and this chunk's part of their divergence."""
+        keys, terms, above = [], [], None
+        for d, (p, n, times) in enumerate(self.follow(seen, docs, room)):
+            if d:
+                use = times > 1
+                own = self.train[use]
+                gain = np.zeros(len(own))
+                rest = SMOOTH * above[use][own]
+                gain[own] = np.log((n[use][own] - 1 + rest) / ((times[use][own] - 1 + SMOOTH) * above[use][own]))
+                keys.append(self.contexts(d)[use])
+                terms.append(gain)
+            above = p
+        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate(terms), len(keys))
+
+    def scores(self, seen: np.ndarray, docs: int, room: float, keys: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of the base's and the tree's probability, and of known tokens, a document each."""
+        kept_keys = keys[kept]
+        root, best = None, None
+        for d, (p, _, times) in enumerate(self.follow(seen, docs, room)):
+            if not d:
+                root = best = p
+            elif len(kept_keys):
+                x = self.contexts(d)
+                there = kept_keys[np.minimum(np.searchsorted(kept_keys, x), len(kept_keys) - 1)] == x
+                best = np.where(there & (times > 1), p, best)
+        add = lambda v: np.add.reduceat(v, self.starts)
+        return add(np.log10(root)), add(np.log10(best)), add((seen[self.at[0]] > 0).astype(np.int64))
+
+
+def score(docs: DataFrame, train_when=None, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False)) if train_when is None else ~train_when
-    parts, n_chunks = chunked(docs, held.alias("held_out"))
-    n = max(4, n_chunks // 3)
+    chunks = coded(docs, held)
+    n_chunks, tokens, train_docs = chunks.agg(F.count("*"), F.sum("n_train"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
+    tokens, train_docs = tokens or 0, train_docs or 0
+
+    def vocabulary(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                words, train = unpack(row["words"], np.int32), ~np.repeat(np.array(row["held"], bool), unpack(row["sizes"], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(row["hashes"], U)[np.unique(words[train])].view(np.int64))], ["word"])
+
+    distinct = chunks.select("held", "sizes", "words", "hashes").mapInArrow(vocabulary, "word long").distinct().count()
+    room = tokens + 0.5 * (distinct + 1)
+    model = (train_docs, room)
+    ranges = max(1, n_chunks // 3)
+    parts = min(ranges, fan)
+
+    def ask(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                c = Chunk(row)
+                yield from ask_table(messages(row["chunk"], c.keys, c.counts(), parts)).to_batches()
+
+    def joined(replies: pa.Table, kind) -> np.ndarray:
+        t = replies.sort_by("place")
+        return np.concatenate([unpack(x, kind) for x in t["reply"].to_pylist()])
+
+    def ask_again(t: pa.Table, replies: pa.Table) -> pa.Table:
+        c = Chunk(t.to_pylist()[0])
+        return ask_table(messages(t["chunk"][0].as_py(), *c.divergences(joined(replies, np.int64), *model), parts))
+
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
-    def of(t: pa.Table) -> Chunk:
-        return Chunk(t["text"].to_pylist(), t["held_out"].to_numpy())
-
-    def count(t: pa.Table) -> pa.Table:
-        grams, words = of(t).counts(n)
-        rows = [*enumerate(grams), *enumerate(words, n)]
-        return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([t["chunk"][0].as_py()] * len(rows), pa.int32()), "keys": pa.array([pack(a, True) for _, (a, _) in rows], pa.binary()), "counts": pa.array([pack(c) for _, (_, c) in rows], pa.binary())})
-
-    def answer(t: pa.Table) -> pa.Table:
-        bucket, chunks = t["bucket"][0].as_py(), t["chunk"].to_pylist()
-        asked = [unpack(b, U, True) for b in t["keys"].to_pylist()]
-        keys, where = np.unique(np.concatenate(asked), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([unpack(b, np.uint32) for b in t["counts"].to_pylist()]), len(keys))
-        got = log_probabilities(keys, counts).astype(np.float32) if bucket < n else counts.astype(np.uint32)
-        replies = np.split(got[where], np.cumsum([len(a) for a in asked])[:-1])
-        m = len(chunks)
-        return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()), "reply": pa.array([pack(r) for r in replies], pa.binary()), "total": pa.array([int(counts.sum()) if bucket >= n else 0] * m, pa.int64()), "distinct": pa.array([int((counts > 0).sum()) if bucket >= n else 0] * m, pa.int64())})
-
     def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
-        c = of(t)
-        c.counts(n)
-        got = dict(zip(replies["bucket"].to_pylist(), replies["reply"].to_pylist(), strict=True))
-        total, distinct = sum(replies["total"].to_pylist()), sum(replies["distinct"].to_pylist())
-        logs = np.zeros(len(c.keys))
-        logs[c.key_order] = np.concatenate([unpack(got[k], np.float32) for k in range(n)])
-        words = np.zeros(c.n_words)
-        words[c.word_order] = np.concatenate([unpack(got[k], np.uint32) for k in range(n, 2 * n)])
-        base = np.log10((words + 0.5) / (total + 0.5 * (distinct + 1)))
-        at = np.cumsum(c.sizes) - c.sizes
-        m = len(t)
+        row = t.to_pylist()[0]
+        c = Chunk(row)
+        seen = joined(replies.filter(pa.compute.equal(replies["round"], 1)), np.int64)
+        kept = joined(replies.filter(pa.compute.equal(replies["round"], 2)), np.uint8) > 0
+        keys, _ = c.divergences(seen, *model)
+        base, best, n_known = c.scores(seen, *model, keys, kept)
         return pa.table({
-            "doc_id": t["doc_id"].cast(id_type), "held_out": t["held_out"],
-            "n_tokens": pa.array([len(i) + 1 for i in c.ids], pa.int64()),
-            "n_known": pa.array([int((words[i] > 0).sum()) + int(words[0] > 0) for i in c.ids], pa.int64()),
-            "train_tokens": pa.array([total] * m, pa.int64()),
-            "base_score": pa.array([float(base[i].sum() + base[0]) for i in c.ids], pa.float64()),
-            "score": pa.array(np.add.reduceat(_lookup(c.keys, logs, c.grams), at) if m else [], pa.float64()),
+            "doc_id": pa.array(row["docs"], id_type), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(c.sizes),
+            "n_known": pa.array(n_known), "train_tokens": pa.array([tokens] * len(c.sizes), pa.int64()), "base_score": pa.array(base), "score": pa.array(best),
         })
 
-    asked = parts.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, keys binary, counts binary")
-    replies = asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, reply binary, total long, distinct long")
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
+    seen = tally(chunks.mapInArrow(ask, "sender long, place long, keys binary, values binary"), n_chunks, parts, ranges, np.int64, lambda sums: sums)
+    seen = written(seen, "counts")
+    asked = chunks.groupBy("chunk").cogroup(seen.groupBy("sender")).applyInArrow(ask_again, "sender long, place long, keys binary, values binary")
+    kept = tally(asked, n_chunks, parts, ranges, np.float64, lambda sums: (sums > DIVERGE).astype(np.uint8))
+    both = seen.withColumn("round", F.lit(1)).unionByName(kept.withColumn("round", F.lit(2)))
+    return chunks.groupBy("chunk").cogroup(both.groupBy("sender")).applyInArrow(finish, schema)
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:
