@@ -99,8 +99,22 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: Messages that a sender cuts its keys into at most. Where that is too few for tasks to stay small, relays cut them further.
 FAN = 64
-_ASK = "sender long, place long, keys binary, values binary"
-_REPLY = "sender long, place long, reply binary"
+ASK = "sender long, place long, keys binary, values binary"
+REPLY = "sender long, place long, reply binary, notes array<long>"
+
+
+def pack_keys(keys: np.ndarray, shift: int) -> bytes:
+    """Ascending keys; the even ones are multiples of 2**shift and need fewer bytes."""
+    odd = (keys & np.uint64(1)) > 0
+    whole = pack(keys[odd], True)
+    return len(whole).to_bytes(4, "little") + whole + pack(keys[~odd] >> np.uint64(shift), True)
+
+
+def unpack_keys(b: bytes, shift: int) -> np.ndarray:
+    n = 4 + int.from_bytes(b[:4], "little")
+    out = np.concatenate([unpack(b[4:n], np.uint64, True), unpack(b[n:], np.uint64, True) << np.uint64(shift)])
+    out.sort()
+    return out
 
 
 def _cut(keys: np.ndarray, place: int, parts: int, of: int) -> np.ndarray:
@@ -109,61 +123,57 @@ def _cut(keys: np.ndarray, place: int, parts: int, of: int) -> np.ndarray:
     return np.searchsorted(keys, np.array(edges, np.uint64))
 
 
-def messages(sender: int, keys: np.ndarray, values: np.ndarray, parts: int) -> list[tuple]:
-    """Rows of _ASK: ascending keys and their values, one message for each range of keys, empty ones too."""
-    at = _cut(keys, 0, parts, 1)
-    return [(sender, k, pack(a, True), pack(v)) for k, (a, v) in enumerate(zip(np.split(keys, at), np.split(values, at), strict=True))]
-
+def ask_table(sender: int, keys: np.ndarray, values: np.ndarray, parts: int, shift: int, place: int = 0, of: int = 1) -> pa.Table:
+    """Rows of ASK: ascending keys and their values, one message for each part of the range of keys, empty ones too."""
+    at = _cut(keys, place, parts, of)
+    keys, values = [pack_keys(k, shift) for k in np.split(keys, at)], [pack(v) for v in np.split(values, at)]
+    return pa.table({"sender": pa.array([sender] * parts, pa.int64()), "place": pa.array(range(place * parts, (place + 1) * parts), pa.int64()), "keys": pa.array(keys, pa.binary()), "values": pa.array(values, pa.binary())})
 
-def ask_table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("sender", "place", "keys", "values"), kinds, strict=True))})
 
+def joined(replies: pa.Table, kind) -> np.ndarray:
+    """What came back for all keys of a sender, in their order."""
+    return np.concatenate([unpack(x, kind) for x in replies.sort_by("place")["reply"].to_pylist()])
 
-def _reply_table(rows: list[tuple]) -> pa.Table:
-    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("sender", pa.int64()), ("place", pa.int64()), ("reply", pa.binary())))})
 
-
-def tally(asks: DataFrame, senders: int, parts: int, ranges: int, value, answer) -> DataFrame:
+def tally(asks: DataFrame, senders: int, parts: int, ranges: int, shift: int, value, answer, notes=lambda keys, sums: []) -> DataFrame:
     """Sums over all senders of the values of each key, sent back to every sender that named the key.
 
-    asks: rows of messages(), cut into parts; value: their numpy type; answer(sums) gives the array that is sent back, in the
-    order of the sender's keys. Keys are hashes, so ranges of them are even, and a key comes from a sender once: no key is
-    hot. Rows of _REPLY come back. ranges: how many tasks the sums need. Where it exceeds parts, relays sum the messages of up
-    to FAN senders, cut them on, and pass the answers back; so each hop moves as many rows as senders times FAN.
+    asks: rows of ask_table(), cut into parts; value: their numpy type; answer(sums) gives the array that is sent back, in the
+    order of the sender's keys; notes(keys, sums), a few numbers, add up over what a row stands for. Keys are hashes, so ranges
+    of them are even, and a key comes from a sender once: no key is hot. Rows of REPLY come back. ranges: how many tasks the
+    sums need. Where it exceeds parts, relays sum the messages of up to FAN senders, cut them on, and pass the answers back; so
+    each hop moves as many rows as senders times FAN.
     """
     value = np.dtype(value)
+    kind = answer(np.zeros(0, value)).dtype
 
-    def read(t: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-        named = [unpack(b, np.uint64, True) for b in t["keys"].to_pylist()]
+    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        named = [unpack_keys(b, shift) for b in t["keys"].to_pylist()]
         keys, where = np.unique(np.concatenate(named), return_inverse=True)
-        sums = np.bincount(where, np.concatenate([unpack(b, value) for b in t["values"].to_pylist()]), len(keys)).astype(value)
-        return np.cumsum([len(a) for a in named])[:-1], keys, where, sums
+        sums = np.bincount(where, np.concatenate([unpack(b, value) for b in t["values"].to_pylist()]), len(keys))
+        return np.cumsum([len(a) for a in named])[:-1], keys, where, sums.astype(value)
+
+    def replies(t: pa.Table, parts_: list, notes_: list) -> pa.Table:
+        return pa.table({"sender": t["sender"], "place": t["place"], "reply": pa.array([pack(b) for b in parts_], pa.binary()), "notes": pa.array([notes_] * len(t), pa.list_(pa.int64()))})
 
     def total(t: pa.Table) -> pa.Table:
-        ends, _, where, sums = read(t)
-        back = np.split(answer(sums)[where], ends)
-        return _reply_table([(s, p, pack(b)) for s, p, b in zip(t["sender"].to_pylist(), t["place"].to_pylist(), back, strict=True)])
+        ends, keys, where, sums = read(t)
+        return replies(t, np.split(answer(sums)[where], ends), [int(x) for x in notes(keys, sums)])
 
     if ranges <= parts:
-        return asks.groupBy("place").applyInArrow(total, _REPLY)
+        return asks.groupBy("place").applyInArrow(total, REPLY)
     group, of = -(-senders // FAN), parts
     asks = asks.withColumn("relay", F.pmod(F.xxhash64("sender"), F.lit(group)))
-    kind = answer(np.zeros(0, value)).dtype
 
     def relay(t: pa.Table) -> pa.Table:
-        _, keys, _, sums = read(t)
-        place, me = t["place"][0].as_py(), t["relay"][0].as_py()
-        at = _cut(keys, place, FAN, of)
-        return ask_table([(me, place * FAN + k, pack(a, True), pack(v)) for k, (a, v) in enumerate(zip(np.split(keys, at), np.split(sums, at), strict=True))])
+        _, keys, _, sums = read(t.sort_by("sender"))
+        return ask_table(t["relay"][0].as_py(), keys, sums, FAN, shift, t["place"][0].as_py(), of)
 
-    def back(t: pa.Table, replies: pa.Table) -> pa.Table:
+    def back(t: pa.Table, got: pa.Table) -> pa.Table:
         t = t.sort_by("sender")
         ends, _, where, _ = read(t)
-        got = dict(zip(replies["place"].to_pylist(), replies["reply"].to_pylist(), strict=True))
-        sent = np.split(np.concatenate([unpack(got[p], kind) for p in sorted(got)])[where], ends)
-        return _reply_table([(s, p, pack(b)) for s, p, b in zip(t["sender"].to_pylist(), t["place"].to_pylist(), sent, strict=True)])
+        return replies(t.select(["sender", "place"]), np.split(joined(got, kind)[where], ends), [sum(x) for x in zip(*got["notes"].to_pylist(), strict=True)])
 
-    replies = tally(asks.groupBy("place", "relay").applyInArrow(relay, _ASK), group, parts * FAN, ranges, value, answer)
-    home = replies.withColumn("from", F.floor(F.col("place") / FAN).cast("long"))
-    return asks.groupBy("place", "relay").cogroup(home.groupBy("from", "sender")).applyInArrow(back, _REPLY)
+    got = tally(asks.groupBy("place", "relay").applyInArrow(relay, ASK), group, parts * FAN, ranges, shift, value, answer, notes)
+    home = got.withColumn("from", F.floor(F.col("place") / FAN).cast("long"))
+    return asks.groupBy("place", "relay").cogroup(home.groupBy("from", "sender")).applyInArrow(back, REPLY)

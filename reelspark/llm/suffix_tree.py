@@ -8,85 +8,68 @@ log(((n(x, s) - 1) + SMOOTH * p) / ((T - 1 + SMOOTH) * p)), p = p(s | parent), e
 out each time, so that a context that merely repeats itself by chance isn't retained. A symbol is scored in the state of the
 longest retained suffix of what precedes it.
 
-Nothing whole goes through the driver, one task or one group. Documents are coded where they are read, CHUNK_BYTES at a time,
-into numbered words, written once. Two rounds of sums over hashed keys follow (common.tally): the counts of all word
-sequences of 1 to DEPTH + 1 words, and the divergences of the contexts that occur more than once. A context's T is the count
-of a sequence one shorter, so no row ever stands for a whole context, and no frequent word gathers its followers anywhere.
-Every round moves a bounded number of messages for each chunk.
+Nothing whole goes through the driver, one task or one group. Documents are dealt into chunks by one shuffle. Two rounds of
+sums over hashed keys follow (common.tally): the counts of all word sequences of 1 to DEPTH + 1 words, and the divergences of
+the contexts that occur more than once. A context's T is the count of a sequence one shorter, so no row ever stands for a
+whole context, and no frequent word gathers its followers anywhere. A chunk sends a bounded number of messages a round.
 
 Null and wordless texts are the end token alone. Null doc_ids count as training. Rows may repeat and count each time; extra
 columns, whatever their names, are ignored; an empty table gives no rows; with no training rows every symbol has the base's
-probability. A long text is one chunk of its own, coded whole. Words and contexts are told apart by 64-bit hashes.
+probability. A long text makes its chunk longer, as a text is coded whole. Words are told apart by 64-bit hashes, longer
+sequences by hashes of SPARE bits more than the table's size in bytes has, so that one in 2**SPARE meets another at any size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import CHUNK_BYTES, FAN, ask_table, messages, mix, pack, tally, unpack, written
+from .common import ASK, CHUNK_BYTES, FAN, ask_table, chunked, joined, mix, tally, written
 
-DEPTH, SMOOTH, DIVERGE = 3, 2.0, 0.0
+DEPTH, SMOOTH, DIVERGE, SPARE = 2, 2.0, 0.0, 10
 U = np.uint64
 _STEP, _NEXT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Hashes of the symbols that are no words.
-END, START = (U(xxhash.xxh64_intdigest(b, 7)) for b in (b"\xff", b"\xfe"))
-
-
-def coded(docs: DataFrame, held) -> DataFrame:
-    """One row a chunk of documents: their ids, which are held out, tokens of each, words as numbers (0: the end) and the words' hashes."""
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    names = ["chunk", "docs", "held", "n_train", "sizes", "words", "hashes"]
-
-    def code(number: int, ids: list, out: list, texts: list) -> pa.RecordBatch:
-        seen: dict[bytes, int] = {b"\xff": 0}
-        split = [t.lower().split() for t in texts]
-        words = np.fromiter((k for s in split for k in (*(seen.setdefault(w, len(seen)) for w in s), 0)), np.int32, sum(map(len, split)) + len(split))
-        sizes = np.array([len(s) + 1 for s in split], np.int32)
-        hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in seen], U)
-        n_train = int(sizes[~np.array(out, bool)].sum())
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(id_type)), pa.array([out], pa.list_(pa.bool_())), pa.array([n_train]), pa.array([pack(sizes)]), pa.array([pack(words)]), pa.array([pack(hashes)])], names)
-
-    def rows(batches):
-        n, size, ids, out, texts = TaskContext.get().partitionId() << 32, 0, [], [], []
-        for b in batches:
-            for d, h, t in zip(b["doc_id"].to_pylist(), b["held_out"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids.append(d)
-                out.append(h)
-                texts.append(t)
-                size += len(t)
-                if size >= CHUNK_BYTES:
-                    yield code(n, ids, out, texts)
-                    n, size, ids, out, texts = n + 1, 0, [], [], []
-        if ids:
-            yield code(n, ids, out, texts)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.select("doc_id", held.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return written(given.mapInArrow(rows, f"chunk long, docs array<{kind}>, held array<boolean>, n_train long, sizes binary, words binary, hashes binary"), "coded")
+END, START = (U(xxhash.xxh64_intdigest(b, 7)) for b in (b"\xff", b"\xfe"))  # not UTF-8
+
+
+def words_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens a text, hashes of the distinct tokens, and all tokens as places among these; each text ends in the end symbol, place 0."""
+    lower = pc.ascii_lower(pc.coalesce(texts.cast(pa.string()), pa.scalar(""))).combine_chunks()
+    lists = pc.ascii_split_whitespace(lower)
+    word, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    real = pc.not_equal(word, "").to_numpy(zero_copy_only=False)
+    coded = word.filter(pa.array(real)).dictionary_encode()
+    sizes = np.bincount(of[real], minlength=len(texts)).astype(np.int64) + 1
+    hashes = np.array([END, *(xxhash.xxh64_intdigest(w, 7) for w in coded.dictionary.cast(pa.binary()).to_pylist())], U)
+    out = np.zeros(int(sizes.sum()), np.int64)
+    last = np.zeros(len(out), bool)
+    last[np.cumsum(sizes) - 1] = True
+    out[~last] = coded.indices.to_numpy(zero_copy_only=False) + 1
+    return sizes, hashes, out
 
 
 class Chunk:
     """A chunk's positions: the keys of the sequences that end there, level by level, distinct and numbered."""
 
-    def __init__(self, row: dict):
-        self.sizes = unpack(row["sizes"], np.int32).astype(np.int64)
+    def __init__(self, t: pa.Table, shift: int):
+        self.sizes, hashes, words = words_of(t["text"])
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.held_docs = np.array(row["held"], bool)
-        self.train = ~np.repeat(self.held_docs, self.sizes)
-        h = unpack(row["hashes"], U)[unpack(row["words"], np.int32)]
-        past, context, levels = h, np.zeros(len(h), U), []
-        for d in range(DEPTH + 1):
-            levels.append(mix(context * _NEXT + h + U(d)))
+        self.train = ~np.repeat(t["held_out"].to_numpy(), self.sizes)
+        h = hashes[words]
+        past, context, levels = h, np.zeros(len(h), U), [h | U(1)]
+        for d in range(1, DEPTH + 1):
             past = self.before(past, START)
             context = mix(context * _STEP + past + U(1))
+            levels.append(mix(context * _NEXT + h + U(d)) >> U(shift) << U(shift))
         self.keys, at = np.unique(np.concatenate(levels), return_inverse=True)
         self.at = at.reshape(DEPTH + 1, -1)
+        self.shift = shift
 
     def before(self, values: np.ndarray, first) -> np.ndarray:
         """The value of the position before, in the same document."""
@@ -109,7 +92,8 @@ class Chunk:
 
     def contexts(self, d: int) -> np.ndarray:
         """Keys of the contexts of d words; the sequence that ends one before, of texts' starts a constant."""
-        return self.before(self.keys[self.at[d - 1]], mix(np.full(1, START + U(d), U))[0])
+        key = mix(self.keys[self.at[d - 1]] + U(d)) >> U(self.shift) << U(self.shift)
+        return self.before(key, mix(np.full(1, d, U))[0] >> U(self.shift) << U(self.shift))
 
     def divergences(self, seen: np.ndarray, docs: int, room: float) -> tuple[np.ndarray, np.ndarray]:
         """Ascending keys of the contexts that occur twice or more in training, and this chunk's part of their divergence."""
@@ -142,61 +126,52 @@ class Chunk:
         return add(np.log10(root)), add(np.log10(best)), add((seen[self.at[0]] > 0).astype(np.int64))
 
 
-def score(docs: DataFrame, train_when=None, fan: int = FAN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def score(docs: DataFrame, train_when=None, fan: int = FAN, per_range: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. per_range: chunks for each task that sums."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False)) if train_when is None else ~train_when
-    chunks = coded(docs, held)
-    n_chunks, tokens, train_docs = chunks.agg(F.count("*"), F.sum("n_train"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
-    tokens, train_docs = tokens or 0, train_docs or 0
-
-    def vocabulary(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                words, train = unpack(row["words"], np.int32), ~np.repeat(np.array(row["held"], bool), unpack(row["sizes"], np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(row["hashes"], U)[np.unique(words[train])].view(np.int64))], ["word"])
-
-    distinct = chunks.select("held", "sizes", "words", "hashes").mapInArrow(vocabulary, "word long").distinct().count()
-    room = tokens + 0.5 * (distinct + 1)
-    model = (train_docs, room)
-    ranges = max(1, n_chunks // 3)
-    parts = min(ranges, fan)
-
-    def ask(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row)
-                yield from ask_table(messages(row["chunk"], c.keys, c.counts(), parts)).to_batches()
-
-    def joined(replies: pa.Table, kind) -> np.ndarray:
-        t = replies.sort_by("place")
-        return np.concatenate([unpack(x, kind) for x in t["reply"].to_pylist()])
-
-    def ask_again(t: pa.Table, replies: pa.Table) -> pa.Table:
-        c = Chunk(t.to_pylist()[0])
-        return ask_table(messages(t["chunk"][0].as_py(), *c.divergences(joined(replies, np.int64), *model), parts))
-
+    parts, n_chunks = chunked(docs, held.alias("held_out"))
+    parts = parts.withColumn("chunk", F.col("chunk").cast("long"))  # the type of senders, so that both sides hash alike
+    shift = max(1, 64 - SPARE - (n_chunks * CHUNK_BYTES).bit_length())
+    ranges = max(1, n_chunks // per_range)
+    cut = min(ranges, fan)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
+    def ask(t: pa.Table) -> pa.Table:
+        c = Chunk(t, shift)
+        return ask_table(t["chunk"][0].as_py(), c.keys, c.counts(), cut, shift)
+
+    def learnt(c: Chunk, replies: pa.Table) -> tuple:
+        """Counts of the chunk's keys, training documents, tokens, and the base's denominator."""
+        distinct, tokens, docs = (sum(x) for x in zip(*replies["notes"].to_pylist(), strict=True))
+        return joined(replies, np.int64), docs, tokens + 0.5 * (distinct + 1), tokens
+
+    def notes(keys: np.ndarray, sums: np.ndarray) -> list:
+        word = (keys & U(1)) > 0
+        return [(word & (sums > 0)).sum(), sums[word].sum(), sums[keys == END | U(1)].sum()]
+
+    def ask_again(t: pa.Table, replies: pa.Table) -> pa.Table:
+        c = Chunk(t, shift)
+        keys, parts_ = c.divergences(*learnt(c, replies)[:3])
+        return ask_table(t["chunk"][0].as_py(), keys, parts_.astype(np.float32), cut, shift)
+
     def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
-        row = t.to_pylist()[0]
-        c = Chunk(row)
-        seen = joined(replies.filter(pa.compute.equal(replies["round"], 1)), np.int64)
-        kept = joined(replies.filter(pa.compute.equal(replies["round"], 2)), np.uint8) > 0
-        keys, _ = c.divergences(seen, *model)
-        base, best, n_known = c.scores(seen, *model, keys, kept)
+        c = Chunk(t, shift)
+        first, second = (replies.filter(pc.equal(replies["round"], k)) for k in (1, 2))
+        *model, tokens = learnt(c, first)
+        keys, _ = c.divergences(*model)
+        base, best, n_known = c.scores(*model, keys, joined(second, np.uint8) > 0)
         return pa.table({
-            "doc_id": pa.array(row["docs"], id_type), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(c.sizes),
-            "n_known": pa.array(n_known), "train_tokens": pa.array([tokens] * len(c.sizes), pa.int64()), "base_score": pa.array(base), "score": pa.array(best),
+            "doc_id": t["doc_id"].cast(id_type), "held_out": t["held_out"], "n_tokens": pa.array(c.sizes), "n_known": pa.array(n_known),
+            "train_tokens": pa.array([tokens] * len(t), pa.int64()), "base_score": pa.array(base), "score": pa.array(best),
         })
 
-    schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    seen = tally(chunks.mapInArrow(ask, "sender long, place long, keys binary, values binary"), n_chunks, parts, ranges, np.int64, lambda sums: sums)
-    seen = written(seen, "counts")
-    asked = chunks.groupBy("chunk").cogroup(seen.groupBy("sender")).applyInArrow(ask_again, "sender long, place long, keys binary, values binary")
-    kept = tally(asked, n_chunks, parts, ranges, np.float64, lambda sums: (sums > DIVERGE).astype(np.uint8))
+    seen = written(tally(parts.groupBy("chunk").applyInArrow(ask, ASK), n_chunks, cut, ranges, shift, np.int64, lambda sums: sums, notes), "counts")
+    asked = parts.groupBy("chunk").cogroup(seen.groupBy("sender")).applyInArrow(ask_again, ASK)
+    kept = tally(asked, n_chunks, cut, ranges, shift, np.float32, lambda sums: (sums > DIVERGE).astype(np.uint8))
     both = seen.withColumn("round", F.lit(1)).unionByName(kept.withColumn("round", F.lit(2)))
-    return chunks.groupBy("chunk").cogroup(both.groupBy("sender")).applyInArrow(finish, schema)
+    schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return parts.groupBy("chunk").cogroup(both.groupBy("sender")).applyInArrow(finish, schema)
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:
