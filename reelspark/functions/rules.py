@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,7 +29,11 @@ def falsy(value: Column, default) -> Column:
 
 
 def first_of(text: Column, rules: list[tuple[str, list[str]]], default) -> Column:
-    return reduce(lambda out, r: F.when(any_word(text, r[1]), F.lit(r[0])).otherwise(out), reversed(rules), F.lit(default) if isinstance(default, str) else default)
+    """The name of the first rule one of whose words the text holds."""
+    out = F
+    for name, words in rules:
+        out = out.when(any_word(text, words), F.lit(name))
+    return out.otherwise(F.lit(default) if isinstance(default, str) else default)
 
 
 def event_text() -> Column:

@@ -55,37 +55,45 @@ def spaced(df: DataFrame, key: Sequence[str], at: str, gap: float) -> DataFrame:
     return df.groupBy(*key).agg(F.collect_set(F.col(at).cast("double")).alias("__all")).select(*key, F.explode(keep).alias(at))
 
 
-def diverse(ranked: DataFrame, key: Sequence[str], rank: str = "rank", per_ep: int = 4, same_shot: int = 2, apart: float = 8.0, target: int | None = None) -> DataFrame:
-    """Greedy selection under spacing and variety limits over each key's ranked, already cut list.
+def one_row(rank: str = "rank", scene: str | None = None) -> Column:
+    """What the variety fold reads of a clip; scenes count by their first ten letters."""
+    skey = F.substring(F.coalesce(F.col(scene), F.lit("")), 1, 10) if scene else F.lit("")
+    return F.struct(F.col(rank).cast("int").alias("rank"), F.col("ep").cast("int").alias("ep"), F.col("time_s").cast("double").alias("t"), F.coalesce("shot", F.lit("")).alias("shot"), skey.alias("scene"))
 
-    At most per_ep clips an episode, same_shot equal shots in a row, apart seconds between clips of an episode; a second pass
-    adds a clip for each of six episode ranges that has none. Input groups are bounded by the rank cut before.
+
+def varied(rows: str, target: Column, per_ep: int = 4, same_shot: int = 2, apart: float = 8.0, per_scene: int = 2) -> Column:
+    """The rows (an array column of one_row() by rank) that a greedy choice keeps, in the order of choice.
+
+    At most per_ep clips an episode, same_shot equal shots in a row, apart seconds between clips of an episode, per_scene clips
+    of a scene; it ends at target. A second pass adds a clip for each of six episode ranges that has none.
     """
-    schema = ranked.schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(rank).to_dict("records")
-        lo, hi = min(r["ep"] for r in rows), max(r["ep"] for r in rows)
-        width = max(1, (hi - lo + 1) // 6)
-        bucket = lambda r: min(5, (r["ep"] - lo) // width)
-        out: list[dict] = []
-
-        def fits(r):
-            same = [o for o in out if o["ep"] == r["ep"]]
-            last = out[-same_shot:]
-            return len(same) < per_ep and not (len(last) == same_shot and all(o["shot"] == r["shot"] for o in last)) and all(abs(o["time_s"] - r["time_s"]) >= apart for o in same)
-
-        for r in rows:
-            if fits(r):
-                out.append(r)
-                if target and len(out) >= target:
-                    break
-        for r in rows:
-            if bucket(r) not in {bucket(o) for o in out} and fits(r):
-                out.append(r)
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return ranked.groupBy(*key).applyInPandas(pick, schema)
+    eps = F.transform(rows, lambda x: x["ep"])
+    lo = F.array_min(eps)
+    width = F.greatest(F.lit(1), F.floor((F.array_max(eps) - lo + 1) / 6)).cast("int")
+
+    def fits(out, x):
+        same = F.filter(out, lambda o: o["ep"] == x["ep"])
+        last = F.slice(out, F.greatest(F.lit(1), F.size(out) - (same_shot - 1)), F.lit(same_shot))
+        row = (F.size(out) >= same_shot) & F.forall(last, lambda o: o["shot"] == x["shot"])
+        crowd = (x["scene"] != "") & (F.size(F.filter(out, lambda o: o["scene"] == x["scene"])) >= per_scene)
+        return (F.size(same) < per_ep) & ~row & F.forall(same, lambda o: F.abs(o["t"] - x["t"]) >= apart) & ~crowd
+
+    add = lambda out, x: F.concat(out, F.array(x))
+    first = F.aggregate(rows, F.filter(rows, lambda _: F.lit(False)), lambda out, x: F.when((F.size(out) < target) & fits(out, x), add(out, x)).otherwise(out))
+
+    def second(lo, width):
+        bucket = lambda x: F.least(F.lit(5), F.floor((x["ep"] - lo) / width).cast("int"))
+        covered = lambda out, x: F.exists(out, lambda o: bucket(o) == bucket(x))
+        return F.aggregate(rows, first, lambda out, x: F.when(~covered(out, x) & fits(out, x), add(out, x)).otherwise(out))
+
+    return F.get(F.transform(F.array(F.struct(lo.alias("lo"), width.alias("width"))), lambda z: second(z["lo"], z["width"])), F.lit(0))
+
+
+def diverse(ranked: DataFrame, key: Sequence[str], rank: str = "rank", scene: str | None = None, target: str | None = None, **limits) -> DataFrame:
+    """Greedy selection under varied()'s limits over each key's ranked, already cut list. Adds taken, the order of choice."""
+    g = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(one_row(rank, scene))).alias("__all"), (F.min(target) if target else F.lit(1 << 30)).cast("int").alias("__target"))
+    chosen = g.select(*key, F.posexplode(varied("__all", F.col("__target"), **limits)).alias("taken", "__x")).select(*key, (F.col("taken") + 1).alias("taken"), F.col("__x.rank").alias(rank))
+    return ranked.join(chosen, [*key, rank])
 
 
 def batches(lines: DataFrame, key: str, order: Sequence[str], text: str, size: int = 25_000) -> DataFrame:

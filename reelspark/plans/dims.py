@@ -57,12 +57,25 @@ SUBTYPE_WORDS = [
 ]
 SIDE_WORDS = [("群体冲突", ["一群", "多人", "围住", "围观"]), ("双人对峙", ["两名", "另一名", "对峙", "对打"]), ("单人爆发", ["怒吼", "悬浮", "张口"]), ("情绪崩溃", ["泪", "痛苦", "悲伤"])]
 # Event to narrative function, event rarity.
-NARRATIVE = {"葬礼": "setup", "仪式": "setup", "日常": "setup", "悲伤": "setup", "跪地": "setup", "冲突": "inciting", "威胁": "inciting", "背叛": "inciting", "对峙": "rising", "打斗": "climax", "惊恐": "hook", "悬念": "hook", "回忆": "transition"}
+NARRATIVE = {"葬礼": "setup", "仪式": "setup", "日常": "setup", "悲伤": "setup", "跪地": "setup", "冲突": "inciting", "威胁": "inciting", "背叛": "inciting", "对峙": "rising", "战斗": "rising", "误会": "rising", "出征": "rising", "打斗": "climax", "反转": "climax", "表白": "climax", "复仇宣言": "climax", "惊恐": "hook", "诡异": "hook", "悬念": "hook", "回忆": "transition", "其他": "transition"}
 RARITY = {"打斗": 2.0, "对峙": 1.2, "冲突": 1.3, "特写": 1.3, "日常": 0.5}
 # Share of a cut by narrative role, in the order of the beats.
 BEATS = {"hook": 0.15, "setup": 0.10, "inciting": 0.15, "rising": 0.30, "climax": 0.25, "transition": 0.05}
 # Stage nodes of a story (name, first and last episode).
 STAGES = [("序幕", 1, 10), ("局势", 11, 25), ("权谋高潮", 26, 45), ("生死反转", 46, 62), ("终局决战", 63, 76)]
+# Stages of a story that count as peaks, those in which named characters count, key words of stages in their order.
+PEAKS, NAMED, STAGE_WORDS = ["高潮", "决战", "反转"], ["高潮", "反转", "背叛"], ["序幕", "局势", "权谋", "生死", "终局"]
+# Transition, overlay and subtitle profiles by template.
+PROFILES = {
+    "hook_clash": ("fast_xfade", "impact_hook", "bold_impact"),
+    "identity_twist": ("rise_then_burst", "identity_reveal", "clean"),
+    "emotional_resonance": ("slow_fade", "emotional_breath", "elegant"),
+    "quote_rhythm": ("beat_cut", "karaoke_punch", "bold_impact"),
+    "cinematic_beauty": ("soft_fade", "minimal_frame", "minimal"),
+    "suspense_hook": ("hard_cut_to_black", "suspense_break", "clean"),
+}
+#: Characters of the stories made for the test tables, and the words of their key events.
+CHARACTERS = [("阿青", ["对峙", "冲突"]), ("沈默", ["威胁", "怒吼"])]
 
 
 def molecules(spark: SparkSession) -> DataFrame:
