@@ -36,3 +36,9 @@ def labelled(calibration: DataFrame, references: DataFrame) -> DataFrame:
     marks = calibration.select(R.number(F.trim("label"), "int").alias("label"), R.number(F.col("ep"), "int").alias("ep"), R.number(F.col("time_s"), "double").cast("int").alias("time_s"))
     marks = marks.where("label between 1 and 3").groupBy("ep", "time_s").agg(F.min("label").alias("label"))
     return references.withColumn("time_s", F.col("time_s").cast("int")).join(marks, ["ep", "time_s"])
+
+
+def edit_list(spark, path: str) -> DataFrame:
+    """An edit list: source, src_start, src_dur, rec_start (frames) and label of each entry; entries without a source or a length are left out."""
+    raw = spark.read.schema("source string, src_start long, src_dur long, rec_start long, label string").json(path)
+    return raw.where(F.col("source").isNotNull() & (F.col("src_dur") > 0)).withColumn("src_start", F.coalesce("src_start", F.lit(0)))
