@@ -176,6 +176,10 @@ def _add(a: Column, b: Column) -> Column:
     return a + b
 
 
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def _spans(text: Column, rule: Rule, order: int, measure) -> Column:
     """Leftmost non-overlapping matches as (start, ord, stop, kind), in units of measure; what split() leaves lies between them."""
 
@@ -230,7 +234,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: list[Rule] = RULES)
         last = F.substring(body, F.element_at(stops, -1) + 1, F.octet_length(body)).cast("string")
         return F.array_join(F.concat(F.transform(heads, piece), F.array(last)), mark)
 
-    stops = running(F.transform("__spans", lambda x: x["stop"]), F.greatest)
+    stops = running(F.transform("__spans", lambda x: x["stop"]), _larger)
     text = let(F.col("text").cast("binary"), lambda body: let(stops, lambda s: cut(body, F.col("__spans"), s)))
     out = with_spans(docs, rules, F.octet_length)
     return out.select(*(F.when(F.size("__spans") > 0, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
