@@ -151,7 +151,7 @@ def tally(asks: DataFrame, senders: int, parts: int, ranges: int, shift: int, va
         named = [unpack_keys(b, shift) for b in t["keys"].to_pylist()]
         keys, where = np.unique(np.concatenate(named), return_inverse=True)
         sums = np.bincount(where, np.concatenate([unpack(b, value) for b in t["values"].to_pylist()]), len(keys))
-        return np.cumsum([len(a) for a in named])[:-1], keys, where, sums.astype(value)
+        return np.cumsum([len(a) for a in named])[:-1], keys, where, sums if value.kind == "f" else sums.astype(value)
 
     def replies(t: pa.Table, parts_: list, notes_: list) -> pa.Table:
         return pa.table({"sender": t["sender"], "place": t["place"], "reply": pa.array([pack(b) for b in parts_], pa.binary()), "notes": pa.array([notes_] * len(t), pa.list_(pa.int64()))})
@@ -167,7 +167,7 @@ def tally(asks: DataFrame, senders: int, parts: int, ranges: int, shift: int, va
 
     def relay(t: pa.Table) -> pa.Table:
         _, keys, _, sums = read(t.sort_by("sender"))
-        return ask_table(t["relay"][0].as_py(), keys, sums, FAN, shift, t["place"][0].as_py(), of)
+        return ask_table(t["relay"][0].as_py(), keys, sums.astype(value), FAN, shift, t["place"][0].as_py(), of)
 
     def back(t: pa.Table, got: pa.Table) -> pa.Table:
         t = t.sort_by("sender")

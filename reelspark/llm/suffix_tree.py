@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ASK, CHUNK_BYTES, FAN, ask_table, chunked, joined, mix, tally, written
+from .common import ASK, CHUNK_BYTES, FAN, ask_table, chunked, joined, mix, tally
 
-DEPTH, SMOOTH, DIVERGE, SPARE = 2, 2.0, 0.0, 10
+DEPTH, SMOOTH, DIVERGE, SPARE = 2, 2.0, 0.0, 8
 U = np.uint64
 _STEP, _NEXT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Hashes of the symbols that are no words.
@@ -61,15 +61,25 @@ class Chunk:
         self.sizes, hashes, words = words_of(t["text"])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = ~np.repeat(t["held_out"].to_numpy(), self.sizes)
-        h = hashes[words]
-        past, context, levels = h, np.zeros(len(h), U), [h | U(1)]
+        self.shift = shift
+        up = np.argsort(hashes)
+        place = np.empty(len(up), np.int64)
+        place[up] = np.arange(len(up))
+        found = [(hashes[up] | U(1), place[words])]
+        h = past = hashes[words]
+        context = np.zeros(len(h), U)
         for d in range(1, DEPTH + 1):
             past = self.before(past, START)
             context = mix(context * _STEP + past + U(1))
-            levels.append(mix(context * _NEXT + h + U(d)) >> U(shift) << U(shift))
-        self.keys, at = np.unique(np.concatenate(levels), return_inverse=True)
-        self.at = at.reshape(DEPTH + 1, -1)
-        self.shift = shift
+            found.append(np.unique(mix(context * _NEXT + h + U(d)) >> U(shift) << U(shift), return_inverse=True))
+        keys = np.concatenate([k for k, _ in found])
+        up = np.argsort(keys, kind="stable")  # sorted runs, which this merges
+        place = np.empty(len(up), np.int64)
+        place[up] = np.arange(len(up))
+        first = np.cumsum([0, *(len(k) for k, _ in found)])
+        self.keys, self.at = keys[up], [place[at + n] for (_, at), n in zip(found, first[:-1], strict=True)]
+        # contexts by number: the sequence that ends one before; behind these the starts of texts, a number a length
+        self.context = [self.before(at, len(keys) + d) for d, at in enumerate(self.at[:-1])]
 
     def before(self, values: np.ndarray, first) -> np.ndarray:
         """The value of the position before, in the same document."""
@@ -79,49 +89,56 @@ class Chunk:
         return out
 
     def counts(self) -> np.ndarray:
-        return np.bincount(self.at[:, self.train].ravel(), minlength=len(self.keys)).astype(np.int64)
-
-    def follow(self, seen: np.ndarray, docs: int, room: float):
-        """Level by level from the root on: probabilities there, and of longer contexts how often each occurred and was followed so."""
+        return np.bincount(np.concatenate([at[self.train] for at in self.at]), minlength=len(self.keys))
+
+    def times(self, seen: np.ndarray, docs: int) -> list[np.ndarray]:
+        """How often the context of each length occurred in training."""
+        return [self.before(seen[at], docs) for at in self.at[:-1]]
+
+    def asked(self, times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and ascending keys of the contexts that occur twice or more."""
+        often = np.zeros(len(self.keys) + DEPTH, bool)
+        for x, n in zip(self.context, times, strict=True):
+            often[x[n > 1]] = True
+        number = np.flatnonzero(often)
+        keys = np.concatenate([self.keys, np.arange(1, DEPTH + 1, dtype=U)])[number]
+        keys = mix(keys) >> U(self.shift) << U(self.shift)
+        up = np.argsort(keys)
+        return number[up], keys[up]
+
+    def follow(self, seen: np.ndarray, times: list[np.ndarray], room: float):
+        """Level by level from the root on: probabilities there, above, and how often the context was followed so."""
         p = (seen[self.at[0]] + 0.5) / room
         yield p, None, None
-        for d in range(1, DEPTH + 1):
-            n, times = seen[self.at[d]], self.before(seen[self.at[d - 1]], docs)
-            p = np.where(times > 0, (n + SMOOTH * p) / (times + SMOOTH), p)
-            yield p, n, times
-
-    def contexts(self, d: int) -> np.ndarray:
-        """Keys of the contexts of d words; the sequence that ends one before, of texts' starts a constant."""
-        key = mix(self.keys[self.at[d - 1]] + U(d)) >> U(self.shift) << U(self.shift)
-        return self.before(key, mix(np.full(1, d, U))[0] >> U(self.shift) << U(self.shift))
+        for at, n in zip(self.at[1:], times, strict=True):
+            above, followed = p, seen[at]
+            p = np.where(n > 0, (followed + SMOOTH * above) / (n + SMOOTH), above)
+            yield p, above, followed
 
     def divergences(self, seen: np.ndarray, docs: int, room: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending keys of the contexts that occur twice or more in training, and this chunk's part of their divergence."""
-        keys, terms, above = [], [], None
-        for d, (p, n, times) in enumerate(self.follow(seen, docs, room)):
+        """Keys of asked() and this chunk's part of their divergence."""
+        times = self.times(seen, docs)
+        total = np.zeros(len(self.keys) + DEPTH)
+        for d, (_, above, followed) in enumerate(self.follow(seen, times, room)):
+            if d:
+                own = self.train & (times[d - 1] > 1)
+                rest = SMOOTH * above[own]
+                gain = np.log((followed[own] - 1 + rest) / ((times[d - 1][own] - 1 + SMOOTH) * above[own]))
+                total += np.bincount(self.context[d - 1][own], gain, len(total))
+        number, keys = self.asked(times)
+        return keys, total[number]
+
+    def scores(self, seen: np.ndarray, docs: int, room: float, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of the base's and the tree's probability, and of known tokens, a document each. kept: a mark for each key of asked()."""
+        times = self.times(seen, docs)
+        retained = np.zeros(len(self.keys) + DEPTH, bool)
+        retained[self.asked(times)[0][kept]] = True
+        root = best = None
+        for d, (p, _, _) in enumerate(self.follow(seen, times, room)):
             if d:
-                use = times > 1
-                own = self.train[use]
-                gain = np.zeros(len(own))
-                rest = SMOOTH * above[use][own]
-                gain[own] = np.log((n[use][own] - 1 + rest) / ((times[use][own] - 1 + SMOOTH) * above[use][own]))
-                keys.append(self.contexts(d)[use])
-                terms.append(gain)
-            above = p
-        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-        return keys, np.bincount(where, np.concatenate(terms), len(keys))
-
-    def scores(self, seen: np.ndarray, docs: int, room: float, keys: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 of the base's and the tree's probability, and of known tokens, a document each."""
-        kept_keys = keys[kept]
-        root, best = None, None
-        for d, (p, _, times) in enumerate(self.follow(seen, docs, room)):
-            if not d:
+                best = np.where(retained[self.context[d - 1]], p, best)
+            else:
                 root = best = p
-            elif len(kept_keys):
-                x = self.contexts(d)
-                there = kept_keys[np.minimum(np.searchsorted(kept_keys, x), len(kept_keys) - 1)] == x
-                best = np.where(there & (times > 1), p, best)
         add = lambda v: np.add.reduceat(v, self.starts)
         return add(np.log10(root)), add(np.log10(best)), add((seen[self.at[0]] > 0).astype(np.int64))
 
@@ -153,22 +170,22 @@ def score(docs: DataFrame, train_when=None, fan: int = FAN, per_range: int = 3)
     def ask_again(t: pa.Table, replies: pa.Table) -> pa.Table:
         c = Chunk(t, shift)
         keys, parts_ = c.divergences(*learnt(c, replies)[:3])
-        return ask_table(t["chunk"][0].as_py(), keys, parts_.astype(np.float32), cut, shift)
+        return ask_table(t["chunk"][0].as_py(), keys, np.clip(parts_, -6e4, 6e4).astype(np.float16), cut, shift)
 
     def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
         c = Chunk(t, shift)
         first, second = (replies.filter(pc.equal(replies["round"], k)) for k in (1, 2))
         *model, tokens = learnt(c, first)
-        keys, _ = c.divergences(*model)
-        base, best, n_known = c.scores(*model, keys, joined(second, np.uint8) > 0)
+        base, best, n_known = c.scores(*model, joined(second, np.uint8) > 0)
         return pa.table({
             "doc_id": t["doc_id"].cast(id_type), "held_out": t["held_out"], "n_tokens": pa.array(c.sizes), "n_known": pa.array(n_known),
             "train_tokens": pa.array([tokens] * len(t), pa.int64()), "base_score": pa.array(base), "score": pa.array(best),
         })
 
-    seen = written(tally(parts.groupBy("chunk").applyInArrow(ask, ASK), n_chunks, cut, ranges, shift, np.int64, lambda sums: sums, notes), "counts")
+    # one plan, so that all three passes read the texts from one exchange
+    seen = tally(parts.groupBy("chunk").applyInArrow(ask, ASK), n_chunks, cut, ranges, shift, np.int64, lambda sums: sums, notes)
     asked = parts.groupBy("chunk").cogroup(seen.groupBy("sender")).applyInArrow(ask_again, ASK)
-    kept = tally(asked, n_chunks, cut, ranges, shift, np.float32, lambda sums: (sums > DIVERGE).astype(np.uint8))
+    kept = tally(asked, n_chunks, cut, ranges, shift, np.float16, lambda sums: (sums > DIVERGE).astype(np.uint8))
     both = seen.withColumn("round", F.lit(1)).unionByName(kept.withColumn("round", F.lit(2)))
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parts.groupBy("chunk").cogroup(both.groupBy("sender")).applyInArrow(finish, schema)
