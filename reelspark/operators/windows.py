@@ -29,6 +29,17 @@ def first_in_window(df: DataFrame, key: Sequence[str], seconds: Column, order: S
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def repeats(df: DataFrame, key: Sequence[str], order: Sequence, value: str, alternate: bool = False) -> DataFrame:
+    """Rows whose value equals that of the row before them in the key's order: in a run all but the first; alternate: every second one."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    d = df.withColumn("__same", F.coalesce(F.col(value) == F.lag(value).over(w), F.lit(False)))
+    if not alternate:
+        return d.where("__same").drop("__same")
+    d = d.withColumn("__run", F.sum(F.when(F.col("__same"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.row_number().over(Window.partitionBy(*key, "__run").orderBy(*order))
+    return d.withColumn("__at", at).where("__at % 2 = 0").drop("__same", "__run", "__at")
+
+
 def top(df: DataFrame, key: Sequence[str], order: Sequence, n: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name) <= n)
 
