@@ -26,7 +26,6 @@ SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit-name": "MIT License",
-    "mit-name2": "The MIT License",
     "mit-name3": "The MIT License (MIT)",
     "mit-ref": "Released under the MIT License",
     "mit-ref2": "Licensed under the MIT License",
@@ -112,7 +111,6 @@ RULES = [
     ("MIT", "mit", ["mit-ref2"]),
     *((t, f, [f"spdx-{t.lower()}"]) for f, tags in TAGS.items() for t in tags),
     ("MIT-name-only", "mit", ["mit-name"]),
-    ("MIT-name-only", "mit", ["mit-name2"]),
     ("MIT-name-only", "mit", ["mit-name3"]),
     ("ISC", "isc", ["isc-grant"]),
     ("ISC-name-only", "isc", ["isc-name"]),
@@ -165,8 +163,8 @@ RULES = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A comment mark that isn't a run of other characters; a line that goes on in lower case; where sentences end but for a line's.
-COMMENT, WRAP, MARKS = r"(^|\n)[ \t]*(?:;+|(?:dnl|DNL|rem|REM)[ \t])", r"([^.!?;:\n])\n([a-z(])", r"[.!?;:]+[ \t\r\n]+|[.!?;:]+\z"
+#: A comment mark that isn't a run of other characters; where sentences end but for a line's.
+COMMENT, MARKS = r"(^|\n)[ \t]*(?:;+|(?:dnl|DNL|rem|REM)[ \t])", r"[.!?;:]+[ \t\r\n]+|[.!?;:]+\z"
 #: The number or letter of a list item, which belongs to no sentence.
 ITEM = r"([\x01\x02]|^)(?:[0-9]{1,2}|[a-d])[\x01\x02]"
 
@@ -193,15 +191,14 @@ def pattern(sentence: str) -> str:
 def marked(text: Column) -> Column:
     """The normalised sentences; \x01 stands where one ends, \x02 where only a line does, after which a sentence may go on."""
     body = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  "), COMMENT, "$1 ")
-    body = F.translate(F.regexp_replace(body, WRAP, "$1 $2"), UPPER, LOWER)
-    body = F.translate(F.regexp_replace(body, MARKS, "\x01"), "\n", "\x02")
+    body = F.translate(F.regexp_replace(F.translate(body, UPPER, LOWER), MARKS, "\x01"), "\n", "\x02")
     body = F.regexp_replace(body, r"[^a-z0-9\x01\x02]+", " ")  # with it go indentation and most comment marks
     body = F.regexp_replace(body, r"\x02 ?(?:\x02 ?)+", "\x01")  # no sentence goes on behind an empty line
     return F.regexp_replace(F.trim(F.regexp_replace(body, r" ?([\x01\x02]) ?", "$1")), ITEM, "$1")
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_known, sentence_ids and licences (comma-joined, in text and rule order), n_licences."""
+    """doc_id, n_sentences (lines count as such), n_known, sentence_ids and licences (comma-joined, in text and rule order), n_licences."""
     ids = known()
     names = F.create_map(*(F.lit(x) for kv in ids.items() if ANYONE not in kv[0] for x in kv))
     longest = sorted(ids, key=lambda s: (-len(s), s))
@@ -246,8 +243,7 @@ def oracle() -> str:
 
     def marked(text: str) -> str:
         body = f"regexp_replace(translate({text}, chr(1) || chr(2), '  '), {_q(COMMENT)}, '\\1 ', 'g')"
-        body = f"translate(regexp_replace({body}, {_q(WRAP)}, '\\1 \\2', 'g'), {_q(UPPER)}, {_q(LOWER)})"
-        body = f"translate(regexp_replace({body}, {_q(MARKS)}, chr(1), 'g'), chr(10), chr(2))"
+        body = f"translate(regexp_replace(translate({body}, {_q(UPPER)}, {_q(LOWER)}), {_q(MARKS)}, chr(1), 'g'), chr(10), chr(2))"
         body = f"regexp_replace({body}, '[^a-z0-9\\x01\\x02]+', ' ', 'g')"
         body = f"regexp_replace({body}, '\\x02 ?(?:\\x02 ?)+', chr(1), 'g')"
         return f"regexp_replace(trim(regexp_replace({body}, ' ?([\\x01\\x02]) ?', '\\1', 'g'), ' '), {_q(ITEM)}, '\\1', 'g')"

@@ -84,27 +84,37 @@ def _all(nodes) -> set[str] | None:
     return out
 
 
-def trigram_query(pattern: str) -> list[list[set[str]]]:
-    """Clauses that all hold in a text with a match; each is a choice of trigram sets. Empty: nothing is mandatory."""
-    from re import _parser
-
+def _clauses(nodes) -> list[list[set[str]]]:
     clauses, now = [], {""}
 
     def flush():
         if all(len(s) >= 3 for s in now):
             clauses.append([{s[i : i + 3] for i in range(len(s) - 2)} for s in sorted(now)])
 
-    for n in _parser.parse(pattern):
+    for n in nodes:
         e = _exact(n)
         if e is not None and len(e) * len(now) <= _MANY and "" not in e:
             now = {a + b for a in now for b in e}
             continue
         flush()
         now = {""}
+        if str(n[0]) == "SUBPATTERN":
+            clauses += _clauses(n[1][-1])
+        elif str(n[0]) == "BRANCH":
+            each = [_clauses(x) for x in n[1][1]]
+            if all(each):  # a match takes one of the branches, and so holds what that one's first clause asks
+                clauses.append([terms for c in each for terms in c[0]])
     flush()
     return clauses
 
 
+def trigram_query(pattern: str) -> list[list[set[str]]]:
+    """Clauses that all hold in a text with a match; each is a choice of trigram sets. Empty: nothing is mandatory."""
+    from re import _parser
+
+    return _clauses(_parser.parse(pattern))
+
+
 #: Keys of documents in one block of the index on average, and so in one posting list at most about as many.
 BLOCK_DOCS = 16_384
 #: Bits of a rule's bitmap: 8 a document, 2**FILTER_BITS (4 MB) at most, in pieces of PIECE bits.
