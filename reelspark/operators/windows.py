@@ -56,14 +56,27 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence, amount: Column,
     return df.withColumn(name, F.coalesce(F.sum(amount).over(w), F.lit(0.0)))
 
 
-def spaced(df: DataFrame, key: Sequence[str], at: str, gap: float) -> DataFrame:
-    """Per key, the ascending times that lie more than gap after the last one kept: a fold over a key's sorted times."""
-    keep = F.aggregate(
-        F.array_sort("__all"),
-        F.array().cast("array<double>"),
-        lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) > gap), F.concat(kept, F.array(x))).otherwise(kept),
-    )
-    return df.groupBy(*key).agg(F.collect_set(F.col(at).cast("double")).alias("__all")).select(*key, F.explode(keep).alias(at))
+def spaced(df: DataFrame, key: Sequence[str], at: str, gap: float, after: float | None = None) -> DataFrame:
+    """Per key, the ascending times that lie more than gap after the last one kept; after: times up to it don't count.
+
+    Times stream by in order of key and time; a task holds the last one kept.
+    """
+    names = [*key, at]
+
+    def thin(frames):
+        now, last = None, None
+        for f in frames:
+            out = []
+            for *k, t in f[names].itertuples(index=False):
+                if k != now or t - last > gap:
+                    now, last = k, t
+                    out.append((*k, t))
+            yield pd.DataFrame(out, columns=names)
+
+    rows = df.select(*key, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull())
+    if after is not None:
+        rows = rows.where(F.col(at) > after)
+    return rows.repartition(*key).sortWithinPartitions(*names).mapInPandas(thin, rows.schema)
 
 
 def one_row(rank: str = "rank", scene: str | None = None) -> Column:

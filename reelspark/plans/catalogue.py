@@ -534,7 +534,7 @@ def fact_check(spark, sf_dir):
 @query("select doc_id from (select doc_id, md5(text) as h, lag(md5(text)) over (partition by lang order by md5(text), doc_id) as before from documents) where h = before")
 def adjacent_duplicates(spark, sf_dir):
     h = A.table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("h"))
-    return h.withColumn("before", F.lag("h").over(Window.partitionBy("lang", F.substring("h", 1, 2)).orderBy("h", "doc_id"))).where("h = before").select("doc_id")
+    return h.where("h is not null").withColumn("k", F.row_number().over(Window.partitionBy("lang", "h").orderBy("doc_id"))).where("k > 1").select("doc_id")
 
 
 @query("select conv_id, turn, coalesce(cast(lag(turn) over (partition by conv_id order by turn) as varchar), 'none') as continues from conversations")
@@ -594,7 +594,12 @@ def cue_scan(spark, sf_dir):
     return S.cues(u.select("ep", "cue_pos", S.block(F.col("start_s"), F.col("end_s"), F.col("text")).alias("value")))
 
 
-@query()
+_FEED = "(25000 - strpos(reverse(left(rest, 25000)), chr(10)))"
+_SIZE = f"(case when length(rest) <= 25000 then length(rest) when strpos(left(rest, 25000), chr(10)) > 0 and {_FEED} > 12500 then {_FEED} + 1 else 25000 end)"
+
+
+@query(f"""with recursive m as (select conv_id as ep, string_agg('[EP' || lpad(cast(conv_id as varchar), 2, '0') || ' ' || lpad(cast(turn * 6 // 60 as varchar), 2, '0') || ':' || lpad(cast(turn * 6 % 60 as varchar), 2, '0') || '] ' || text, chr(10) order by turn) as rest from conversations group by conv_id),
+ r(ep, batch, text, rest) as (select ep, 0, left(rest, {_SIZE}), substr(rest, {_SIZE} + 1) from m where rest is not null union all select ep, batch + 1, left(rest, {_SIZE}), substr(rest, {_SIZE} + 1) from r where rest <> '') select ep, batch, text from r""")
 def dialogue_batches(spark, sf_dir):
     """Each episode's merged dialogue in texts of at most 25,000 characters, cut at line ends where one is near."""
     return W.batches(_spoken(spark, sf_dir), "ep", ["cue_pos"], "line")
@@ -625,7 +630,13 @@ def key_timestamps(spark, sf_dir):
     return W.key_times(c, ["series_id", "ep"], "at", "duration_s")
 
 
-@query()
+_ADD = "(case when acc.need > 0 and x.need * 1.5 > x.out[1] then least(x.need * 1.5 - x.out[1], acc.need / len(ds) * 2) else 0.0 end)"
+
+
+@query(f"""with {_CUT}, ub as (select series_id, mol_type, list(struct_pack(d := dur_s, hi := dur_hi) order by pos) as ds, sum(dur_s) as total, min(target_dur)::double as target from t group by all),
+ uc as (select series_id, mol_type, list_reduce(list_concat([struct_pack(need := case when total < target * 0.8 then target * 0.9 - total else 0.0 end, out := []::double[])], list_transform(ds, lambda x: struct_pack(need := x.hi, out := [x.d]))),
+   lambda acc, x: struct_pack(need := acc.need - {_ADD}, out := list_append(acc.out, round(x.out[1] + {_ADD}, 1)))).out as durs from ub)
+ select series_id, mol_type, cast(pos as int) as pos, ingest_pos, dur_s, durs[pos] as stretched_s from t join uc using (series_id, mol_type)""")
 def cut_stretch(spark, sf_dir):
     """Clip lengths after short cuts were stretched towards the template's length."""
     c = cut(spark, sf_dir).select("series_id", "mol_type", "pos", "ingest_pos", "dur_s", "dur_hi", "target_dur")

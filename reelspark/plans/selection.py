@@ -11,8 +11,8 @@ from ..operators import joins as J
 from ..operators import ranking as K
 from ..operators import windows as W
 from ..sources import adapters as A
-from . import dims, enrichment
-from .catalogue import _CUES, _NODES, _any, query
+from . import catalogue, dims, enrichment
+from .catalogue import _CUES, _NODES, ORACLES, _any, query
 
 _EV = "concat_ws(' ', event, event_subtype, mood, shot, desc_clean)"
 _NAMES_SAID = " + ".join(f"(case when contains(desc_clean, '{n}') then 1 else 0 end)" for n, _ in dims.CHARACTERS)
@@ -134,7 +134,7 @@ def beat_ranking(spark, sf_dir):
 def _fold(name: str, per_ep: int, same: int, apart: int) -> str:
     kind = "struct(rank bigint, ep int, t double, shot varchar, scene varchar, b bigint)[]"
     fits = f"""len(list_filter(s.kept, lambda o: o.ep = c.ep)) < {per_ep} and not (len(s.kept) >= {same} and len(list_filter(s.kept[-{same}:], lambda o: o.shot = c.shot)) = {same})
-      and len(list_filter(s.kept, lambda o: o.ep = c.ep and abs(o.t - c.time_s) < {apart})) = 0 and len(list_filter(s.kept, lambda o: o.scene = c.skey)) < 2"""
+      and len(list_filter(s.kept, lambda o: o.ep = c.ep and abs(o.t - c.time_s) < {apart})) = 0 and (c.skey = '' or len(list_filter(s.kept, lambda o: o.scene = c.skey)) < 2)"""
     return f"""{name}(series_id, mol_type, k, kept) as (select distinct series_id, mol_type, 0::bigint, []::{kind} from cut union all
      select s.series_id, s.mol_type, s.k + 1, case when {fits} and (case when s.k < c.l then len(s.kept) < c.min_clips else len(list_filter(s.kept, lambda o: o.b = c.b)) = 0 end)
        then list_append(s.kept, struct_pack(rank := c.rank, ep := c.ep, t := c.time_s, shot := c.shot, scene := c.skey, b := c.b)) else s.kept end
@@ -151,6 +151,13 @@ _LADDER = f"""{_RANKED}, lim as (select *, min(ep) over w as lo, greatest(1, (ma
  pick as (select 'strict' as rung, * from q1 union all select 'relaxed', * from q2 union all select 'quality', * from q3 union all select 'top', * from q4),
  sel as (select rl.*, pick.rung, pick.taken from pick join rung using (series_id, mol_type, rung) join rl using (series_id, mol_type, rank) where pick.taken <= most)"""
 
+#: The twin of the plain variety query, which knows no scenes and no target.
+ORACLES["diversity_selection"] = f"""with recursive {catalogue._RANKED}, lim as (select *, min(ep) over w as lo, greatest(1, (max(ep) over w - min(ep) over w + 1) // 6) as width, count(*) over w as l from r where rank <= max_clips window w as (partition by series_id, mol_type)),
+ cut as (select * exclude (min_clips), min_clips as need, 1000000 as min_clips, '' as skey, least(5, (ep - lo) // width)::bigint as b from lim), {_fold('f1', 4, 2, 8)}, {_fold('f2', 6, 3, 3)},
+ p1 as (select series_id, mol_type, arg_max(kept, k) as kept from f1 group by all), p2 as (select series_id, mol_type, arg_max(kept, k) as kept from f2 group by all), need as (select series_id, mol_type, min(need) as need from cut group by all),
+ z as (select series_id, mol_type, case when len(p1.kept) >= need then 'strict' else 'relaxed' end as pass, unnest(case when len(p1.kept) >= need then p1.kept else p2.kept end).rank as rank from p1 join p2 using (series_id, mol_type) join need using (series_id, mol_type))
+ select series_id, mol_type, cut.ingest_pos, cut.ep, cast(rank as int) as rank, pass from z join cut using (series_id, mol_type, rank)"""
+
 
 def selected(spark, sf_dir):
     """The ranking under variety limits; where too few are left the looser limits, then those with looks and a description, then all. Adds rung and taken."""
