@@ -4,12 +4,14 @@ A byte goes if some string of LENGTH = 100 bytes that covers it also starts earl
 document). Every such string has an anchor, the leftmost smallest hash among its 61 substrings of 40 bytes, so equal strings
 have equal anchors at equal places. The steps, each a Spark shuffle of packed arrays:
 
-1. chunks of documents send the hashes of their anchors to buckets, which answer which of them occur more than once;
+1. chunks of documents ask how often the hashes of their anchors occur in all (common.tally, a bounded number of messages a chunk);
 2. a chunk cuts out the fragment around each repeated anchor (all 100-byte strings that have it); fragments that it has met
    before are repeats as a whole, the others go to the bucket of their anchor's hash;
-3. a bucket keeps the first of equal fragments and builds an index of these: the Burrows-Wheeler transform as runs, with the
-   smallest text position of every class of suffixes that share 100 bytes, at the runs' sampled ends. It streams each
-   fragment backwards through the index; where the class of a position has an earlier member, the match is long and marked;
+3. a bucket keeps the first of equal fragments and builds an index of these: the Burrows-Wheeler transform as runs, with
+   last-to-first steps at their heads, and a text sample (the smallest position) for every class of suffixes that share 100
+   bytes. It streams each fragment backwards through the index; where the class of a position has an earlier member, the
+   matching statistic reaches 100 there and the match is marked. Of matching statistics only that much is worked out, and
+   samples stand at classes, not at run ends: an end's sample names some member of a class, here the earliest is needed;
 4. the marks go back to their chunks, which cut the bytes out.
 
 An anchor that occurs in more than HOT places doesn't bring its fragments together: its chunks send hashes of the single
@@ -29,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_bucket, chunked, mix, pack, unpack
+from .common import ASK, FAN, ask_table, by_bucket, chunked, joined, mix, pack, tally, unpack
 
 LENGTH, ANCHOR = 100, 40
 SPREAD = LENGTH - ANCHOR + 1
@@ -106,11 +109,10 @@ class Chunk:
     def doc_of(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.start, place, side="right") - 1
 
-    def distinct(self, n: int):
-        """Ascending anchor hashes, their counts, the order by bucket and its ends."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending anchor hashes as keys (their lowest eight bits are zero) and their counts, cut off far beyond HOT."""
         keys, counts = np.unique(self.hash, return_counts=True)
-        order, ends = by_bucket((mix(keys) % U(n)).astype(np.int64), n)
-        return keys, counts, order, ends
+        return keys << U(8), np.minimum(counts, 1 << 20)
 
 
 def window_hashes(raw: bytes, starts: np.ndarray) -> np.ndarray:
@@ -222,7 +224,7 @@ class RunIndex:
         return [np.array(x[::-1], np.int64) for x in out]
 
 
-FRAGMENTS = "bucket int, chunk int, kind int, meta binary, body binary"
+FRAGMENTS = "bucket int, chunk long, kind int, meta binary, body binary"
 
 
 def _number(ids: list) -> np.ndarray:
@@ -230,12 +232,14 @@ def _number(ids: list) -> np.ndarray:
     return np.array([-(1 << 63) if i is None else i for i in ids], np.int64)
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, fan: int = FAN) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans, the removed byte ranges. doc_id: an integer."""
     import zstandard
 
     parts, n_chunks = chunked(docs, chunk_bytes=CHUNK)
-    n, n_cut = max(4, n_chunks // 6), max(4, 2 * n_chunks)
+    parts = parts.withColumn("chunk", F.col("chunk").cast("long"))  # the type of senders, so that both sides hash alike
+    ranges, n_cut = max(4, n_chunks // 6), max(4, 2 * n_chunks)
+    parts_ = min(ranges, fan)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
@@ -243,7 +247,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         return Chunk(t["doc_id"].to_pylist(), t["text"].to_pylist(), hashed)
 
     def table(rows: list[tuple]) -> pa.Table:
-        return pa.table({c: pa.array([r[k] for r in rows], k_) for k, (c, k_) in enumerate((("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("meta", pa.binary()), ("body", pa.binary())))})
+        return pa.table({c: pa.array([r[k] for r in rows], k_) for k, (c, k_) in enumerate((("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("meta", pa.binary()), ("body", pa.binary())))})
 
     def squeeze(b: bytes) -> bytes:
         return zstandard.ZstdCompressor(level=1).compress(b)
@@ -256,25 +260,13 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         return unpack(b, np.int64).reshape(k, -1)
 
     def anchors(t: pa.Table) -> pa.Table:
-        keys, counts, order, ends = of(t).distinct(n)
-        chunk = t["chunk"][0].as_py()
-        return table([(k, chunk, 0, pack(a, True), pack(np.minimum(c, 65535).astype(np.uint16))) for k, (a, c) in enumerate(zip(np.split(keys[order], ends[:-1]), np.split(counts[order], ends[:-1]), strict=True))])
-
-    def repeated(t: pa.Table) -> pa.Table:
-        asked = [unpack(b, U, True) for b in t["meta"].to_pylist()]
-        keys, where = np.unique(np.concatenate(asked), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([unpack(b, np.uint16) for b in t["body"].to_pylist()]), len(keys))
-        state = (counts > 1).astype(np.uint8) + (counts > HOT)
-        replies = np.split(state[where], np.cumsum([len(a) for a in asked])[:-1])
-        return table([(b, c, 0, pack(r), b"") for b, c, r in zip(t["bucket"].to_pylist(), t["chunk"].to_pylist(), replies, strict=True)])
+        return ask_table(t["chunk"][0].as_py(), *of(t).distinct(), parts_, 8)
 
     def fragments(t: pa.Table, replies: pa.Table) -> pa.Table:
         c, chunk = of(t), t["chunk"][0].as_py()
-        keys, _, order, _ = c.distinct(n)
-        got = dict(zip(replies["bucket"].to_pylist(), replies["meta"].to_pylist(), strict=True))
-        state = np.zeros(len(keys), np.uint8)
-        state[order] = np.concatenate([unpack(got[k], np.uint8) for k in range(n)])
-        of_run = state[np.searchsorted(keys, c.hash)] if len(keys) else state
+        keys, _ = c.distinct()
+        state = joined(replies, np.uint8)
+        of_run = state[np.searchsorted(keys, c.hash << U(8))] if len(keys) else state
         number, rows = _number(c.ids), []
         md, ms, me = [], [], []  # marks: repeats within the chunk
         seen: set[bytes] = set()
@@ -325,7 +317,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             for x, y in zip((chunk_of, doc, s, e), (c, d, a, b), strict=True):
                 x.append(y)
 
-        cut = [(c, columns(m, 5), zstandard.ZstdDecompressor().decompress(b, max_output_size=1 << 31)) for c, k, m, b in got if k == 1]
+        cut = [(c, columns(m, 5), zstandard.ZstdDecompressor().decompress(b)) for c, k, m, b in got if k == 1]
         if cut:
             cols = np.concatenate([m for _, m, _ in cut], axis=1)
             owner = np.repeat([c for c, _, _ in cut], [m.shape[1] for _, m, _ in cut])
@@ -379,9 +371,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         types = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))
         return pa.table({"doc_id": t["doc_id"].cast(id_type)} | {name: pa.array([r[k] for r in rows], k_) for k, (name, k_) in enumerate(types)})
 
-    asked = parts.groupBy("chunk").applyInArrow(anchors, FRAGMENTS)
-    replies = asked.groupBy("bucket").applyInArrow(repeated, FRAGMENTS)
-    cut = parts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(fragments, FRAGMENTS)
+    asked = parts.groupBy("chunk").applyInArrow(anchors, ASK)
+    replies = tally(asked, n_chunks, parts_, ranges, 8, np.int64, lambda n: (n > 1).astype(np.uint8) + (n > HOT))
+    cut = parts.groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(fragments, FRAGMENTS)
     found = cut.groupBy("bucket").applyInArrow(marks, FRAGMENTS)
     schema = f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
     return parts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)

@@ -192,6 +192,7 @@ def test_repeats(docs, none, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
     got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in repeats.cut_repeats(docs).collect()}
     assert got == brute_repeats(TEXTS)
+    assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in repeats.cut_repeats(docs, fan=2).collect()} == got  # by relays
     assert repeats.cut_repeats(none).count() == 0
 
 
