@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one chunk holds on average; a chunk is what one Python call has in memory.
@@ -97,6 +97,34 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n), side="right")
 
 
+#: Bits of a bitmap of keys: 8 a row of the table, 2**FILTER_BITS (4 MB) at most, in pieces of PIECE bits.
+FILTER_BITS, PIECE = 25, 15
+
+
+def filter_bits(rows: int) -> int:
+    return 1 << max(PIECE, min(FILTER_BITS, (8 * rows).bit_length()))
+
+
+def piece_and_bit(key: Column, bits: int) -> tuple[Column, Column]:
+    """Where a key's bit is in a bitmap of so many bits; keys may share one."""
+    spot = F.pmod(key, F.lit(bits))
+    return F.shiftright(spot, PIECE), spot.bitwiseAND(F.lit((1 << PIECE) - 1))
+
+
+def is_set(piece: Column, bit: Column) -> Column:
+    """Whether the bit is set in its piece of a bitmap; null pieces have none."""
+    byte = F.conv(F.hex(F.substring(piece, F.shiftright(bit.cast("int"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))) % 2 == 1, F.lit(False))
+
+
+def seem_among(df: DataFrame, key: str, keys: DataFrame, rows: int) -> DataFrame:
+    """Rows of df whose key is among keys, and some whose key shares a bit with one: without a shuffle of df, by a bitmap of bounded size."""
+    bits = filter_bits(rows)
+    piece, bit = piece_and_bit(F.col(key), bits)
+    pieces = keys.groupBy(piece.alias("__piece")).agg(F.bitmap_construct_agg(bit).alias("__map"))
+    return df.withColumn("__piece", piece).join(F.broadcast(pieces), "__piece").where(is_set(F.col("__map"), bit)).drop("__piece", "__map")
+
+
 #: Messages that a sender cuts its keys into at most. Where that is too few for tasks to stay small, relays cut them further.
 FAN = 64
 ASK = "sender long, place long, keys binary, values binary"

@@ -22,6 +22,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import filter_bits, is_set, piece_and_bit
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -117,8 +119,6 @@ def trigram_query(pattern: str) -> list[list[set[str]]]:
 
 #: Keys of documents in one block of the index on average, and so in one posting list at most about as many.
 BLOCK_DOCS = 16_384
-#: Bits of a rule's bitmap: 8 a document, 2**FILTER_BITS (4 MB) at most, in pieces of PIECE bits.
-FILTER_BITS, PIECE = 25, 15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPANS = "array<struct<start:int,ord:int,stop:int,kind:string>>"
 
@@ -153,12 +153,12 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, in
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({t for q in queries for clause in q for terms in clause for t in terms})
     n = docs.count()
-    bits = 1 << max(PIECE, min(FILTER_BITS, (8 * n).bit_length()))
+    bits = filter_bits(n)
     if not grams:
         return None, bits
-    spot = F.pmod("key", F.lit(bits))
+    piece, bit = piece_and_bit(F.col("key"), bits)
     got = answers(index(docs, grams, max(1, -(-n // BLOCK_DOCS))), queries)
-    pieces = got.groupBy("rule", F.shiftright(spot, PIECE).alias("__piece")).agg(F.bitmap_construct_agg(spot.bitwiseAND(F.lit((1 << PIECE) - 1))).alias("map"))
+    pieces = got.groupBy("rule", piece.alias("__piece")).agg(F.bitmap_construct_agg(bit).alias("map"))
     return pieces.groupBy("__piece").agg(F.map_from_entries(F.collect_list(F.struct("rule", "map"))).alias("__maps")), bits
 
 
@@ -206,20 +206,18 @@ def _spans(text: Column, rule: Rule, order: int, measure) -> Column:
 def with_spans(docs: DataFrame, rules: list[Rule] = RULES, measure=F.char_length) -> DataFrame:
     """All columns of docs and __spans: (start, ord, stop, kind), ordered; offsets are code points or what measure counts, stops exclusive."""
     found, bits = candidates(docs, rules)
-    spot = F.pmod(_key(), F.lit(bits))
-    out = docs.withColumn("__spot", spot)
+    piece, bit = piece_and_bit(_key(), bits)
+    out = docs.withColumns({"__piece": piece, "__bit": bit})
     if found is not None:  # at most 2 ** (FILTER_BITS - PIECE) rows of 4 KB a rule
-        out = out.withColumn("__piece", F.shiftright("__spot", PIECE)).join(F.broadcast(found), "__piece", "left")
-    bit = F.col("__spot").bitwiseAND(F.lit((1 << PIECE) - 1)).cast("int")
+        out = out.join(F.broadcast(found), "__piece", "left")
     none, all_spans = F.array().cast(_SPANS), []
     for k, r in enumerate(rules):
         if trigram_query(r.pattern):
-            byte = F.conv(F.hex(F.substring(F.col("__maps")[k], F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-            maybe = F.coalesce((F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))) % 2) == 1, F.lit(False))
+            maybe = is_set(F.col("__maps")[k], F.col("__bit"))
         else:
             maybe = F.coalesce(F.col("text").rlike(r.pattern), F.lit(False))
         all_spans.append(F.when(maybe, _spans(F.col("text"), r, k, measure)).otherwise(none))
-    return out.withColumn("__spans", F.array_sort(F.concat(*all_spans))).drop("__spot", "__piece", "__maps")
+    return out.withColumn("__spans", F.array_sort(F.concat(*all_spans))).drop("__piece", "__bit", "__maps")
 
 
 def _joined(spans: Column) -> Column:

@@ -280,11 +280,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ids = saved(minhash.keyed(docs))
     roots = saved(components(minhash.edges(ids, docs)))
     # rows of one node meet only after they were reduced to its smallest doc_id
-    low = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("node").alias("of"))).alias("best"))
-    best = low.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best")).select("best.doc_id", F.col("best.of").alias("__node"))
-    keys = ["__none", "__id", "__node"]  # plain equality on these, so that join and dropDuplicates share one exchange
-    keyed = lambda df: df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))})
-    stay = keyed(minhash.nodes(docs, "__node")).join(keyed(best).select(*keys), keys, "left_semi")
+    low = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    best = low.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))
+    keys = ["__none", "__id", "__row"]  # plain equality on these, so that join and dropDuplicates share one exchange
+    keyed = lambda df, row: df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)), "__row": row})
+    stay = keyed(docs, minhash.row_key()).join(keyed(best.select("best.doc_id", "best.row"), F.col("row")).select(*keys), keys, "left_semi")
     return stay.dropDuplicates(keys).select(*docs.columns)
 
 
