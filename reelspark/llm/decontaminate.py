@@ -1,7 +1,11 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test texts, one scan of each document.
 
 Null or wordless texts have zero words and no hits; an empty benchmark hits nothing; repeated benchmark rows and equal
-windows of several items count for each item once; columns beyond those named are ignored (`scan`) or kept (`clean`).
+windows of several items count for each item once; passages of an item whose item_id is null are hit like any other but
+name no item. Repeated documents keep a row each, null doc_ids stay null; columns beyond those named, whatever their names,
+are ignored (`scan`) or kept (`clean`); an empty table gives no rows. Texts are scanned whole, SCAN_BYTES of documents at once
+or one longer text. The benchmark's windows go to every task; their bytes are counted first, and more than MOST_BYTES are an
+error that says so, not a shorter list.
 """
 
 from __future__ import annotations
@@ -16,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 WINDOW = 13
 #: Bytes of window text that one automaton holds at most (a state a byte); larger benchmarks are scanned block after block.
 BLOCK_BYTES = 4_000_000
+#: Bytes of window text (some 13 times the benchmark's own) that driver and tasks are let hold.
+MOST_BYTES = 1_500_000_000
 #: Bytes of documents scanned with one block's automaton before the next block is loaded.
 SCAN_BYTES = 32_000_000
 
@@ -54,7 +62,11 @@ def window_rows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def blocks(benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
     """Broadcast lists of (window, items), each of at most block_bytes of window text; the driver holds one at a time."""
     sc, out, part, held = benchmark.sparkSession.sparkContext, [], [], 0
-    for r in window_rows(benchmark, size).toLocalIterator():
+    windows = saved(window_rows(benchmark, size))
+    total = windows.agg(F.sum(F.octet_length("window") + 2)).first()[0] or 0
+    if total > MOST_BYTES:
+        raise ValueError(f"the benchmark has {total} bytes of windows, more than {MOST_BYTES}: scan it in parts")
+    for r in windows.toLocalIterator():
         part.append((bytes(r["window"]), r["items"]))
         held += len(r["window"]) + 2
         if held >= block_bytes:

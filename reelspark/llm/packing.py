@@ -5,7 +5,8 @@ to the lowest-cost sequence with room for them; one that fits nowhere is cut whe
 packs its own documents block by block, so nothing is shuffled, and every block but for its last sequence is full.
 
 Null and empty texts are one id (the end); repeated rows are packed as often as they come; ties go by position in the
-block, then to the sequence made first; extra columns are ignored; an empty table gives no rows.
+block, then to the sequence made first; null doc_ids stay null; extra columns, whatever their names, are ignored; an empty
+table gives no rows. Texts are encoded whole and cut freely: a very long one fills sequences of its own.
 """
 
 from __future__ import annotations

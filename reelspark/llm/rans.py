@@ -6,7 +6,8 @@ place in the word stream are kept, so the segments between two checkpoints decod
 each payload have a CRC-32. Files are Parquet rows of one block each, in ascending doc_id order, and a table's frequencies.
 
 Null and empty texts are the end id alone; rows that repeat a doc_id are written as often as they come, ordered by text;
-null doc_ids come first; extra columns are ignored; an empty table gives no blocks and no rows.
+null doc_ids come first; extra columns, whatever their names, are ignored; an empty table gives no blocks and no rows. Texts
+are encoded whole; a document is never split, so a very long one makes its block longer.
 """
 
 from __future__ import annotations
@@ -225,11 +226,11 @@ def frequencies(spark: SparkSession, path: str) -> np.ndarray:
     return freq
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per document from the files: doc_id, start, n_tokens, ids_crc32."""
+def read(spark: SparkSession, path: str, vocabulary: int = 1 << 17) -> DataFrame:
+    """Per document from the files: doc_id, start, n_tokens, ids_crc32. vocabulary: as given to write()."""
     blocks = spark.read.parquet(f"{path}/blocks")
     freq = frequencies(spark, path)
-    freq = np.pad(freq, (0, (1 << 17) - len(freq)))
+    freq = np.pad(freq, (0, max(0, vocabulary - len(freq))))
     shared = spark.sparkContext.broadcast(freq)
     kind = blocks.schema["doc_ids"].dataType.elementType
     id_type = to_arrow_type(kind)

@@ -20,7 +20,8 @@ fit into one task. Hashes of strings have 128 bits.
 
 Null and empty texts have no bytes; shorter texts than LENGTH lose none. Rows with equal doc_id and text are one document
 and each get its result; rows with equal doc_id and other texts are ordered by a hash of the text; null doc_ids come first.
-Extra columns are ignored; an empty table gives no rows.
+Extra columns, whatever their names, are ignored; an empty table gives no rows. Texts are read whole; a text longer than CHUNK
+makes its chunk longer, and its hashing needs some 50 times its size for a moment.
 """
 
 from __future__ import annotations

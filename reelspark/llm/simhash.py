@@ -7,7 +7,9 @@ whole tile by XOR with each plane and saturating carry-save counters, and a tile
 the radius. Bins of any size are compared whole: one beyond BIN_ROWS is split into blocks and the pairs of blocks are dealt to tasks.
 
 Null and wordless texts have fingerprint zero, which links like any other; equal fingerprints are one node, so exact
-copies, however many, add no pairs; rows that repeat keep one result each; extra columns are ignored.
+copies, however many, add no pairs; rows that repeat keep one result each; a null doc_id is after all others, so it names a
+component only if nothing else does; extra columns, whatever their names, are ignored; an empty table gives no rows. Texts are
+hashed whole, some thousand shingles at a time.
 """
 
 from __future__ import annotations
