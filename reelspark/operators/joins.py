@@ -63,3 +63,15 @@ def speech(clips: DataFrame, cues: DataFrame, width: float = 2.5) -> DataFrame:
 def unknown(keys: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key has not been dealt with."""
     return keys.join(done.select(*on).distinct(), list(on), "left_anti")
+
+
+def excerpts(clips: DataFrame, cues: DataFrame, width: float = 2.5, letters: int = 80) -> DataFrame:
+    """ingest_pos, excerpt and parts: the distinct texts of the cues that overlap the window around each clip, in their order."""
+    half, size = width / 2, 8.0
+    lo, hi = F.greatest(F.lit(0.0), F.col("time_s") - half), F.col("time_s") + half
+    w = clips.select("ep", "ingest_pos", lo.alias("lo"), hi.alias("hi")).withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
+    c = cues.select("ep", "cue_pos", "start_s", "end_s", "text", F.explode(F.sequence(F.floor(F.col("start_s") / size), F.floor(F.col("end_s") / size))).alias("b"))
+    hit = w.join(c, ["ep", "b"]).where((F.col("start_s") < F.col("hi")) & (F.col("end_s") > F.col("lo")))
+    said = hit.groupBy("ingest_pos", "text").agg(F.min("cue_pos").alias("at"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.trim("text").alias("text")))), lambda x: x["text"])
+    return said.groupBy("ingest_pos").agg(F.substring(F.array_join(parts, " "), 1, letters).alias("excerpt"), F.count("*").alias("parts"))

@@ -165,3 +165,34 @@ def unused_candidates(spark, sf_dir):
     """How many ranked clips a selection leaves over."""
     left = selection.ranked(spark, sf_dir).select(*_KEY, "ingest_pos").join(selection.selected(spark, sf_dir).select(*_KEY, "ingest_pos"), [*_KEY, "ingest_pos"], "left_anti")
     return left.groupBy(*_KEY).agg(F.count("*").alias("unused"))
+
+
+def _tc(x: str) -> str:
+    f = f"cast(floor(greatest({x}, 0.0) * 25 + 0.5) as bigint)"
+    return "||':'||".join(f"lpad(cast({p} as varchar), 2, '0')" for p in (f"{f} // 90000", f"({f} // 1500) % 60", f"({f} // 25) % 60", f"{f} % 25"))
+
+
+#: Sources are named in several ways, some without a number.
+_SOURCE = "(case ep % 3 when 0 then '第' || ep || '集.mp4' when 1 then 'Episode_' || ep || '.final.mp4' else '片头 title-card long name' end)"
+_REEL = f"(case when regexp_matches({_SOURCE}, '[0-9]') then 'EP' || lpad(regexp_extract({_SOURCE}, '[0-9]+'), greatest(2, length(regexp_extract({_SOURCE}, '[0-9]+')))::int, '0') else coalesce(nullif(substr(trim(regexp_replace({_SOURCE}, '[^\\x20-\\x7E]', '', 'g')), 1, 12), ''), 'REEL') end)"
+
+
+def reel(source):
+    """A source's ASCII reel name: EP and its first digits, else its printable ASCII letters cut at twelve."""
+    digits = F.regexp_extract(source, r"([0-9]+)", 1)
+    number = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
+    plain = F.substring(F.trim(F.regexp_replace(source, r"[^\x20-\x7E]", "")), 1, 12)
+    return F.when(digits != "", F.concat(F.lit("EP"), number)).otherwise(F.coalesce(F.nullif(plain, F.lit("")), F.lit("REEL")))
+
+
+@query(f"""with recursive {_CUTS} select series_id, mol_type, cast(place as int) as event, {_REEL} as reel, {_tc('start_s')} as src_in, {_tc('start_s + cut_s')} as src_out, {_tc('offset_s')} as rec_in, {_tc('offset_s + cut_s')} as rec_out, cut_id as label from ue""")
+def edit_list_file(spark, sf_dir):
+    """The frame-accurate edit list, events in order within a series' file, with source and record times; written as CSV and read back."""
+    from ..functions.rules import timecode
+
+    there = A.new_folder(spark, "edl")
+    source = F.when(F.col("ep") % 3 == 0, F.concat(F.lit("第"), "ep", F.lit("集.mp4"))).when(F.col("ep") % 3 == 1, F.concat(F.lit("Episode_"), "ep", F.lit(".final.mp4"))).otherwise("片头 title-card long name")
+    end = lambda a: timecode(F.col(a) + F.col("cut_s"))
+    c = selection.cuts(spark, sf_dir).select(*_KEY, F.col("place").alias("event"), reel(source).alias("reel"), timecode(F.col("start_s")).alias("src_in"), end("start_s").alias("src_out"), timecode(F.col("offset_s")).alias("rec_in"), end("offset_s").alias("rec_out"), F.col("cut_id").alias("label"))
+    c.repartition("series_id").sortWithinPartitions("series_id", "mol_type", "event").write.csv(there, header=True)
+    return spark.read.csv(there, header=True, schema=c.schema)

@@ -256,3 +256,21 @@ def repeated_frames(spark, sf_dir):
     e = A.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     one = lambda mode: W.repeats(e, ["user_id"], ["event_id"], "event_type", mode == "alternate").select(F.lit(mode).alias("mode"), "event_id")
     return one("first").unionByName(one("alternate"))
+
+
+@query(f"with {enrichment.RICH} select series_id, ingest_pos from r where reject_reason = '无' and event_conf <> '模糊'")
+def usable_frames(spark, sf_dir):
+    """Lines read back with only what is usable."""
+    there = A.new_folder(spark, "frames")
+    x = A.rich(spark, sf_dir).withColumn("usable", (F.col("reject_reason") == "无") & (F.col("event_conf") != "模糊"))
+    N.as_lines(x, ["series_id", "ingest_pos", "shot", "usable", "reject_reason"]).write.text(there)
+    return N.usable(N.lines(spark.read.text(there))).select(F.get_json_object("body", "$.series_id").alias("series_id"), F.get_json_object("body", "$.ingest_pos").cast("long").alias("ingest_pos"))
+
+
+@query(f"""with {enrichment.RICH}, {_CUES}, z as (select ingest_pos, u.text, min(cue_pos) as at_ from r join u on u.ep = r.ep and start_s < time_s + 1.25 and end_s > greatest(0.0, time_s - 1.25) where trim(coalesce(u.text, '')) <> '' group by all)
+ select ingest_pos, substr(string_agg(trim(text), ' ' order by at_), 1, 80) as excerpt, count(*) as parts from z group by ingest_pos""")
+def speech_excerpts(spark, sf_dir):
+    """What is said around a clip: the texts of its cues in order, each once, 80 letters at most."""
+    c = A.rich(spark, sf_dir)
+    cues = A.cues(spark, sf_dir).withColumn("ep", F.col("ep").cast("int")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return J.excerpts(c, cues)

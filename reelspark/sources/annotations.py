@@ -72,3 +72,9 @@ def cleaned_hint(hint: Column) -> Column:
 def hint_tag(hint: Column, name: str) -> Column:
     """What a hint's [name: ...] says, else null."""
     return F.nullif(F.trim(F.regexp_extract(hint, rf"\[{name}[:：]\s*([^\]]+)\]", 1)), F.lit(""))
+
+
+def usable(parsed: DataFrame) -> DataFrame:
+    """Rows of lines() whose label is usable and has no reject reason; what a label leaves out counts as fine."""
+    told = lambda k, d: F.coalesce(F.get_json_object("body", f"$.{k}"), F.lit(d))
+    return parsed.where((F.lower(told("usable", "true")) != "false") & (told("reject_reason", "无") == "无"))
