@@ -623,7 +623,14 @@ def narrative_diversity(spark, sf_dir):
     return W.narrative_mix(c, ["series_id"], [F.desc("score"), "ingest_pos"], "role", dims.BEATS).select("series_id", "ingest_pos", "role", "pos")
 
 
-@query()
+@query(f"""with {_CLIPS}, p as (select series_id, ep, (50.0 + 2 * ep)::double as d, case when 50 + 2 * ep < 90 then 4 when 50 + 2 * ep < 180 then 7 else 10 end as most, case when ep % 9 <> 0 then time_s end as t from c),
+ b as (select *, least(floor(t / (d / (most - 2))), most - 3)::int as b from p), f as (select series_id, ep, d, most, b, min(case when t > 1 and t < d - 1 then t end) as f, count(t) as n from b group by all),
+ g as (select series_id, ep, d, most, sum(n) as n, list(struct_pack(b := b, f := f)) filter (where f is not null) as fs from f group by all),
+ h as (select *, case when n > 0 then list_transform(range(0, most - 2), lambda k: round_even(coalesce(list_filter(fs, lambda x: x.b = k)[1].f, (k + 0.5) * (d / (most - 2))), 1))
+   else list_transform(case when d < 90 then [0.25, 0.5, 0.75] when d < 180 then [0.15, 0.3, 0.5, 0.7, 0.85] else [0.1, 0.22, 0.35, 0.5, 0.6, 0.75, 0.9] end, lambda s: round_even(d * s::double, 1)) end as ts from g),
+ i as (select *, list_sort(list_distinct(list_concat(case when d > 5 then [2.0::double, round_even(d - 2, 1)] else [2.0::double] end, list_filter(ts, lambda t: t > 1 and t < d - 1)))) as every from h),
+ j as (select *, list_reduce(list_concat([[]::double[]], list_transform(every, lambda t: [t])), lambda acc, x: case when len(acc) = 0 or x[1] - acc[-1] >= 5 then list_append(acc, x[1]) else list_append(acc[1:len(acc) - 1], round_even((acc[-1] + x[1]) / 2, 1)) end) as m from i)
+ select series_id, ep, unnest(m[1:most]) as time_s from j""")
 def key_timestamps(spark, sf_dir):
     """The seconds at which an episode's frames are taken, from its scene points."""
     c = A.clips(spark, sf_dir).select("series_id", "ep", F.when(F.col("ep") % 9 != 0, F.col("time_s")).alias("at"), (50.0 + 2 * F.col("ep")).alias("duration_s"))
@@ -749,7 +756,21 @@ def story_profiles(spark, sf_dir):
     return nodes.unionByName(P.quotes(p).select("series_id", F.lit("quote").alias("kind"), F.col("impact").alias("pos"), F.col("text").alias("name"), F.col("ep").alias("ep_lo"), F.col("time_s").cast("int").alias("ep_hi")))
 
 
-@query()
+_THIRD = "case when ep <= 0 then -1 when ep <= floor(mx * 0.33) then 0 when ep <= floor(mx * 0.66) then 1 else 2 end"
+_CLIP = "struct_pack(rank := rank, role := role, third := third, ingest_pos := ingest_pos, ep := ep)"
+_AT = "list_position(list_transform(kept, lambda x: x.role = s{k}.role and len(list_filter(kept, lambda y: y.third = x.third)) > 1), true)"
+_SWAPS = ", ".join(
+    f"w{k + 1} as (select series_id, s0, s1, s2, case when s{k} is not null and len(list_filter(kept, lambda x: x.third = {k})) = 0 and {_AT.format(k=k)} > 0 then list_append(list_concat(kept[1:{_AT.format(k=k)} - 1], kept[{_AT.format(k=k)} + 1:]), s{k}) else kept end as kept from w{k})"
+    for k in range(3)
+)
+
+
+@query(f"""with {_CLIPS}, a0 as (select series_id, ingest_pos, ep, {_CLASSIC} as score, {_role('event')} as role from c), a as (select *, row_number() over (partition by series_id order by score desc, ingest_pos) as rank, max(ep) over (partition by series_id) as mx from a0),
+ b as (select *, {_THIRD} as third, row_number() over (partition by series_id, role order by rank) as k from a), n as (select *, row_number() over (partition by series_id order by case when k = 1 then 0 when k <= {_PER} then 1 else 2 end, rank) as n from b),
+ h as (select series_id, list({_CLIP} order by rank) as kept from n where n <= 8 group by series_id), sp as (select series_id, third, arg_min({_CLIP}, rank) as s from b where third >= 0 and mx > 50 group by all),
+ w0 as (select h.series_id, kept, (select s from sp where sp.series_id = h.series_id and third = 0) as s0, (select s from sp where sp.series_id = h.series_id and third = 1) as s1, (select s from sp where sp.series_id = h.series_id and third = 2) as s2 from h), {_SWAPS},
+ z as (select series_id, unnest(kept) as x from w3), y as (select series_id, x.ingest_pos as ingest_pos, x.ep as ep, x.role as role, x.rank as rank from z)
+ select series_id, ingest_pos, ep, role, cast(row_number() over (partition by series_id order by {_BEAT}, rank) as int) as pos from y""")
 def episode_spread(spark, sf_dir):
     """The clips of narrative_diversity, swapped so that each third of a long story is there."""
     c = A.clips(spark, sf_dir).select("series_id", "ingest_pos", "ep", R.clip_score().alias("score"), R.narrative().alias("role"))
