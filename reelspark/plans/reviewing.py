@@ -274,3 +274,13 @@ def speech_excerpts(spark, sf_dir):
     c = A.rich(spark, sf_dir)
     cues = A.cues(spark, sf_dir).withColumn("ep", F.col("ep").cast("int")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
     return J.excerpts(c, cues)
+
+
+@query(f"with {enrichment.RICH} select ingest_pos, case when ingest_pos % 5 = 4 then null else shot end as shot, case when ingest_pos % 5 = 4 then null when ingest_pos % 5 = 3 then concat(desc_clean, '}}{{') else desc_clean end as hint from r")
+def label_rescue(spark, sf_dir):
+    """Labels out of replies: bare, fenced, inside prose with braces of its own, with braces in a text, and none at all."""
+    hint = F.when(F.col("ingest_pos") % 5 == 3, F.concat("desc_clean", F.lit("}{"))).otherwise(F.col("desc_clean"))
+    x = A.rich(spark, sf_dir).select("ingest_pos", F.to_json(F.struct("shot", hint.alias("hint"))).alias("j"))
+    k = F.col("ingest_pos") % 5
+    said = F.when(k == 0, F.col("j")).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), "j", F.lit("\n```\nDone."))).when(k == 2, F.concat(F.lit("As {asked}, here: "), "j", F.lit(" and {more}"))).when(k == 3, F.concat(F.lit("{} "), "j", F.lit(" {"))).otherwise("nothing {to} see")
+    return x.select("ingest_pos", N.label(said).alias("l")).select("ingest_pos", F.col("l.shot").alias("shot"), F.col("l.hint").alias("hint"))

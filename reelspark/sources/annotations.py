@@ -35,10 +35,15 @@ def lines(raw: DataFrame, value: str = "value") -> DataFrame:
 
 
 def label(text: Column) -> Column:
-    """The label object of a text with a shot: the one in a fence, else from the first brace to the last; null where there is none."""
+    """The label object of a text with a shot: the one in a fence, else from the first brace to the last, else the shortest from the first
+    brace before a quoted name on; null where there is none."""
     tries = [F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(text, r"(?s)\{.*\}", 0)]
     found = [F.from_json(t, LABEL) for t in tries]
-    return F.coalesce(*(F.when(f["shot"].isNotNull(), f) for f in found))
+    rest = F.regexp_extract(text, r'(?s)\{\s*".*', 0)
+    ends = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(rest, r"\}")) - 1))
+    each = F.transform(ends, lambda k: F.from_json(F.concat(F.call_function("substring_index", rest, F.lit("}"), k), F.lit("}")), LABEL))
+    scanned = F.get(F.filter(each, lambda f: f["shot"].isNotNull()), F.lit(0))
+    return F.coalesce(*(F.when(f["shot"].isNotNull(), f) for f in found), scanned)
 
 
 def typed(parsed: DataFrame) -> DataFrame:
