@@ -117,12 +117,17 @@ def is_set(piece: Column, bit: Column) -> Column:
     return F.coalesce(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))) % 2 == 1, F.lit(False))
 
 
-def seem_among(df: DataFrame, key: str, keys: DataFrame, rows: int) -> DataFrame:
-    """Rows of df whose key is among keys, and some whose key shares a bit with one: without a shuffle of df, by a bitmap of bounded size."""
+def marked(df: DataFrame, key: str, keys: DataFrame, rows: int, name: str) -> DataFrame:
+    """df with a mark on rows whose key is among keys, and on some whose key only shares a bit with one: by a bitmap of bounded size, without a shuffle of df."""
     bits = filter_bits(rows)
     piece, bit = piece_and_bit(F.col(key), bits)
     pieces = keys.groupBy(piece.alias("__piece")).agg(F.bitmap_construct_agg(bit).alias("__map"))
-    return df.withColumn("__piece", piece).join(F.broadcast(pieces), "__piece").where(is_set(F.col("__map"), bit)).drop("__piece", "__map")
+    return df.withColumn("__piece", piece).join(F.broadcast(pieces), "__piece", "left").withColumn(name, is_set(F.col("__map"), bit)).drop("__piece", "__map")
+
+
+def seem_among(df: DataFrame, key: str, keys: DataFrame, rows: int) -> DataFrame:
+    """Rows of df whose key is among keys, and some whose key shares a bit with one."""
+    return marked(df, key, keys, rows, "__seems").where("__seems").drop("__seems")
 
 
 #: Messages that a sender cuts its keys into at most. Where that is too few for tasks to stay small, relays cut them further.

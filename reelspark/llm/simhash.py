@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import saved
+from .common import marked, saved
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of a bin that one task compares at once; larger bins are dealt out as pairs of such blocks.
@@ -286,8 +286,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = low.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))
     keys = ["__none", "__id", "__row"]  # plain equality on these, so that join and dropDuplicates share one exchange
     keyed = lambda df, row: df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)), "__row": row})
-    stay = keyed(docs, minhash.row_key()).join(keyed(best.select("best.doc_id", "best.row"), F.col("row")).select(*keys), keys, "left_semi")
-    return stay.dropDuplicates(keys).select(*docs.columns)
+    best = saved(keyed(best.select("best.doc_id", "best.row"), F.col("row")).select(*keys))
+    # a row that goes, or is there more than once, is looked up exactly; all others stay where they are
+    doubtful = keyed(ids, F.col("row")).groupBy(*keys).agg(F.count("*").alias("__n")).join(best.withColumn("__stays", F.lit(True)), keys, "left").where(F.col("__stays").isNull() | (F.col("__n") > 1))
+    rows = marked(keyed(docs, minhash.row_key()), "__row", saved(doubtful.select("__row")), ids.count(), "__doubt")
+    exact = rows.where("__doubt").join(best, keys, "left_semi").dropDuplicates(keys)
+    return rows.where(~F.col("__doubt")).unionByName(exact).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
