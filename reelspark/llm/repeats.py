@@ -42,7 +42,7 @@ SPREAD = LENGTH - ANCHOR + 1
 #: Places of one anchor (counted once a chunk and fragment) up to which its fragments meet in one bucket.
 HOT = 20_000
 #: Bytes of text in a chunk: hashing needs some 50 times as much memory for a moment.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 U = np.uint64
 
 
