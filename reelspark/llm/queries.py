@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licences, packing, quality, rans, repeats, secrets, simhash, suffix_tree
+from . import decontaminate, language, licences, neighbours, packing, quality, rans, repeats, secrets, simhash, suffix_tree
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_language": language.op9_language,
         "op10_quality": quality.op10_quality,
+        "op13_posting_lists": neighbours.op13_posting_lists,
     }
 
 
