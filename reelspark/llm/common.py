@@ -82,6 +82,27 @@ def chunked(docs: DataFrame, *more, chunk_bytes: int = CHUNK_BYTES) -> tuple[Dat
     return docs.select("doc_id", body.cast("binary").alias("text"), *more, F.pmod(F.xxhash64("doc_id", body), F.lit(n)).cast("int").alias("chunk")), n
 
 
+def split_words(texts: pa.Array, kind: np.ndarray, lower: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts without nulls: their distinct words as bytes, all words as places among these, the text that each stands in, and
+    the number of the piece that each stands in, over all texts. kind: of each byte, 0 if it is part of a word, 1 if it parts
+    words, 2 if it parts pieces too; lower: what each byte becomes."""
+    arr = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    raw = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    kinds = kind[raw]
+    inside = kinds == 0
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    at = (offsets[:-1] - offsets[0])[np.diff(offsets) > 0]  # texts begin here
+    begin[at] = inside[at]
+    start = np.nonzero(begin)[0]
+    bound = np.cumsum(inside)
+    edges = np.append(bound[start] - 1, bound[-1:]) if len(start) else np.zeros(1, np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(lower[raw][inside].tobytes())]).dictionary_encode()
+    kinds[at] = 2  # a text's first byte parts it from the text before
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(offsets - offsets[0], start, "right") - 1, np.cumsum(kinds == 2, dtype=np.int32)[start]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: near inputs give unrelated outputs."""
     h = h ^ (h >> np.uint64(31))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licences, neighbours, packing, quality, rans, repeats, secrets, simhash, suffix_tree
+from . import collocations, decontaminate, language, lexical, licences, neighbours, packing, quality, rans, repeats, secrets, simhash, suffix_tree
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_language": language.op9_language,
         "op10_quality": quality.op10_quality,
+        "op11_ball_tree": lexical.op11_ball_tree,
+        "op12_stripes": collocations.op12_stripes,
         "op13_posting_lists": neighbours.op13_posting_lists,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licences": licences.oracle(), "op8_secrets": secrets.oracle()}
+    return {"op6_licences": licences.oracle(), "op8_secrets": secrets.oracle(), "op11_ball_tree": lexical.oracle(), "op12_stripes": collocations.oracle()}
