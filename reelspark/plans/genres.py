@@ -338,14 +338,19 @@ _SPLIT = f"""{_LINES}, na as (select *, {_TYPES} as types, row_number() over w -
  nc as (select series_id, i, n, score, row_number() over (partition by series_id order by score desc, i) as k from nb where score >= 30)"""
 
 
-def split_points(spark, sf_dir):
-    """Where an episode may break, and the stretches of clips that a greedy choice of the best makes of it: series_id, first, last, hook, score."""
+def split_candidates(spark, sf_dir):
+    """Clips at which an episode may break: series_id, score, i (its place), n (of so many), lo and hi of the stretch around it."""
     w = Window.partitionBy("series_id")
     o = w.orderBy("ep", "time_s", "ingest_pos")
     c = clips(spark, sf_dir).withColumns({"i": F.row_number().over(o) - 1, "n": F.count("*").over(w), "jump": F.abs(F.col("emotion") - F.lag("emotion").over(o))})
     set_ = F.exists("types", lambda x: x.isin("scene_change", *SPLITTERS))
     score = R.flag(F.coalesce(F.col("jump") >= 2, F.lit(False)), 30) + R.flag(R.any_word(E.text("desc_clean"), SUSPENSE), 25) + R.flag(set_, 20) + R.flag((F.col("emotion") >= 4) & (F.size("types") >= 1), 15)
-    best = c.withColumn("score", score).where("score >= 30").select("series_id", "score", "i", "n", F.greatest(F.lit(0), F.col("i") - 4).alias("lo"), F.least(F.col("n"), F.col("i") + 4).cast("int").alias("hi"))
+    return c.withColumn("score", score).where("score >= 30").select("series_id", "score", "i", "n", F.greatest(F.lit(0), F.col("i") - 4).alias("lo"), F.least(F.col("n"), F.col("i") + 4).cast("int").alias("hi"))
+
+
+def split_points(spark, sf_dir):
+    """The stretches of clips that a greedy choice of the best breaks makes: series_id, first, last, hook, score."""
+    best = split_candidates(spark, sf_dir)
 
     def choose(frames):
         now, taken = None, set()

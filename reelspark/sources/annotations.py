@@ -6,10 +6,14 @@ values become the defaults. Fractional times are kept, though the older readers
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules as R
 
@@ -34,16 +38,60 @@ def lines(raw: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+#: What balances an object: braces, and quotes with what they escape.
+_MARKS = re.compile(r'[{}"\\]')
+
+
+def _balanced(text: str, quotes: bool) -> dict[int, int]:
+    """Where balanced objects begin and end, inner ones too, in one pass. Braces in strings don't count if quotes are heeded within objects."""
+    open_, out, inside, skip = [], {}, False, -1
+    for m in _MARKS.finditer(text):
+        at, c = m.start(), m[0]
+        if at == skip:
+            continue
+        if c == "\\":
+            skip = at + 1 if inside else -1
+        elif c == '"':
+            inside = quotes and bool(open_) and not inside
+        elif inside:
+            continue
+        elif c == "{":
+            open_.append(at)
+        elif open_:
+            out[open_.pop()] = at + 1
+    return out
+
+
+def first_shot(text: str | None) -> str | None:
+    """The first object of a text that is JSON and has a shot; objects before it, inside it or never closed are passed over."""
+    if text is None or '"shot"' not in text:
+        return None
+    spans = _balanced(text, False) | _balanced(text, True)
+    last = text.rfind('"shot"')
+    for begin in sorted(k for k in spans if k < last):
+        if text.find('"shot"', begin, spans[begin]) < 0:
+            continue
+        try:
+            found, end = json.JSONDecoder().raw_decode(text, begin)
+        except (ValueError, RecursionError):
+            continue
+        if found.get("shot") is not None:
+            return text[begin:end]
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _first_shots(texts: pd.Series) -> pd.Series:
+    return texts.map(first_shot)
+
+
 def label(text: Column) -> Column:
-    """The label object of a text with a shot: the one in a fence, else from the first brace to the last, else the shortest from the first
-    brace before a quoted name on; null where there is none."""
+    """The label object of a text with a shot: the one in a fence, else from the first brace to the last, else the first balanced one
+    that has a shot; null where there is none. Only texts that neither try reads are scanned."""
     tries = [F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(text, r"(?s)\{.*\}", 0)]
     found = [F.from_json(t, LABEL) for t in tries]
-    rest = F.regexp_extract(text, r'(?s)\{\s*".*', 0)
-    ends = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(rest, r"\}")) - 1))
-    each = F.transform(ends, lambda k: F.from_json(F.concat(F.call_function("substring_index", rest, F.lit("}"), k), F.lit("}")), LABEL))
-    scanned = F.get(F.filter(each, lambda f: f["shot"].isNotNull()), F.lit(0))
-    return F.coalesce(*(F.when(f["shot"].isNotNull(), f) for f in found), scanned)
+    plain = F.coalesce(*(F.when(f["shot"].isNotNull(), f) for f in found))
+    return F.coalesce(plain, F.from_json(_first_shots(F.when(plain.isNull() & F.contains(text, F.lit('"shot"')), text)), LABEL))
 
 
 def typed(parsed: DataFrame) -> DataFrame:
