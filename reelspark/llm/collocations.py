@@ -38,7 +38,8 @@ BITS, SLICE_BYTES = 26, 8_000_000
 U = np.uint64
 _KIND = np.array([2 if b in b".,;:!?\n\x0b\x0c\r" else 1 if b in b" \t" else 0 for b in range(256)], np.uint8)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_STRIPES = "lang string, prefix string, shard int, nexts array<string>, counts array<long>"
+#: A stripe's next words and their counts are one text each, parted by spaces, which no word has: half as long as arrays.
+_STRIPES = "lang string, prefix string, shard int, nexts string, counts string"
 
 
 class Words:
@@ -109,9 +110,9 @@ def stripes_of(texts: pa.Array, lang: str, level: int, known: list) -> pa.Record
     one = pa.array(order[edge[:-1]])
     names = [c.take(one).cast(pa.string()) for c in words]
     name = names[0] if len(names) == 1 else pc.binary_join_element_wise(*names, " ")
-    nexts = w.distinct.take(pa.array(code[order])).cast(pa.string())
+    listed = lambda values: pc.binary_join(pa.ListArray.from_arrays(pa.array(edge), values.cast(pa.string())), " ")
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(name), pa.string()), name, pa.array(shard[edge[:-1]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(edge), nexts), pa.ListArray.from_arrays(pa.array(edge), pa.array(sums[order].astype(np.int64)))],
+        [pa.array([lang] * len(name), pa.string()), name, pa.array(shard[edge[:-1]].astype(np.int32)), listed(w.distinct.take(pa.array(code[order]))), listed(pa.array(sums[order]))],
         names=["lang", "prefix", "shard", "nexts", "counts"],
     )
 
@@ -135,8 +136,8 @@ def counted(docs: DataFrame, level: int, known) -> DataFrame:
 
 def merged(stripes: DataFrame) -> DataFrame:
     """lang, prefix, next, f: stripes added up entry by entry where their shard was dealt to."""
-    pairs = stripes.repartition("lang", "prefix", "shard").select("lang", "prefix", "shard", F.explode(F.arrays_zip("nexts", "counts")).alias("x"))
-    return pairs.groupBy("lang", "prefix", "shard", F.col("x.nexts").alias("next")).agg(F.sum("x.counts").alias("f")).drop("shard")
+    pairs = stripes.repartition("lang", "prefix", "shard").select("lang", "prefix", "shard", F.explode(F.arrays_zip(F.split("nexts", " ").alias("next"), F.split("counts", " ").alias("count"))).alias("x"))
+    return pairs.groupBy("lang", "prefix", "shard", F.col("x.next").alias("next")).agg(F.sum(F.col("x.count").cast("long")).alias("f")).drop("shard")
 
 
 def bitmaps(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
