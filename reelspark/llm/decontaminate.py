@@ -4,8 +4,9 @@ Null or wordless texts have zero words and no hits; an empty benchmark hits noth
 windows of several items count for each item once; passages of an item whose item_id is null are hit like any other but
 name no item. Repeated documents keep a row each, null doc_ids stay null; columns beyond those named, whatever their names,
 are ignored (`scan`) or kept (`clean`); an empty table gives no rows. Texts are scanned whole, SCAN_BYTES of documents at once
-or one longer text. The benchmark's windows go to every task; their bytes are counted first, and more than MOST_BYTES are an
-error that says so, not a shorter list.
+or one longer text. The benchmark's windows are a table; GROUP_BYTES of them at a time go to every task. Where they are more, the
+documents are scanned once a group and carry what the groups before have found, each scan written to the shared folder; so neither
+driver nor tasks hold more of a benchmark of any size, and the result is that of one scan.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, written
 
 WINDOW = 13
 #: Bytes of window text that one automaton holds at most (a state a byte); larger benchmarks are scanned block after block.
 BLOCK_BYTES = 4_000_000
-#: Bytes of window text (some 13 times the benchmark's own) that driver and tasks are let hold.
-MOST_BYTES = 1_500_000_000
+#: Bytes of window text (some 13 times the benchmark's own) that driver and tasks hold at a time.
+GROUP_BYTES = 48_000_000
 #: Bytes of documents scanned with one block's automaton before the next block is loaded.
 SCAN_BYTES = 32_000_000
 
@@ -59,20 +61,20 @@ def window_rows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return pairs.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def blocks(benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
-    """Broadcast lists of (window, items), each of at most block_bytes of window text; the driver holds one at a time."""
-    sc, out, part, held = benchmark.sparkSession.sparkContext, [], [], 0
-    windows = saved(window_rows(benchmark, size))
-    total = windows.agg(F.sum(F.octet_length("window") + 2)).first()[0] or 0
-    if total > MOST_BYTES:
-        raise ValueError(f"the benchmark has {total} bytes of windows, more than {MOST_BYTES}: scan it in parts")
-    for r in windows.toLocalIterator():
+def groups(benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES):
+    """Lists of named broadcast blocks of (window, items): a block has about block_bytes of window text, a list GROUP_BYTES. The
+    driver holds one list at a time; there is at least one, maybe empty."""
+    sc, out, part, held, whole = benchmark.sparkSession.sparkContext, [], [], 0, 0
+    for r in saved(window_rows(benchmark, size)).toLocalIterator():
         part.append((bytes(r["window"]), r["items"]))
         held += len(r["window"]) + 2
         if held >= block_bytes:
             out.append((uuid.uuid4().hex, sc.broadcast(part)))
-            part, held = [], 0
-    return [*out, (uuid.uuid4().hex, sc.broadcast(part))] if part else out
+            whole, part, held = whole + held, [], 0
+            if whole >= GROUP_BYTES:
+                yield out
+                out, whole = [], 0
+    yield [*out, (uuid.uuid4().hex, sc.broadcast(part))] if part else out
 
 
 def automaton(windows: list[tuple[bytes, list[str]]]):
@@ -99,9 +101,11 @@ class _Seen:
 
     __slots__ = ("items", "line", "n_words", "runs")
 
-    def __init__(self, text: bytes | None):
+    def __init__(self, text: bytes | None, found: dict | None = None):
         w = words(text)
         self.n_words, self.runs, self.items = len(w), [], set()
+        if found:
+            self.runs, self.items = [(x["s"], x["e"]) for x in found["runs"]], set(found["items"])
         self.line = f" {b' '.join(w).decode('latin-1')} " if w else ""
 
     def scan(self, built, items) -> None:
@@ -113,16 +117,23 @@ class _Seen:
             for k in {v[0] for _, v in found}:
                 self.items.update(items[k])
 
+    def merged(self) -> list[list[int]]:
+        out: list[list[int]] = []
+        for s, e in sorted(self.runs):
+            if out and s <= out[-1][1]:
+                out[-1][1] = max(e, out[-1][1])
+            else:
+                out.append([s, e])
+        return out
+
+    def found(self) -> dict:
+        return {"runs": [{"s": s, "e": e} for s, e in self.merged()], "items": sorted(self.items)}
+
     def spans(self, text: bytes) -> tuple[int, list[dict]]:
         """Words inside any occurrence, and their runs as offsets into the original text (code points)."""
         if not self.runs:
             return 0, []
-        merged: list[list[int]] = []
-        for s, e in sorted(self.runs):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(e, merged[-1][1])
-            else:
-                merged.append([s, e])
+        merged = self.merged()
         at = [m.span() for m in _WORD.finditer(text.decode())]
         return sum(e - s for s, e in merged), [{"start": at[s][0], "end": at[e - 1][1]} for s, e in merged]
 
@@ -139,13 +150,20 @@ def _groups(batches):
         yield part
 
 
-def _judged(texts: list[bytes | None], parts: list) -> list[tuple]:
-    """RESULT's columns of each text; every block's automaton is loaded once for all of them."""
-    seen = [_Seen(t) for t in texts]
+def _scanned(batch, parts: list) -> list[_Seen]:
+    """What there is in each text of a batch (or group of batches), with what it carries; every block's automaton is loaded once for all of them."""
+    texts = [t for b in batch for t in b["text"].to_pylist()]
+    carried = [f for b in batch for f in (b["__found"].to_pylist() if "__found" in b.schema.names else [None] * len(b))]
+    seen = [_Seen(t.encode() if isinstance(t, str) else t, f) for t, f in zip(texts, carried, strict=True)]
     for block in parts:
         built, items = _automaton_of(block)
         for s in seen:
             s.scan(built, items)
+    return seen
+
+
+def _judged(texts: list[bytes | None], seen: list[_Seen]) -> list[tuple]:
+    """RESULT's columns of each text."""
     out = []
     for t, s in zip(texts, seen, strict=True):
         n, spans = s.spans(t or b"")
@@ -153,33 +171,66 @@ def _judged(texts: list[bytes | None], parts: list) -> list[tuple]:
     return out
 
 
+_CARRIED = "struct<runs:array<struct<s:int,e:int>>,items:array<string>>"
+_FOUND = pa.struct([("runs", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("items", pa.list_(pa.string()))])
+
+
+def _but_last(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> tuple[DataFrame, list]:
+    """docs with what all groups of the benchmark but the last have found in them, as __found where there is more than one, and the last group."""
+    last = None
+    for parts in groups(benchmark, size, block_bytes):
+        if last is not None:
+            docs = _carrying(docs, last)
+        last = parts
+    return docs, last
+
+
+def _carrying(docs: DataFrame, parts: list) -> DataFrame:
+    """docs, written, with __found after these blocks."""
+
+    def rows(batches):
+        for group in _groups(batches):
+            for b in group:
+                found = pa.array([s.found() for s in _scanned([b], parts)], _FOUND)
+                own = [(n, b[n]) for n in b.schema.names if n != "__found"]
+                yield pa.RecordBatch.from_arrays([*(c for _, c in own), found], [*(n for n, _ in own), "__found"])
+
+    plain = docs.drop("__found")
+    schema = T.StructType([*plain.schema.fields, T.StructField("__found", T._parse_datatype_string(_CARRIED))])
+    out = written(docs.mapInArrow(rows, schema), "scanned")
+    for _, block in parts:
+        block.unpersist()
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, words in occurrences of benchmark windows, items hit, contaminated or not, and the hit spans.
 
-    Contaminated: any hit word and at least one hit word in 20. The documents are read once, without a shuffle.
+    Contaminated: any hit word and at least one hit word in 20. The documents are read once a group of windows, without a shuffle.
     """
-    parts = blocks(benchmark, size, block_bytes)
+    texts, parts = _but_last(docs.select("doc_id", F.col("text").cast("binary").alias("text")), benchmark, size, block_bytes)
 
     def rows(batches):
         for group in _groups(batches):
-            got = _judged([t for b in group for t in b["text"].to_pylist()], parts)
+            got = _judged([t for b in group for t in b["text"].to_pylist()], _scanned(group, parts))
             ids = pa.concat_arrays([b["doc_id"] for b in group])
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*got, strict=True), _TYPES.values(), strict=True))], ["doc_id", *_TYPES])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    return texts.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns, that are not contaminated."""
-    parts = blocks(benchmark, size)
+    carried, parts = _but_last(docs, benchmark, size, block_bytes)
 
     def rows(batches):
         for group in _groups(batches):
             for b in group:
-                got = _judged([None if t is None else t.encode() for t in b["text"].to_pylist()], parts)
-                yield b.filter(pa.array([not g[4] for g in got], pa.bool_()))
+                texts = [None if t is None else t.encode() for t in b["text"].to_pylist()]
+                keep = pa.array([not g[4] for g in _judged(texts, _scanned([b], parts))], pa.bool_())
+                yield b.select([n for n in b.schema.names if n != "__found"]).filter(keep)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return carried.mapInArrow(rows, docs.schema)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

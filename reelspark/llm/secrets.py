@@ -39,8 +39,8 @@ RULES = [
     Rule("assign", ASSIGN, 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16, True),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, True),
-    # up to the end line, or where it is missing the lines of the body
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:, \t\r\n-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=]{16,}){0,60})"),
+    # up to the end line, or where it is missing all lines of the body; possessive, so that the engine loops and does not recurse
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:, \t\r\n-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=]{16,})*+)"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("lab_token", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -253,7 +253,7 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle(rules: list[Rule] = RULES) -> str:
-    q = lambda p: "'" + p.replace("'", "''") + "'"
+    q = lambda p: "'" + p.replace("'", "''").replace("*+", "*") + "'"  # noqa: E731  (an engine without backtracking needs no possessives)
     total = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
     parts = []
     for k, r in enumerate(rules):

@@ -64,7 +64,10 @@ def test_null_item_hits_but_names_nothing(spark, docs):
     assert got[1, 4]["n_hit"] == 4 and got[1, 4]["n_items"] == 1
 
 
-def test_benchmark_beyond_its_bound_is_an_error(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MOST_BYTES", 10)
-    with pytest.raises(ValueError):
-        decontaminate.scan(docs, bench(spark))
+def test_a_benchmark_beyond_its_bound_is_scanned_in_groups(spark, docs, monkeypatch):
+    rows = lambda df: sorted(map(str, df.collect()))
+    many = bench(spark).unionByName(spark.createDataFrame([(f"m{k}", f"goes on and on, a long text of common words goes {k}" if k % 2 else "text of common words goes on and on") for k in range(30)], "item_id string, text string"))
+    whole = rows(decontaminate.scan(docs, many)), rows(decontaminate.clean(docs, many))
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 100)
+    assert len(list(decontaminate.groups(many, block_bytes=40))) > 5
+    assert (rows(decontaminate.scan(docs, many, block_bytes=40)), rows(decontaminate.clean(docs, many, block_bytes=40))) == whole

@@ -154,3 +154,13 @@ def test_many_spans_take_little_longer(spark):
         took[n] = time.time() - t
         assert r["n"] == n * 11 - 1 and r["head"] == "é [SECRET] é"
     assert took[40_000] < 5 * took[2_500] + 5
+
+
+@pytest.mark.parametrize("lines", [1, 61, 100, 20_000])
+def test_private_keys_of_any_length(spark, lines):
+    body = "".join("\n" + "Ab3+/" * 12 + f"{k:04d}" for k in range(lines))
+    key = "-----BEGIN RSA PRIVATE KEY-----" + body
+    rows = [(1, f"before {key}\nand after."), (2, f"before {key}\n-----END RSA PRIVATE KEY-----\nand after.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secrets.redacted(d).collect():
+        assert "Ab3" not in r["text"] and r["text"].startswith("before ") and r["text"].endswith("\nand after.")
