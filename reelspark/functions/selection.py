@@ -40,13 +40,31 @@ def character_boost(characters: Column) -> Column:
     return F.least(F.lit(4.0), F.aggregate(F.transform(characters, points), F.lit(0.0), lambda a, x: a + x))
 
 
+def _held(text: Column, words: list[str]) -> Column:
+    """Those of the words that the text holds, once each."""
+    return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words)))
+
+
+def prepared() -> dict[str, Column]:
+    """What scores and filters need of a clip whatever the template: worked out once, before clips meet templates.
+
+    _hits and _shots: the templates' events and shots that a clip shows; _plain: its score without theirs; _fair: whether any
+    template may take it; _high: whether it is of high conflict.
+    """
+    text, seen = E.event_text(), F.coalesce("dialogue_visible", F.lit(False))
+    events, shots = (sorted({w for m in dims.MOLECULES.values() for w in m[k]}) for k in (6, 7))
+    base = F.col("emotion") * 12 + F.col("action_level") * 10 + F.col("visual_quality") * 8 + R.flag(F.col("face_quality").isin("正脸", "侧脸", "半面"), 10) + R.flag(seen, 8)
+    base = base + F.least(F.lit(10), F.floor(F.length(E.text("subtitle_text")) / 2)) + sum((R.flag(F.contains(text, F.lit(x)), 12) for x in dims.SCORED_SUBTYPES), F.lit(0))
+    lost = R.flag(~F.col("usable"), 100) + R.flag(F.col("event_conf") == "模糊", 50)
+    fair = F.col("usable") & (F.col("reject_reason") == "无") & ~((F.col("event_conf") == "模糊") & (F.col("visual_quality") <= 2)) & ~R.any_word(E.text("desc_clean"), HEDGES) & (F.length(E.text("desc_clean")) >= 30)
+    return {"_hits": _held(text, events), "_shots": _held(E.text("shot"), shots), "_plain": base - lost, "_fair": fair, "_high": high_conflict()}
+
+
 def molecular_score() -> Column:
-    text, kind, aes = E.event_text(), F.col("mol_type"), F.coalesce("aesthetic_score", F.lit(0))
+    """Of a prepared() clip beside a template."""
+    kind, aes = F.col("mol_type"), F.coalesce("aesthetic_score", F.lit(0))
     quoted, anchored = E.text("transcript_excerpt") != "", E.text("dialogue_anchor").isin("boundary", "dense_speech")
     density, energy, seen = F.coalesce("speech_density", F.lit(1)), F.coalesce("audio_energy", F.lit(1)), F.coalesce("dialogue_visible", F.lit(False))
-    base = F.col("emotion") * 12 + F.col("action_level") * 10 + F.col("visual_quality") * 8 + R.flag(F.col("face_quality").isin("正脸", "侧脸", "半面"), 10) + R.flag(seen, 8)
-    base = base + F.least(F.lit(10), F.floor(F.length(E.text("subtitle_text")) / 2)) + F.size(F.filter("events", lambda e: F.contains(text, e))) * 18
-    base = base + sum((R.flag(F.contains(text, F.lit(s)), 12) for s in dims.SCORED_SUBTYPES), F.lit(0))
     own = (
         F.when(kind == "quote_rhythm", density * 8 + R.flag(quoted, 16) + R.flag(anchored, 10))
         .when(kind == "identity_twist", density * 6 + R.flag(quoted, 12) + R.flag(seen, 8))
@@ -54,8 +72,7 @@ def molecular_score() -> Column:
         .when(kind.isin("hook_clash", "suspense_hook"), energy * 5 + R.flag(F.col("has_speech_peak"), 12) + R.flag(F.col("beat_nearby"), 8))
         .otherwise(F.when(aes > 0, aes * 15).otherwise(F.col("visual_quality") * 10) + R.flag(F.col("shot").isin("全景", "特写"), 15) + R.flag(F.col("face_quality") == "无人", 4) + F.least(F.lit(4), energy))
     )
-    lost = R.flag(~F.col("usable"), 100) + R.flag(F.col("event_conf") == "模糊", 50)
-    return (base + own + F.when((aes > 0) & (kind != "cinematic_beauty"), aes * 5).otherwise(0) - lost).cast("int")
+    return (F.col("_plain") + F.size(F.array_intersect("events", "_hits")) * 18 + own + F.when((aes > 0) & (kind != "cinematic_beauty"), aes * 5).otherwise(0)).cast("int")
 
 
 def fusion_score() -> Column:
@@ -70,17 +87,15 @@ def high_conflict() -> Column:
 
 
 def fits(strict: bool) -> Column:
-    """Whether a clip passes its template's filter; the relaxed one asks a level less of emotion and neither faces, events nor shots."""
+    """Whether a prepared() clip passes its template's filter; the relaxed one asks a level less of emotion and neither faces, events nor shots."""
     beauty, quality = F.col("mol_type") == "cinematic_beauty", F.col("visual_quality")
-    described, subtype = F.length(E.text("desc_clean")) >= 30, ~E.text("event_subtype").isin("", "无")
+    subtype, face = ~E.text("event_subtype").isin("", "无"), E.text("face_quality")
     least = F.col("emo_min") if strict else F.greatest(F.lit(2), F.col("emo_min") - 1)
-    ok = (F.col("emotion") >= least) & F.col("usable") & (F.col("reject_reason") == "无") & ~((F.col("event_conf") == "模糊") & (quality <= 2))
-    ok = ok & F.when(beauty, (quality >= 4) | ((quality >= 3) & subtype & described)).otherwise(quality >= 3) & ~R.any_word(E.text("desc_clean"), HEDGES)
-    face = E.text("face_quality")
-    ok = ok & ~(beauty & (face == "模糊")) & described & ~(beauty & (F.trim(E.text("event")) == "") & ~subtype)
+    ok = F.col("_fair") & (F.col("emotion") >= least) & F.when(beauty, (quality >= 4) | ((quality >= 3) & subtype)).otherwise(quality >= 3)
+    ok = ok & ~(beauty & (face == "模糊")) & ~(beauty & (F.trim(E.text("event")) == "") & ~subtype)
     if strict:
         ok = ok & (beauty | (~face.isin("模糊", "无人") & ~((face == "") & (F.coalesce("faces", F.lit(0)) < 1))))
-        ok = ok & ((F.size("events") == 0) | any_of(E.event_text(), F.col("events"))) & ((F.size("shots") == 0) | any_of(E.text("shot"), F.col("shots")))
+        ok = ok & ((F.size("events") == 0) | F.arrays_overlap("events", "_hits")) & ((F.size("shots") == 0) | F.arrays_overlap("shots", "_shots"))
     return ok
 
 

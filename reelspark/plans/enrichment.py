@@ -61,7 +61,8 @@ def decided(spark, sf_dir):
 
 def banded(spark, sf_dir):
     """Decisions with hook and promo as bands within their series and the role that the hook band gives; the timing stays the first role's."""
-    d = W.banded(decided(spark, sf_dir), "hook_value", ["series_id"], ["ingest_pos"], "__hook")
+    d = E.decided(A.rich(spark, sf_dir).repartition("series_id"))  # the windows' own exchange, made before the work on texts
+    d = W.banded(d, "hook_value", ["series_id"], ["ingest_pos"], "__hook")
     d = W.banded(d, "promo_value", ["series_id"], ["ingest_pos"], "__promo")
     return d.withColumns({"raw_hook": F.col("hook_value"), "hook_value": F.col("__hook"), "promo_value": F.col("__promo")}).drop("__hook", "__promo").withColumn("cut_role", R.cut_role(F.col("hook_value")))
 

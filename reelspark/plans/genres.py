@@ -194,15 +194,18 @@ def passes(spark, sf_dir):
     w = weight_configs(spark, sf_dir).groupBy("series_id", "genre", "p").agg(*(F.max(F.when(F.col("comp") == c, F.col("w"))).cast(_D).alias(f"w_{c}") for c in COMPONENTS))
     plain = F.create_map(*(F.lit(x) for kv in RARITY.items() for x in kv))
     bonus = F.create_map(*(x for g, v in GENRES.items() for x in (F.lit(g), F.create_map(*(F.lit(y) for kv in v[3].items() for y in kv)))))
-    rare = lambda x: F.coalesce(F.when(F.col("p") != 2, bonus[F.col("genre")][x]), plain[x], F.lit(1.0)).cast(_D)
+    rare = lambda genre: F.aggregate(F.transform("types", lambda x: F.coalesce(*([genre[x]] if genre is not None else []), plain[x], F.lit(1.0)).cast(_D)), F.lit(0).cast("decimal(14,2)"), lambda a, x: (a + x).cast("decimal(14,2)"))
     dec = lambda x: x.cast(_D)
-    total = F.aggregate(F.transform("types", rare), F.lit(0).cast("decimal(14,2)"), lambda a, x: (a + x).cast("decimal(14,2)"))
+    # a clip's parts don't depend on the weighting but for its rarity, which has two forms; both are worked out before five weightings meet it
+    c = clips(spark, sf_dir).repartition("series_id").join(w.groupBy("series_id").agg(F.first("genre").alias("genre")), "series_id").withColumn("__bonus", bonus[F.col("genre")])
+    c = c.withColumns({"__own": rare(F.col("__bonus")), "__plain": rare(None)})
+    total = F.when(F.col("p") != 2, F.col("__own")).otherwise(F.col("__plain"))
     parts = {
         "emotion": F.coalesce(F.get(F.array(*map(F.lit, (0, 5, 15, 40, 70))), F.col("emotion") - 1), F.lit(15)), "scene_rare": F.least(F.lit(30).cast("decimal(14,2)"), (total * 5).cast("decimal(14,2)")),
         "dialogue": F.least(F.lit(40), F.col("dialogue_lines") * 8), "content": F.when(F.col("has_content"), 12).otherwise(0), "faces": F.least(F.lit(16), F.col("faces") * 4), "desc_len": F.least(F.lit(5.0), F.ln(F.greatest(F.lit(1), F.length("desc_clean"))) * 1.5),
     }
     score = F.round(sum((dec(v) * F.col(f"w_{c}") for c, v in parts.items()), F.lit(0).cast(_D)), 1)
-    r = W.capped_rank(clips(spark, sf_dir).join(w, "series_id").withColumn("score", score), ["series_id", "p"], "ep", [F.desc("score"), "ingest_pos"], 2, 30)
+    r = W.capped_rank(c.join(w.drop("genre"), "series_id").withColumn("score", score), ["series_id", "p"], "ep", [F.desc("score"), "ingest_pos"], 2, 30)
     return r.groupBy("series_id", "ingest_pos").agg(F.count("*").alias("appearances"), F.avg("rank").alias("mean_rank"), F.coalesce(F.stddev_samp("rank"), F.lit(0.0)).alias("sd"), F.max("rank").alias("worst"))
 
 

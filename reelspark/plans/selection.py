@@ -49,8 +49,13 @@ def told(spark, sf_dir):
     return c.withColumns({"narrative": S.narrative_boost(nodes, F.transform(people, lambda p: p["name"])), "characters": S.character_boost(people)})
 
 
-def fused(spark, sf_dir):
-    f = told(spark, sf_dir).crossJoin(F.broadcast(dims.molecules(spark))).withColumn("molecular", S.molecular_score())
+#: What S.prepared() adds.
+_PREPARED = ["_hits", "_shots", "_plain", "_fair", "_high"]
+
+
+def fused(clips):
+    """Clips of told() beside each template, with both scores."""
+    f = clips.withColumns(S.prepared()).crossJoin(F.broadcast(dims.molecules(clips.sparkSession))).withColumn("molecular", S.molecular_score())
     return f.withColumn("fusion", F.round(S.fusion_score(), 6))
 
 
@@ -62,7 +67,7 @@ def story_boosts(spark, sf_dir):
 @query(f"with {_FUSED} select series_id, ingest_pos, mol_type, molecular, round(fusion, 4) as fusion from xb")
 def full_fusion(spark, sf_dir):
     """Molecular and fused score of every clip under every template, with all terms and boosts."""
-    return fused(spark, sf_dir).select("series_id", "ingest_pos", "mol_type", "molecular", F.round("fusion", 4).alias("fusion"))
+    return fused(told(spark, sf_dir)).select("series_id", "ingest_pos", "mol_type", "molecular", F.round("fusion", 4).alias("fusion"))
 
 
 _DESC = "length(desc_clean) >= 30"
@@ -90,7 +95,7 @@ def filter_pools(spark, sf_dir):
     """Each template's pool: by the strict filter, the relaxed one for older labels, else by quality or, for older labels, by score."""
     older = F.substring("series_id", 2, 20).cast("int") % 3 == 0
     c = told(spark, sf_dir).withColumns({n: F.when(older, 1).otherwise(F.col(n)) for n in ("audio_energy", "speech_density")})
-    d = c.crossJoin(F.broadcast(dims.molecules(spark)))
+    d = c.withColumns(S.prepared()).crossJoin(F.broadcast(dims.molecules(spark)))
     return pools(d).select("series_id", "mol_type", "ingest_pos", "tier")
 
 
@@ -120,9 +125,9 @@ _RANKED = f"""{_FUSED}, ra as (select *, {_BEAT} as nf, {_HIGH} as high from xb
 
 def ranked(spark, sf_dir):
     """Each template's ranking of a series: pos, the best of each beat first where nothing is forced."""
-    p = fused(spark, sf_dir).where(S.fits(True)).withColumn("nf", R.narrative())
-    forced = F.col("mol_type").isin("hook_clash", "quote_rhythm", "suspense_hook") & S.high_conflict()
-    return K.by_beats(p, ["series_id", "mol_type"], "fusion", "ingest_pos", F.col("max_clips"), "nf", "story_stage", "ep", "time_s", ["hook", "setup", "inciting", "rising", "climax", "transition"], forced).withColumnRenamed("pos", "rank")
+    p = fused(told(spark, sf_dir)).where(S.fits(True)).withColumn("nf", R.narrative())
+    forced = F.col("mol_type").isin("hook_clash", "quote_rhythm", "suspense_hook") & F.col("_high")
+    return K.by_beats(p, ["series_id", "mol_type"], "fusion", "ingest_pos", F.col("max_clips"), "nf", "story_stage", "ep", "time_s", ["hook", "setup", "inciting", "rising", "climax", "transition"], forced).withColumnRenamed("pos", "rank").drop(*_PREPARED)
 
 
 @query(f"with {_RANKED} select series_id, mol_type, ingest_pos, nf, cast(rank as int) as rank from rl")
@@ -161,7 +166,9 @@ ORACLES["diversity_selection"] = f"""with recursive {catalogue._RANKED}, lim as
 
 def selected(spark, sf_dir):
     """The ranking under variety limits; where too few are left the looser limits, then those with looks and a description, then all. Adds rung and taken."""
-    r = ranked(spark, sf_dir)
+    at = A.new_folder(spark, "ranked")
+    ranked(spark, sf_dir).write.parquet(at)  # a template's size of rows a series; both sides of the join below read them
+    r = spark.read.parquet(at)
     key = ["series_id", "mol_type"]
     looks = (F.col("aesthetic_score") >= 3) & (F.length("desc_clean") > 15)
     row = W.one_row(scene="scene").withField("looks", looks)
