@@ -74,3 +74,24 @@ def characters(chars: Column) -> Column:
     """An array of id, gender, face, action and emo as "id(gender,face,action,emo); ..."; a missing field is a question mark."""
     field = lambda c, k: F.coalesce(c[k].cast("string"), F.lit("?"))
     return F.array_join(F.transform(chars, lambda c: F.concat(field(c, "id"), F.lit("("), F.concat_ws(",", *(field(c, k) for k in ("gender", "face", "action", "emo"))), F.lit(")"))), "; ")
+
+
+# Fields of a flat label in their order, their types and what stands where a label leaves one out.
+FLAT = {
+    "shot": ("string", "中景"), "event": ("string", "其他"), "event_subtype": ("string", "无"), "emo": ("int", 3), "action_level": ("int", 1), "visual_quality": ("int", 3), "face_quality": ("string", "模糊"), "dialogue_visible": ("boolean", False), "subtitle_text": ("string", ""),
+    "audio_energy": ("int", 1), "speech_density": ("int", 1), "has_speech_peak": ("boolean", False), "beat_nearby": ("boolean", False), "transcript_excerpt": ("string", ""), "audio_event_conf": ("string", "low"), "dialogue_anchor": ("string", "none"), "speech_coverage": ("double", 0.0), "chars_per_second": ("double", 0.0),
+    "usable": ("boolean", True), "reject_reason": ("string", "无"), "hint": ("string", ""), "props": ("string", "无"), "mood": ("string", ""), "scene": ("string", ""), "light": ("string", ""), "event_conf": ("string", "推测"), "action_direction": ("string", None), "emotion_trend": ("string", None),
+}
+FLAT_SCHEMA = ", ".join(f"{n} {t}" for n, (t, _) in FLAT.items()) + ", chars string, continuity string, timestamp double, time_pct double, aesthetic struct<composition_type: string, light_beauty: string>"
+
+
+def frame_id(ep: Column, i: Column) -> Column:
+    two = ep.cast("string")
+    return F.concat(F.lit("ep"), F.when(F.length(two) < 2, F.lpad(two, 2, "0")).otherwise(two), F.lit("_f"), i.cast("string"))
+
+
+def flat_line(label: dict[str, Column], chars: Column, ep: Column, seconds: Column, i: Column, before: Column, aesthetic: Column) -> Column:
+    """A label as a line: frame, whole seconds, and its fields as JSON with defaults; the two trends and the looks are left out where a label has none."""
+    named = [F.coalesce(label[n].cast(t), F.lit(d).cast(t)).alias(n) for n, (t, d) in FLAT.items()]
+    rest = [characters(chars).alias("chars"), F.coalesce(before, F.lit("none")).alias("continuity"), F.round(seconds, 1).alias("timestamp"), F.round(seconds, 1).alias("time_pct"), aesthetic.alias("aesthetic")]
+    return F.concat_ws(" ", frame_id(ep, i), F.concat(seconds.cast("int").cast("string"), F.lit("s")), F.to_json(F.struct(*named, *rest)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import enrichment as E
@@ -81,8 +81,8 @@ def scene_types():
     return F.array_distinct(F.filter(F.array("event", "event_subtype", "mood", "shot"), lambda x: ~x.isin("", "无")))
 
 
-def clips(spark, sf_dir):
-    c = A.rich(spark, sf_dir)
+def clips(spark, sf_dir, users=15):
+    c = A.rich(spark, sf_dir, users)
     said = F.concat_ws(" ", "event", "event_subtype", "shot", "desc_clean")
     return c.withColumns({"types": scene_types(), "said": said})
 
@@ -124,10 +124,10 @@ def genre_fingerprints(spark, sf_dir):
 _VERDICT = f"{_SCORES}, gr as (select *, row_number() over (partition by series_id order by score desc, case genre {' '.join(f'''when '{g}' then {k}''' for k, g in enumerate(GENRES))} end) as r from gt), gv as (select series_id, max(case when r = 1 then genre end) as genre, max(case when r = 1 then score end) as s1, max(case when r = 2 then genre end) as second, max(case when r = 2 then score end) as s2 from gr group by series_id)"
 
 
-def verdict(spark, sf_dir):
+def verdict(spark, sf_dir, users=15):
     """Each series' genre, the runner-up and how sure that is."""
     order = F.create_map(*(F.lit(x) for k, g in enumerate(GENRES) for x in (g, k)))
-    g = W.top(genre_scores(clips(spark, sf_dir), "series_id", "said"), ["series_id"], [F.desc("score"), order[F.col("genre")]], 2, "r")
+    g = W.top(genre_scores(clips(spark, sf_dir, users), "series_id", "said"), ["series_id"], [F.desc("score"), order[F.col("genre")]], 2, "r")
     at = lambda k, c: F.max(F.when(F.col("r") == k, F.col(c)))
     return g.groupBy("series_id").agg(at(1, "genre").alias("genre"), at(1, "score").alias("s1"), at(2, "genre").alias("second"), at(2, "score").alias("s2"))
 
@@ -162,11 +162,11 @@ _CONFIGS = f"""{_VERDICT}, pa as (select series_id, genre, unnest(range(1, 6)) a
  pc as (select series_id, genre, p, comp, round(case when p = 1 then own when p = 2 then flat else own * (1 + 0.15 * (2 * {_SPREAD} - 1)) end, 2) as w from pb)"""
 
 
-def weight_configs(spark, sf_dir):
+def weight_configs(spark, sf_dir, users=15):
     """Five weightings a series: its genre's, the unified one and three that differ from the first by up to 15 % (by a hash, so that runs agree)."""
     own = F.array(*(E.lookup("genre", {g: x[4][k] for g, x in GENRES.items()}, UNIFIED[k]) for k in range(6)))
     one = F.arrays_zip(F.array(*map(F.lit, COMPONENTS)).alias("comp"), own.alias("own"), F.array(*map(F.lit, UNIFIED)).alias("flat"))
-    c = verdict(spark, sf_dir).select("series_id", "genre", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("p"), one.alias("x")).select("series_id", "genre", "p", F.inline("x"))
+    c = verdict(spark, sf_dir, users).select("series_id", "genre", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("p"), one.alias("x")).select("series_id", "genre", "p", F.inline("x"))
     spread = F.conv(F.substring(F.md5(F.concat_ws("|", "series_id", F.col("p").cast("string"), "comp")), 1, 8), 16, 10).cast("double") / 4294967295.0
     w = F.when(F.col("p") == 1, F.col("own")).when(F.col("p") == 2, F.col("flat")).otherwise(F.col("own") * (1 + 0.15 * (2 * spread - 1)))
     return c.select("series_id", "genre", "p", "comp", F.round(w, 2).alias("w"))
@@ -189,22 +189,30 @@ _PASSES = f"""{_CONFIGS}, pw as (select series_id, genre, p, {', '.join(f"max(ca
  pq as (select series_id, ingest_pos, count(*) as appearances, avg(rank) as mean_rank, coalesce(stddev_samp(rank), 0) as sd, max(rank) as worst from pz where rank <= 30 group by series_id, ingest_pos)"""
 
 
-def passes(spark, sf_dir):
-    """Ranks of each series' clips under its five weightings (at most two clips an episode, thirty in all), summed up a clip."""
-    w = weight_configs(spark, sf_dir).groupBy("series_id", "genre", "p").agg(*(F.max(F.when(F.col("comp") == c, F.col("w"))).cast(_D).alias(f"w_{c}") for c in COMPONENTS))
+def with_parts(c: DataFrame, genre: DataFrame) -> tuple[DataFrame, dict]:
+    """Clips with the rarity of their scene types, by their series' genre (__own) and plain (__plain), and the six parts of a score, as they don't depend on weights."""
     plain = F.create_map(*(F.lit(x) for kv in RARITY.items() for x in kv))
     bonus = F.create_map(*(x for g, v in GENRES.items() for x in (F.lit(g), F.create_map(*(F.lit(y) for kv in v[3].items() for y in kv)))))
     rare = lambda genre: F.aggregate(F.transform("types", lambda x: F.coalesce(*([genre[x]] if genre is not None else []), plain[x], F.lit(1.0)).cast(_D)), F.lit(0).cast("decimal(14,2)"), lambda a, x: (a + x).cast("decimal(14,2)"))
-    dec = lambda x: x.cast(_D)
-    # a clip's parts don't depend on the weighting but for its rarity, which has two forms; both are worked out before five weightings meet it
-    c = clips(spark, sf_dir).repartition("series_id").join(w.groupBy("series_id").agg(F.first("genre").alias("genre")), "series_id").withColumn("__bonus", bonus[F.col("genre")])
-    c = c.withColumns({"__own": rare(F.col("__bonus")), "__plain": rare(None)})
-    total = F.when(F.col("p") != 2, F.col("__own")).otherwise(F.col("__plain"))
-    parts = {
-        "emotion": F.coalesce(F.get(F.array(*map(F.lit, (0, 5, 15, 40, 70))), F.col("emotion") - 1), F.lit(15)), "scene_rare": F.least(F.lit(30).cast("decimal(14,2)"), (total * 5).cast("decimal(14,2)")),
+    c = c.repartition("series_id").join(genre, "series_id").withColumn("__bonus", bonus[F.col("genre")])
+    c = c.withColumns({"__own": rare(F.col("__bonus")), "__plain": rare(None)}).drop("__bonus")
+    rarity = lambda total: F.least(F.lit(30).cast("decimal(14,2)"), (total * 5).cast("decimal(14,2)"))
+    return c, {
+        "emotion": F.coalesce(F.get(F.array(*map(F.lit, (0, 5, 15, 40, 70))), F.col("emotion") - 1), F.lit(15)), "scene_rare": rarity,
         "dialogue": F.least(F.lit(40), F.col("dialogue_lines") * 8), "content": F.when(F.col("has_content"), 12).otherwise(0), "faces": F.least(F.lit(16), F.col("faces") * 4), "desc_len": F.least(F.lit(5.0), F.ln(F.greatest(F.lit(1), F.length("desc_clean"))) * 1.5),
     }
-    score = F.round(sum((dec(v) * F.col(f"w_{c}") for c, v in parts.items()), F.lit(0).cast(_D)), 1)
+
+
+def weighted(parts: dict, total: Column) -> Column:
+    """The sum of the parts, each times its weight w_..., to one decimal; total: the rarity that counts."""
+    return F.round(sum(((v(total) if c == "scene_rare" else v).cast(_D) * F.col(f"w_{c}") for c, v in parts.items()), F.lit(0).cast(_D)), 1)
+
+
+def passes(spark, sf_dir, users=15):
+    """Ranks of each series' clips under its five weightings (at most two clips an episode, thirty in all), summed up a clip."""
+    w = weight_configs(spark, sf_dir, users).groupBy("series_id", "genre", "p").agg(*(F.max(F.when(F.col("comp") == c, F.col("w"))).cast(_D).alias(f"w_{c}") for c in COMPONENTS))
+    c, parts = with_parts(clips(spark, sf_dir, users), w.groupBy("series_id").agg(F.first("genre").alias("genre")))
+    score = weighted(parts, F.when(F.col("p") != 2, F.col("__own")).otherwise(F.col("__plain")))
     r = W.capped_rank(c.join(w.drop("genre"), "series_id").withColumn("score", score), ["series_id", "p"], "ep", [F.desc("score"), "ingest_pos"], 2, 30)
     return r.groupBy("series_id", "ingest_pos").agg(F.count("*").alias("appearances"), F.avg("rank").alias("mean_rank"), F.coalesce(F.stddev_samp("rank"), F.lit(0.0)).alias("sd"), F.max("rank").alias("worst"))
 

@@ -51,8 +51,9 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CLIPS, events=table(spark, sf_dir, "events"))
 
 
-def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RICH, events=table(spark, sf_dir, "events"))
+def rich(spark: SparkSession, sf_dir: str, users: int = 15) -> DataFrame:
+    """Full clips; users: how many users' events make one series."""
+    return spark.sql(RICH.replace("user_id / 15", f"user_id / {users}"), events=table(spark, sf_dir, "events"))
 
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
