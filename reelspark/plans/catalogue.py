@@ -11,6 +11,7 @@ from ..functions import directions as D
 from ..functions import labels as L
 from ..functions import rules as R
 from ..operators import joins as J
+from ..operators import ranks as K
 from ..operators import windows as W
 from ..sources import adapters as A
 from ..sources import annotations as N
@@ -466,9 +467,8 @@ def divergent_clips(spark, sf_dir):
 @query(f"with {_CLIPS}, p as (select *, (row_number() over (partition by series_id order by ep, time_s, ingest_pos) - 1) * 7.0 as place, count(*) over (partition by series_id) * 7.0 as total from c) select series_id, ingest_pos, round(cast(emotion * (case when place < 3 then 3.0 when place < 10 then 2.0 when place > total * 0.8 then 1.5 else 1.0 end) as double), 2) as weighted from p")
 def time_weighted(spark, sf_dir):
     """Openings and endings weigh more: the place in the whole, seven seconds a clip."""
-    part = Window.partitionBy("series_id")
-    at, total = (F.row_number().over(part.orderBy("ep", "time_s", "ingest_pos")) - 1) * 7.0, F.count("*").over(part) * 7.0
-    p = A.clips(spark, sf_dir).withColumns({"at": at, "total": total})
+    c = A.clips(spark, sf_dir).select("series_id", "ingest_pos", "ep", "time_s", "emotion")
+    p = K.numbered(c, ["series_id"], ["ep", "time_s", "ingest_pos"]).withColumns({"at": F.col("place") * 7.0, "total": F.col("n") * 7.0})
     weight = F.when(F.col("at") < 3, 3.0).when(F.col("at") < 10, 2.0).when(F.col("at") > F.col("total") * 0.8, 1.5).otherwise(1.0)
     return p.select("series_id", "ingest_pos", F.round(F.col("emotion") * weight, 2).alias("weighted"))
 

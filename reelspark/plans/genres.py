@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enrichment as E
 from ..functions import rules as R
+from ..operators import ranks as K
 from ..operators import windows as W
 from ..sources import adapters as A
 from . import dims
@@ -337,9 +338,7 @@ def protagonist_cut(spark, sf_dir):
  lc as (select *, case when est < 3 then 3.0 when est < 10 then 2.0 when est > total * 0.8 then 1.5 else 1.0 end as boost from lb) select series_id, ingest_pos, round(score::decimal(12,1) * boost::decimal(3,1), 1)::double as score, boost::double as boost from lc""")
 def golden_weights(spark, sf_dir):
     """The classic score, tripled in the first three seconds, doubled in the first ten, raised by half in the last fifth."""
-    w = Window.partitionBy("series_id")
-    i, n = F.row_number().over(w.orderBy("ep", "time_s", "ingest_pos")) - 1, F.count("*").over(w)
-    c = scored(spark, sf_dir).withColumns({"__i": i.cast("double"), "__n": n}).withColumn("__at", F.col("__i") / F.greatest(F.lit(1), F.col("__n") - 1) * (F.col("__n") * 7))
+    c = K.numbered(scored(spark, sf_dir).select("series_id", "ingest_pos", "ep", "time_s", "score"), ["series_id"], ["ep", "time_s", "ingest_pos"], "__i", "__n").withColumn("__at", F.col("__i") / F.greatest(F.lit(1), F.col("__n") - 1) * (F.col("__n") * 7))
     boost = F.when(F.col("__at") < 3, 3.0).when(F.col("__at") < 10, 2.0).when(F.col("__at") > F.col("__n") * 7 * 0.8, 1.5).otherwise(1.0)
     return c.withColumn("boost", boost).select("series_id", "ingest_pos", F.round(F.col("score").cast("decimal(12,1)") * F.col("boost").cast("decimal(3,1)"), 1).cast("double").alias("score"), "boost")
 

@@ -10,6 +10,7 @@ from ..operators import joins as J
 from ..operators import ranks as K
 from ..operators import windows as W
 from ..sources import adapters as A
+from ..sources import media as M
 from . import dims, enrichment, selection
 from .catalogue import _CLIPS, _band, _q, query
 
@@ -95,3 +96,18 @@ def spread_bands(spark, sf_dir):
     t = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
     r = K.spread(t, ["l_returnflag"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"])
     return r.select("l_orderkey", "l_linenumber", "l_returnflag", "place", "n", K.band(F.col("place"), F.col("n")).alias("band"))
+
+
+_MEDIA = f"""{_CLIPS}, md as (select series_id, ep, count(*) as parts, sum(length(cast(ingest_pos as varchar)) + 1)::bigint as bytes from c where not (ep + {_NUMBER}) % 5 = 0 group by all)"""
+
+
+@query(f"with {_MEDIA} select c.series_id, c.ep, max(bytes) as bytes, max(bytes) is null as missing from c left join md using (series_id, ep) group by 1, 2")
+def media_scan(spark, sf_dir):
+    """Which episodes of each series have media, by names of three forms in a folder of files whose contents are not read, and which have none."""
+    there = A.new_folder(spark, "media")
+    c = A.clips(spark, sf_dir).select("series_id", "ep", "ingest_pos")
+    has = (F.col("ep") + F.substring("series_id", 2, 12).cast("long")) % 5 != 0
+    name = F.when(F.col("ep") % 3 == 0, M.episode_name(F.col("ep"))).when(F.col("ep") % 3 == 1, M.episode_name(F.col("ep"), "{ep02}.mp4")).otherwise(M.episode_name(F.col("ep"), "第{ep}集.mp4"))
+    c.where(has).select("series_id", name.alias("name"), F.col("ingest_pos").cast("string").alias("value")).repartition("series_id", "name").write.partitionBy("series_id", "name").text(there)
+    e = M.episodes(M.folders(spark, there), key=["series_id"]).select("series_id", "ep", "bytes", F.lit(False).alias("missing"))
+    return e.unionByName(M.missing(c, e).withColumns({"bytes": F.lit(None).cast("long"), "missing": F.lit(True)}))

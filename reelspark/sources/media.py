@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,25 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name"), F.col("length").alias("bytes"))
 
 
-def episodes(found: DataFrame, template: str = "{ep}.mp4") -> DataFrame:
-    """ep, path, bytes: one file an episode; the template's name goes before 1.mp4, 01.mp4 and 第1集.mp4, then the smaller path."""
+def folders(spark: SparkSession, path: str) -> DataFrame:
+    """series_id, path, name, bytes of media in parts: below series_id=<id>, a folder name=<file> with what belongs to it. Sizes and paths only."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    whole = F.regexp_extract("path", r"^(.*/series_id=[^/]+/name=[^/]+)/[^/]+$", 1)
+    rows = f.select(whole.alias("path"), "length").where("path <> ''").groupBy("path").agg(F.sum("length").alias("bytes"))
+    return rows.select(F.regexp_extract("path", r"/series_id=([^/]+)/name=[^/]+$", 1).alias("series_id"), "path", F.regexp_extract("path", r"/name=([^/]+)$", 1).alias("name"), "bytes")
+
+
+def missing(expected: DataFrame, there: DataFrame) -> DataFrame:
+    """Episodes (series_id, ep) that ought to have a file and have none."""
+    return expected.select("series_id", "ep").distinct().join(there.select("series_id", "ep"), ["series_id", "ep"], "left_anti")
+
+
+def episodes(found: DataFrame, template: str = "{ep}.mp4", key: Sequence[str] = ()) -> DataFrame:
+    """key, ep, path, bytes: one file an episode of a key; the template's name goes before 1.mp4, 01.mp4 and 第1集.mp4, then the smaller path."""
     old = r"^(?:第)?(\d+)(?:集)?\.mp4$"
     digits = F.coalesce(F.nullif(F.regexp_extract("name", old, 1), F.lit("")), F.regexp_extract("name", r"(\d+)", 1))
     x = found.withColumn("ep", R.number(digits, "int")).where("ep is not null")
     named = F.col("name") == episode_name(F.col("ep"), template)
     fit = F.when(named, 0).when(F.col("name") == episode_name(F.col("ep")), 1).when(F.col("name") == episode_name(F.col("ep"), "{ep02}.mp4"), 2).when(F.col("name") == episode_name(F.col("ep"), "第{ep}集.mp4"), 3).when(F.col("name").rlike(old), 4)
     x = x.withColumn("__fit", fit).where("__fit is not null")
-    return x.withColumn("__k", F.row_number().over(Window.partitionBy("ep").orderBy("__fit", "path"))).where("__k = 1").select("ep", "path", "bytes")
+    return x.withColumn("__k", F.row_number().over(Window.partitionBy(*key, "ep").orderBy("__fit", "path"))).where("__k = 1").select(*key, "ep", "path", "bytes")

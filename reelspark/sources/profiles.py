@@ -19,7 +19,7 @@ PEOPLE = "array<struct<`姓名`:string,`身份`:string,`性格标签`:array<stri
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """series_id and value, the file's text; an empty folder is an error of the caller."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("series_id").cast("string").alias("series_id"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("series_id").cast("string").alias("series_id"), "value")
 
 
 def _listed(schema: str, *names: str) -> Column:

@@ -15,6 +15,8 @@ from reelspark.plans import parsing as P
 from reelspark.sources import annotations as N
 from reelspark.sources import label_cache as C
 from reelspark.sources import legacy as L
+from reelspark.sources import media as M
+from reelspark.sources import profiles as Q
 from reelspark.streaming import ingest
 from reelspark.streaming import rebanding as B
 
@@ -161,3 +163,26 @@ def test_what_stretches_leave(spark):
     sizes = spark.createDataFrame([("A", 20), ("B", 4), ("C", 8)], "s string, n long")
     got = sorted(tuple(r) for r in P.remainder(chosen, sizes, "s").collect())
     assert got == [("A", 0, 1, 8), ("A", 10, 11, 8), ("A", 16, 19, 8), ("B", 0, 3, 4)]
+
+
+def test_profiles_of_several_lines(spark, tmp_path):
+    text = json.dumps({"人物关系": [{"姓名": "阿青", "身份": "侠客", "性格标签": ["勇"], "关键事件": "初见"}], "情节节点": [{"集数范围": "EP01-EP10", "阶段": "序幕"}]}, ensure_ascii=False, indent=2)
+    (tmp_path / "series_id=S1").mkdir()
+    (tmp_path / "series_id=S1" / "story_profile.json").write_text(text, "utf-8")
+    p = Q.read(spark, f"file:{tmp_path}")
+    assert [tuple(r) for r in Q.people(p).select("name", "part").collect()] == [("阿青", "侠客")]
+    assert [tuple(r) for r in Q.nodes(p).select("stage", "ep_lo", "ep_hi").collect()] == [("序幕", 1, 10)]
+
+
+def test_media_are_listed_without_their_contents(spark, tmp_path):
+    for at, size in (("S1/1.mp4/a", 3), ("S1/1.mp4/b", 4), ("S1/01.mp4/a", 9), ("S2/第1集.mp4/a", 5), ("S2/readme.txt/a", 5)):
+        series, name, part = at.split("/")
+        there = tmp_path / f"series_id={series}" / f"name={name}"
+        there.mkdir(parents=True, exist_ok=True)
+        (there / part).write_bytes(b"x" * size)
+    e = M.episodes(M.folders(spark, f"file:{tmp_path}"), key=["series_id"])
+    assert sorted((r["series_id"], r["ep"], r["bytes"]) for r in e.collect()) == [("S1", 1, 7), ("S2", 1, 5)]
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1][:200]
+    wanted = spark.createDataFrame([("S1", 1), ("S1", 2), ("S3", 1)], "series_id string, ep int")
+    assert sorted(map(tuple, M.missing(wanted, e).collect())) == [("S1", 2), ("S3", 1)]
