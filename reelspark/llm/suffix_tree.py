@@ -1,22 +1,25 @@
 """Scores of texts under a probabilistic suffix tree over words, learnt and applied on Spark.
 
-A text is its lower-cased words, then an end symbol. The tree's nodes are contexts of 0 to DEPTH preceding words (a start
+A text is its lower-cased words, then an end symbol. The tree's nodes are contexts of 0 to depth preceding words (a start
 symbol stands before the first). The root's distribution is the base: (c + 1/2) / (N + (V + 1) / 2). A longer context x, seen
-T times, has p(s | x) = (n(x, s) + SMOOTH * p(s | x without its first word)) / (T + SMOOTH). It is retained if its training
-counts diverge from what its parent predicts: if the sum, over each time t it was followed by s, of
+T times, has p(s | x) = (n(x, s) + SMOOTH * p(s | x without its first word)) / (T + SMOOTH). It is retained if it occurs twice
+or more and its training counts diverge from what its parent predicts: if the sum, over each time t it was followed by s, of
 log(((n(x, s) - 1) + SMOOTH * p) / ((T - 1 + SMOOTH) * p)), p = p(s | parent), exceeds DIVERGE nats; one occurrence is left
 out each time, so that a context that merely repeats itself by chance isn't retained. A symbol is scored in the state of the
 longest retained suffix of what precedes it.
 
-Nothing whole goes through the driver, one task or one group. Documents are dealt into chunks by one shuffle. Two rounds of
-sums over hashed keys follow (common.tally): the counts of all word sequences of 1 to DEPTH + 1 words, and the divergences of
-the contexts that occur more than once. A context's T is the count of a sequence one shorter, so no row ever stands for a
-whole context, and no frequent word gathers its followers anywhere. A chunk sends a bounded number of messages a round.
+Nothing whole goes through the driver, one task or one group. Tasks code what they read, slice by slice, into numbers of words;
+the slices are exchanged once, the texts never. Then the tree grows level by level: each level's sequences (context and symbol)
+are counted over all slices by sums over hashed keys (common.tally), but only where the level above has shown that the context
+occurs twice, as no other can be retained or have a longer one that is; so most longer sequences are never sent. A last round
+sums the contexts' divergences. A context's T is the count of a sequence one shorter, so no row ever stands for a whole context,
+and no frequent word gathers its followers anywhere. A slice sends a bounded number of messages a round. Counts are exact up to
+63-bit hashes of words and sequences; divergences are sums of doubles.
 
 Null and wordless texts are the end token alone. Null doc_ids count as training. Rows may repeat and count each time; extra
 columns, whatever their names, are ignored; an empty table gives no rows; with no training rows every symbol has the base's
-probability. A long text makes its chunk longer, as a text is coded whole. Words are told apart by 64-bit hashes, longer
-sequences by hashes of SPARE bits more than the table's size in bytes has, so that one in 2**SPARE meets another at any size.
+probability. A long text makes its slice longer, as a text is coded whole. depth is a parameter: each further level is one more
+round over the slices.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ASK, CHUNK_BYTES, FAN, ask_table, chunked, joined, mix, tally
+from .common import ASK, CHUNK_BYTES, FAN, ask_table, joined, mix, pack, tally, unpack
 
-DEPTH, SMOOTH, DIVERGE, SPARE = 2, 2.0, 0.0, 8
+DEPTH, SMOOTH, DIVERGE = 3, 2.0, 0.0
 U = np.uint64
+EVEN = ~U(1)
 _STEP, _NEXT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Hashes of the symbols that are no words.
 END, START = (U(xxhash.xxh64_intdigest(b, 7)) for b in (b"\xff", b"\xfe"))  # not UTF-8
@@ -54,141 +59,211 @@ def words_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return sizes, hashes, out
 
 
+def before(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """The value of the position before, in the same document."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
+
 class Chunk:
-    """A chunk's positions: the keys of the sequences that end there, level by level, distinct and numbered."""
+    """A slice's positions. Level d is about sequences of d context words and a symbol; take() brings in what is known of a level."""
 
-    def __init__(self, t: pa.Table, shift: int):
-        self.sizes, hashes, words = words_of(t["text"])
+    def __init__(self, t: pa.Table):
+        row = {n: t[n][0].as_py() for n in ("sizes", "hashes", "words")}
+        self.number, self.sizes = t["chunk"][0].as_py(), unpack(row["sizes"], np.int64)
+        hashes, self.words = unpack(row["hashes"], U, True), unpack(row["words"], np.int32).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.train = ~np.repeat(t["held_out"].to_numpy(), self.sizes)
-        self.shift = shift
-        up = np.argsort(hashes)
+        self.train = ~np.repeat(t["held_out"][0].values.to_numpy(zero_copy_only=False), self.sizes)
+        self.symbol = hashes[self.words]
+        self.past, self.context = self.symbol, [np.zeros(len(self.symbol), U)]
+        self.word_keys = hashes | U(1)
+        self.count: list[np.ndarray] = []  # of each level, how often the sequence that ends here occurred in training
+        self.docs = self.room = 0
+
+    def contexts(self, d: int) -> np.ndarray:
+        """Hashes of the d symbols before each position."""
+        while len(self.context) <= d:
+            self.past = before(self.past, self.starts, START)
+            self.context.append(mix(self.context[-1] * _STEP + self.past + U(1)))
+        return self.context[d]
+
+    def times(self, d: int) -> np.ndarray:
+        """How often the context of level d occurred in training, where that is twice or more; else any number below."""
+        return before(self.count[d - 1], self.starts, self.docs)
+
+    def sequences(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Level d's distinct keys, in order, where each stands, and the positions they stand at: those whose context occurred twice.
+
+        At level 1, which is asked for together with the words, all positions.
+        """
+        where = np.flatnonzero(self.times(d) > 1) if d > 1 else np.arange(len(self.symbol))
+        keys, at = np.unique(mix(self.contexts(d)[where] * _NEXT + self.symbol[where] + U(d)) & EVEN, return_inverse=True)
+        return keys, at, where
+
+    def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, list]:
+        """Ascending keys, training counts, and how to take the answers, of level; 1 has the words too."""
+        keys, at, where = self.sequences(level)
+        n = np.bincount(at[self.train[where]], minlength=len(keys))
+        if level > 1:
+            return keys, n, [(level, at, where)]
+        both = np.concatenate([self.word_keys, keys])
+        up = np.argsort(both, kind="stable")
         place = np.empty(len(up), np.int64)
         place[up] = np.arange(len(up))
-        found = [(hashes[up] | U(1), place[words])]
-        h = past = hashes[words]
-        context = np.zeros(len(h), U)
-        for d in range(1, DEPTH + 1):
-            past = self.before(past, START)
-            context = mix(context * _STEP + past + U(1))
-            found.append(np.unique(mix(context * _NEXT + h + U(d)) >> U(shift) << U(shift), return_inverse=True))
-        keys = np.concatenate([k for k, _ in found])
-        up = np.argsort(keys, kind="stable")  # sorted runs, which this merges
+        n = np.concatenate([np.bincount(self.words[self.train], minlength=len(self.word_keys)), n])
+        return both[up], n[up], [(0, place[self.words], np.arange(len(self.words))), (1, place[len(self.word_keys) + at], where)]
+
+    def take(self, level: int, replies: pa.Table) -> None:
+        """The answers to asked(level)."""
+        if level == 1:
+            distinct, tokens, self.docs = (sum(x) for x in zip(*replies["notes"].to_pylist(), strict=True))
+            self.room, self.tokens = tokens + 0.5 * (distinct + 1), tokens
+        seen = joined(replies, np.int64)
+        for _, at, where in self.asked(level)[2]:
+            count = np.zeros(len(self.symbol), np.int64)
+            count[where] = seen[at]
+            self.count.append(count)
+
+    def follow(self):
+        """Level by level from the root on: the level, probabilities there and above, and how often the context occurred."""
+        p = (self.count[0] + 0.5) / self.room
+        yield 0, p, None, None
+        for d in range(1, len(self.count)):
+            above, n = p, self.times(d)
+            p = np.where(n > 1, (self.count[d] + SMOOTH * above) / (n + SMOOTH), above)
+            yield d, p, above, n
+
+    def states(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+        """Ascending keys of all contexts that occurred twice, this chunk's part of their divergence, and of each level its positions and their contexts' places."""
+        keys, gains, where = [np.zeros(0, U)], [np.zeros(0)], []
+        for d, _, above, n in self.follow():
+            if d:
+                live = np.flatnonzero(n > 1)
+                own, at = np.unique(mix(self.contexts(d)[live] + U(d)) & EVEN, return_inverse=True)
+                t = self.train[live]
+                rest, count, up = SMOOTH * above[live][t], self.count[d][live][t], above[live][t]
+                gain = np.log((count - 1 + rest) / ((n[live][t] - 1 + SMOOTH) * up))
+                where.append((d, live, sum(map(len, keys)) + at))
+                keys.append(own)
+                gains.append(np.bincount(at[t], gain, len(own)))
+        every, total = np.concatenate(keys), np.concatenate(gains)
+        up = np.argsort(every, kind="stable")
         place = np.empty(len(up), np.int64)
         place[up] = np.arange(len(up))
-        first = np.cumsum([0, *(len(k) for k, _ in found)])
-        self.keys, self.at = keys[up], [place[at + n] for (_, at), n in zip(found, first[:-1], strict=True)]
-        # contexts by number: the sequence that ends one before; behind these the starts of texts, a number a length
-        self.context = [self.before(at, len(keys) + d) for d, at in enumerate(self.at[:-1])]
-
-    def before(self, values: np.ndarray, first) -> np.ndarray:
-        """The value of the position before, in the same document."""
-        out = np.empty_like(values)
-        out[1:] = values[:-1]
-        out[self.starts] = first
-        return out
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(np.concatenate([at[self.train] for at in self.at]), minlength=len(self.keys))
-
-    def times(self, seen: np.ndarray, docs: int) -> list[np.ndarray]:
-        """How often the context of each length occurred in training."""
-        return [self.before(seen[at], docs) for at in self.at[:-1]]
-
-    def asked(self, times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and ascending keys of the contexts that occur twice or more."""
-        often = np.zeros(len(self.keys) + DEPTH, bool)
-        for x, n in zip(self.context, times, strict=True):
-            often[x[n > 1]] = True
-        number = np.flatnonzero(often)
-        keys = np.concatenate([self.keys, np.arange(1, DEPTH + 1, dtype=U)])[number]
-        keys = mix(keys) >> U(self.shift) << U(self.shift)
-        up = np.argsort(keys)
-        return number[up], keys[up]
-
-    def follow(self, seen: np.ndarray, times: list[np.ndarray], room: float):
-        """Level by level from the root on: probabilities there, above, and how often the context was followed so."""
-        p = (seen[self.at[0]] + 0.5) / room
-        yield p, None, None
-        for at, n in zip(self.at[1:], times, strict=True):
-            above, followed = p, seen[at]
-            p = np.where(n > 0, (followed + SMOOTH * above) / (n + SMOOTH), above)
-            yield p, above, followed
-
-    def divergences(self, seen: np.ndarray, docs: int, room: float) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of asked() and this chunk's part of their divergence."""
-        times = self.times(seen, docs)
-        total = np.zeros(len(self.keys) + DEPTH)
-        for d, (_, above, followed) in enumerate(self.follow(seen, times, room)):
-            if d:
-                own = self.train & (times[d - 1] > 1)
-                rest = SMOOTH * above[own]
-                gain = np.log((followed[own] - 1 + rest) / ((times[d - 1][own] - 1 + SMOOTH) * above[own]))
-                total += np.bincount(self.context[d - 1][own], gain, len(total))
-        number, keys = self.asked(times)
-        return keys, total[number]
-
-    def scores(self, seen: np.ndarray, docs: int, room: float, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 of the base's and the tree's probability, and of known tokens, a document each. kept: a mark for each key of asked()."""
-        times = self.times(seen, docs)
-        retained = np.zeros(len(self.keys) + DEPTH, bool)
-        retained[self.asked(times)[0][kept]] = True
+        return every[up], total[up], [(d, live, place[at]) for d, live, at in where]
+
+    def scores(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of the base's and the tree's probability, and of known tokens, a document each. kept: a mark for each key of states()."""
+        places = {d: (live, at) for d, live, at in self.states()[2]}
         root = best = None
-        for d, (p, _, _) in enumerate(self.follow(seen, times, room)):
+        for d, p, _, _ in self.follow():
             if d:
-                best = np.where(retained[self.context[d - 1]], p, best)
+                live, at = places[d]
+                best[live[kept[at]]] = p[live[kept[at]]]
             else:
-                root = best = p
+                root, best = p, p.copy()
         add = lambda v: np.add.reduceat(v, self.starts)
-        return add(np.log10(root)), add(np.log10(best)), add((seen[self.at[0]] > 0).astype(np.int64))
+        return add(np.log10(root)), add(np.log10(best)), add((self.count[0] > 0).astype(np.int64))
+
 
+def coded(docs: DataFrame, held, slice_bytes: int) -> DataFrame:
+    """Slices of about slice_bytes of the texts that a task reads, coded: chunk (its task and place there), doc_id and held_out as arrays, words a text, distinct words' hashes, words by place."""
+    kind = docs.schema["doc_id"].dataType
 
-def score(docs: DataFrame, train_when=None, fan: int = FAN, per_range: int = 3) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. per_range: chunks for each task that sums."""
+    def read(batches):
+        task, n, part, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row():
+            t = pa.Table.from_batches(part)
+            sizes, hashes, words = words_of(t["text"])
+            up = np.argsort(hashes)
+            place = np.empty(len(up), np.int32)
+            place[up] = np.arange(len(up), dtype=np.int32)
+            one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t[c].combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + n], pa.int64()), one("doc_id"), one("held_out"), pa.array([pack(sizes)]), pa.array([pack(hashes[up], True)]), pa.array([pack(place[words])])], names=["chunk", "doc_id", "held_out", "sizes", "hashes", "words"])
+
+        for b in batches:
+            ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < len(b):  # slices fill up over batches
+                done = int(ends[lo - 1]) if lo else 0
+                hi = min(len(b), int(np.searchsorted(ends, done + slice_bytes - size)) + 1)
+                part.append(b.slice(lo, hi - lo))
+                size += int(ends[hi - 1]) - done
+                lo = hi
+                if size >= slice_bytes:
+                    yield row()
+                    n, size = n + 1, 0
+                    part.clear()
+        if part:
+            yield row()
+
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select("doc_id", held.alias("held_out"), body).mapInArrow(read, f"chunk long, doc_id array<{kind.simpleString()}>, held_out array<boolean>, sizes binary, hashes binary, words binary")
+
+
+def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int = FAN, per_range: int = 3, slice_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. per_range: slices for each task that sums."""
+    depth = DEPTH if depth is None else depth
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False)) if train_when is None else ~train_when
-    parts, n_chunks = chunked(docs, held.alias("held_out"))
-    parts = parts.withColumn("chunk", F.col("chunk").cast("long"))  # the type of senders, so that both sides hash alike
-    shift = max(1, 64 - SPARE - (n_chunks * CHUNK_BYTES).bit_length())
-    ranges = max(1, n_chunks // per_range)
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    senders = max(1, -(-int(total) // slice_bytes))
+    ranges = max(1, senders // per_range)
     cut = min(ranges, fan)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
+    parts = coded(docs, held, slice_bytes)
 
-    def ask(t: pa.Table) -> pa.Table:
-        c = Chunk(t, shift)
-        return ask_table(t["chunk"][0].as_py(), c.keys, c.counts(), cut, shift)
+    def known(t: pa.Table, replies: pa.Table | None, levels: int) -> Chunk:
+        c = Chunk(t)
+        for d in range(1, levels + 1):
+            c.take(d, replies.filter(pc.equal(replies["round"], d)))
+        return c
 
-    def learnt(c: Chunk, replies: pa.Table) -> tuple:
-        """Counts of the chunk's keys, training documents, tokens, and the base's denominator."""
-        distinct, tokens, docs = (sum(x) for x in zip(*replies["notes"].to_pylist(), strict=True))
-        return joined(replies, np.int64), docs, tokens + 0.5 * (distinct + 1), tokens
+    def ask(level: int):
+        """Asks for level, knowing those before."""
 
-    def notes(keys: np.ndarray, sums: np.ndarray) -> list:
-        word = (keys & U(1)) > 0
-        return [(word & (sums > 0)).sum(), sums[word].sum(), sums[keys == END | U(1)].sum()]
+        def first(t: pa.Table) -> pa.Table:
+            c = known(t, None, 0)
+            keys, n, _ = c.asked(level)
+            return ask_table(c.number, keys, n, cut, 1)
+
+        def later(t: pa.Table, replies: pa.Table) -> pa.Table:
+            c = known(t, replies, level - 1)
+            keys, n, _ = c.asked(level)
+            return ask_table(c.number, keys, n, cut, 1)
 
-    def ask_again(t: pa.Table, replies: pa.Table) -> pa.Table:
-        c = Chunk(t, shift)
-        keys, parts_ = c.divergences(*learnt(c, replies)[:3])
-        return ask_table(t["chunk"][0].as_py(), keys, np.clip(parts_, -6e4, 6e4).astype(np.float16), cut, shift)
+        return first if level == 1 else later
+
+    def ask_states(t: pa.Table, replies: pa.Table) -> pa.Table:
+        c = known(t, replies, depth)
+        keys, gains, _ = c.states()
+        return ask_table(c.number, keys, gains, cut, 1)
 
     def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
-        c = Chunk(t, shift)
-        first, second = (replies.filter(pc.equal(replies["round"], k)) for k in (1, 2))
-        *model, tokens = learnt(c, first)
-        base, best, n_known = c.scores(*model, joined(second, np.uint8) > 0)
+        c = known(t, replies, depth)
+        base, best, n_known = c.scores(joined(replies.filter(pc.equal(replies["round"], depth + 1)), np.uint8) > 0)
         return pa.table({
-            "doc_id": t["doc_id"].cast(id_type), "held_out": t["held_out"], "n_tokens": pa.array(c.sizes), "n_known": pa.array(n_known),
-            "train_tokens": pa.array([tokens] * len(t), pa.int64()), "base_score": pa.array(base), "score": pa.array(best),
+            "doc_id": t["doc_id"][0].values.cast(id_type), "held_out": t["held_out"][0].values, "n_tokens": pa.array(c.sizes), "n_known": pa.array(n_known),
+            "train_tokens": pa.array([c.tokens] * len(c.sizes), pa.int64()), "base_score": pa.array(base), "score": pa.array(best),
         })
 
-    # one plan, so that all three passes read the texts from one exchange
-    seen = tally(parts.groupBy("chunk").applyInArrow(ask, ASK), n_chunks, cut, ranges, shift, np.int64, lambda sums: sums, notes)
-    asked = parts.groupBy("chunk").cogroup(seen.groupBy("sender")).applyInArrow(ask_again, ASK)
-    kept = tally(asked, n_chunks, cut, ranges, shift, np.float16, lambda sums: (sums > DIVERGE).astype(np.uint8))
-    both = seen.withColumn("round", F.lit(1)).unionByName(kept.withColumn("round", F.lit(2)))
+    def notes(keys: np.ndarray, sums: np.ndarray) -> list:
+        word = (keys & U(1)) > 0
+        return [(word & (sums > 0)).sum(), sums[word].sum(), sums[keys == END | U(1)].sum()]
+
+    # one plan, so that all passes read the slices from one exchange
+    replies = None
+    for level in range(1, depth + 1):
+        asks = parts.groupBy("chunk").applyInArrow(ask(level), ASK) if replies is None else parts.groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(ask(level), ASK)
+        seen = tally(asks, senders, cut, ranges, 1, np.int64, lambda sums: sums, notes if level == 1 else lambda keys, sums: []).withColumn("round", F.lit(level))
+        replies = seen if replies is None else replies.unionByName(seen)
+    states = parts.groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(ask_states, ASK)
+    kept = tally(states, senders, cut, ranges, 1, np.float64, lambda sums: (sums > DIVERGE).astype(np.uint8)).withColumn("round", F.lit(depth + 1))
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.groupBy("chunk").cogroup(both.groupBy("sender")).applyInArrow(finish, schema)
+    return parts.groupBy("chunk").cogroup(replies.unionByName(kept).groupBy("sender")).applyInArrow(finish, schema)
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:

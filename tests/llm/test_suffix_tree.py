@@ -51,14 +51,13 @@ def brute(rows, depth, smooth, diverge):
 ROWS = [(k, t) for k, t in enumerate(["a b c a b c a b d", None, "", "a b c a b c", "  \n", "x y z", "a b C", "the cat the dog the cat sat", "the cat the dog", "é ß é ß é", "A\u00a0b a"] * 4)] + [(None, "a b"), (3, "a b c a b c"), (7, "w " * 3000)]
 
 
-@pytest.mark.parametrize("fan,per_range,chunk", [(64, 3, 8_000_000), (2, 1, 40), (3, 2, 100)])
-def test_against_brute_force(spark, fan, per_range, chunk, monkeypatch):
-    monkeypatch.setattr(common.chunked, "__kwdefaults__", {"chunk_bytes": chunk})
+@pytest.mark.parametrize("depth,fan,per_range,size", [(3, 64, 3, 8_000_000), (2, 2, 1, 2000), (5, 3, 2, 500)])
+def test_against_brute_force(spark, depth, fan, per_range, size):
     d = spark.createDataFrame([(i, t, "x", 1.0) for i, t in ROWS], "doc_id long, text string, score string, chunk double").repartition(3)
     got = {}
-    for r in suffix_tree.score(d, fan=fan, per_range=per_range).collect():
+    for r in suffix_tree.score(d, depth=depth, fan=fan, per_range=per_range, slice_bytes=size).collect():
         got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
-    want = brute(ROWS, suffix_tree.DEPTH, suffix_tree.SMOOTH, suffix_tree.DIVERGE)
+    want = brute(ROWS, depth, suffix_tree.SMOOTH, suffix_tree.DIVERGE)
     assert set(got) == set(want)
     for i, rows in want.items():
         for a, b in zip(sorted(got[i]), sorted(rows), strict=True):
