@@ -1,7 +1,7 @@
 """Language identification by a blended-spectrum string kernel, Nystroem landmarks and one-versus-rest ridge regression.
 
-The kernel of two texts is the share of letter n-grams (1 to ORDERS letters, words padded by a space) present in both:
-|A n B| / sqrt(|A| |B|). It is learnt on a bounded, documented sample: at most PER_LANG texts a language and about SAMPLE in
+The kernel of two texts is the share of letter n-grams (1 to ORDERS letters, words padded by a space, of which only the one behind
+tells grams apart) present in both: |A n B| / sqrt(|A| |B|). It is learnt on a bounded, documented sample: at most PER_LANG texts a language and about SAMPLE in
 all, however many languages there are, chosen by the hash of doc_id; LANDMARKS of them (2 a language where that is more, up
 to LANDMARKS_MOST) span the Nystroem map K_mm^(-1/2). Prediction multiplies batches of presence rows with the landmarks'
 presence matrix, then with the map and the ridge weights. No language is left out of the sample for being rare.

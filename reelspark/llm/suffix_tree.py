@@ -14,7 +14,7 @@ are counted over all slices by sums over hashed keys (common.tally), but only wh
 occurs twice, as no other can be retained or have a longer one that is; so most longer sequences are never sent. A last round
 sums the contexts' divergences. A context's T is the count of a sequence one shorter, so no row ever stands for a whole context,
 and no frequent word gathers its followers anywhere. A slice sends a bounded number of messages a round. Counts are exact up to
-63-bit hashes of words and sequences; divergences are sums of doubles.
+63-bit hashes of words and sequences; divergences are summed in whole 2**-24 parts of a nat, a slice's part being rounded.
 
 Null and wordless texts are the end token alone. Null doc_ids count as training. Rows may repeat and count each time; extra
 columns, whatever their names, are ignored; an empty table gives no rows; with no training rows every symbol has the base's
@@ -35,7 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ASK, CHUNK_BYTES, FAN, ask_table, joined, mix, pack, tally, unpack
 
-DEPTH, SMOOTH, DIVERGE = 3, 2.0, 0.0
+#: NAT: divergences are summed in whole parts of a nat, so that their order doesn't matter.
+DEPTH, SMOOTH, DIVERGE, NAT = 3, 2.0, 0.0, 1 << 24
 U = np.uint64
 EVEN = ~U(1)
 _STEP, _NEXT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -73,7 +74,7 @@ class Chunk:
     def __init__(self, t: pa.Table):
         row = {n: t[n][0].as_py() for n in ("sizes", "hashes", "words")}
         self.number, self.sizes = t["chunk"][0].as_py(), unpack(row["sizes"], np.int64)
-        hashes, self.words = unpack(row["hashes"], U, True), unpack(row["words"], np.int32).astype(np.int64)
+        hashes, self.words = unpack(row["hashes"], U), unpack(row["words"], np.int32).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = ~np.repeat(t["held_out"][0].values.to_numpy(zero_copy_only=False), self.sizes)
         self.symbol = hashes[self.words]
@@ -178,11 +179,11 @@ def coded(docs: DataFrame, held, slice_bytes: int) -> DataFrame:
         def row():
             t = pa.Table.from_batches(part)
             sizes, hashes, words = words_of(t["text"])
-            up = np.argsort(hashes)
+            up = np.argsort(-np.bincount(words, minlength=len(hashes)), kind="stable")  # frequent words get small numbers, which pack better
             place = np.empty(len(up), np.int32)
             place[up] = np.arange(len(up), dtype=np.int32)
             one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t[c].combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + n], pa.int64()), one("doc_id"), one("held_out"), pa.array([pack(sizes)]), pa.array([pack(hashes[up], True)]), pa.array([pack(place[words])])], names=["chunk", "doc_id", "held_out", "sizes", "hashes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + n], pa.int64()), one("doc_id"), one("held_out"), pa.array([pack(sizes)]), pa.array([pack(hashes[up])]), pa.array([pack(place[words])])], names=["chunk", "doc_id", "held_out", "sizes", "hashes", "words"])
 
         for b in batches:
             ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -216,35 +217,33 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
     id_type = to_arrow_type(kind)
     parts = coded(docs, held, slice_bytes)
 
-    def known(t: pa.Table, replies: pa.Table | None, levels: int) -> Chunk:
+    def known(t: pa.Table, levels: int) -> Chunk:
         c = Chunk(t)
         for d in range(1, levels + 1):
-            c.take(d, replies.filter(pc.equal(replies["round"], d)))
+            c.take(d, answers(t, d))
         return c
 
+    def answers(t: pa.Table, k: int) -> pa.Table:
+        return pa.Table.from_batches([pa.RecordBatch.from_struct_array(t[f"r{k}"].combine_chunks().values)])
+
     def ask(level: int):
         """Asks for level, knowing those before."""
 
-        def first(t: pa.Table) -> pa.Table:
-            c = known(t, None, 0)
+        def asked(t: pa.Table) -> pa.Table:
+            c = known(t, level - 1)
             keys, n, _ = c.asked(level)
             return ask_table(c.number, keys, n, cut, 1)
 
-        def later(t: pa.Table, replies: pa.Table) -> pa.Table:
-            c = known(t, replies, level - 1)
-            keys, n, _ = c.asked(level)
-            return ask_table(c.number, keys, n, cut, 1)
+        return asked
 
-        return first if level == 1 else later
-
-    def ask_states(t: pa.Table, replies: pa.Table) -> pa.Table:
-        c = known(t, replies, depth)
+    def ask_states(t: pa.Table) -> pa.Table:
+        c = known(t, depth)
         keys, gains, _ = c.states()
-        return ask_table(c.number, keys, gains, cut, 1)
+        return ask_table(c.number, keys, np.rint(gains * NAT).astype(np.int64), cut, 1)
 
-    def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
-        c = known(t, replies, depth)
-        base, best, n_known = c.scores(joined(replies.filter(pc.equal(replies["round"], depth + 1)), np.uint8) > 0)
+    def finish(t: pa.Table) -> pa.Table:
+        c = known(t, depth)
+        base, best, n_known = c.scores(joined(answers(t, depth + 1), np.uint8) > 0)
         return pa.table({
             "doc_id": t["doc_id"][0].values.cast(id_type), "held_out": t["held_out"][0].values, "n_tokens": pa.array(c.sizes), "n_known": pa.array(n_known),
             "train_tokens": pa.array([c.tokens] * len(c.sizes), pa.int64()), "base_score": pa.array(base), "score": pa.array(best),
@@ -254,16 +253,17 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
         word = (keys & U(1)) > 0
         return [(word & (sums > 0)).sum(), sums[word].sum(), sums[keys == END | U(1)].sum()]
 
-    # one plan, so that all passes read the slices from one exchange
-    replies = None
+    def answered(asks: DataFrame, k: int, answer, notes=lambda keys, sums: []) -> DataFrame:
+        """The slices with the answers to round k beside them."""
+        got = tally(asks, senders, cut, ranges, 1, np.int64, answer, notes)
+        return parts.join(got.groupBy(F.col("sender").alias("chunk")).agg(F.collect_list(F.struct("place", "reply", "notes")).alias(f"r{k}")), "chunk")
+
+    # one plan: slices and each round's answers are exchanged by chunk once, and all later rounds read these exchanges
     for level in range(1, depth + 1):
-        asks = parts.groupBy("chunk").applyInArrow(ask(level), ASK) if replies is None else parts.groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(ask(level), ASK)
-        seen = tally(asks, senders, cut, ranges, 1, np.int64, lambda sums: sums, notes if level == 1 else lambda keys, sums: []).withColumn("round", F.lit(level))
-        replies = seen if replies is None else replies.unionByName(seen)
-    states = parts.groupBy("chunk").cogroup(replies.groupBy("sender")).applyInArrow(ask_states, ASK)
-    kept = tally(states, senders, cut, ranges, 1, np.float64, lambda sums: (sums > DIVERGE).astype(np.uint8)).withColumn("round", F.lit(depth + 1))
+        parts = answered(parts.groupBy("chunk").applyInArrow(ask(level), ASK), level, lambda sums: sums, *([notes] if level == 1 else []))
+    parts = answered(parts.groupBy("chunk").applyInArrow(ask_states, ASK), depth + 1, lambda sums: (sums > DIVERGE * NAT).astype(np.uint8))
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.groupBy("chunk").cogroup(replies.unionByName(kept).groupBy("sender")).applyInArrow(finish, schema)
+    return parts.groupBy("chunk").applyInArrow(finish, schema)
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:

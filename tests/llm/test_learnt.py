@@ -45,6 +45,38 @@ def test_language_of_odd_rows(spark):
     assert not got.where("doc_id is null").first()["held_out"]
 
 
+def plain_grams(text):
+    """All n-grams of 1 to 3 letters as they stand, gaps being spaces; those that begin and end in a gap say nothing, a gap before others isn't told apart."""
+    x = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+    return {x[k : k + n].lstrip(" ") for n in (1, 2, 3) for k in range(len(x) - n + 1) if x[k] != " " or x[k + n - 1] != " "}
+
+
+def test_language_against_a_plain_kernel(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANDMARKS", 20)
+    r = np.random.default_rng(8)
+    words = {"en": "the and of to in is that it was for on", "de": "der die und in den von zu das mit sich des", "fr": "de la le et les des en un du une que"}
+    rows = [(k, " ".join(r.choice(words[lang].split(), r.integers(3, 12))) + ("!" if k % 3 else " 7"), lang) for k, lang in enumerate(["en", "de", "fr"] * 30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(d)
+    got = {x["doc_id"]: x for x in language.predict(d, model).collect()}
+    train = sorted((lang, i, plain_grams(t)) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 != 0)
+    kernel = lambda a, b: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    sets, langs = [x[2] for x in train], sorted(words)
+    marks = [sets[k] for k in np.argsort(np.arange(len(sets)) % max(1, len(sets) // 20), kind="stable")[:20]]
+    off = np.abs(model.kernel([language.grams(t) for _, t, _ in rows]) - kernel([plain_grams(t) for _, t, _ in rows], marks))
+    assert (off < 1e-5).mean() > 0.8 and off.max() < 0.05  # some grams share a bucket
+    w, v = np.linalg.eigh(kernel(marks, marks))
+    root = (v[:, w > 1e-8] / np.sqrt(w[w > 1e-8])) @ v[:, w > 1e-8].T
+    phi = np.c_[kernel(sets, marks) @ root, np.ones(len(sets))]
+    label = np.array([langs.index(x[0]) for x in train])
+    y = np.where(label[:, None] == np.arange(3), 1.0, -1.0) / np.bincount(label)[label][:, None]
+    weights = np.linalg.solve(phi.T @ (phi / np.bincount(label)[label][:, None]) + language.RIDGE * np.eye(phi.shape[1]), phi.T @ y)
+    scores = np.c_[kernel([plain_grams(t) for _, t, _ in rows], marks) @ root, np.ones(len(rows))] @ weights
+    share = np.exp(4 * scores) / np.exp(4 * scores).sum(1, keepdims=True)
+    for (i, _, _), s in zip(rows, share, strict=True):
+        assert got[i]["lang_pred"] == langs[int(s.argmax())] and got[i]["score"] == pytest.approx(s.max(), abs=0.03)  # single precision, and small eigenvalues
+
+
 def counts(text):
     t = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
