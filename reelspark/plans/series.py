@@ -11,6 +11,7 @@ from ..operators import ranks as K
 from ..operators import windows as W
 from ..sources import adapters as A
 from ..sources import media as M
+from ..sources import reviews as V
 from . import dims, enrichment, selection
 from .catalogue import _CLIPS, _band, _q, query
 
@@ -111,3 +112,12 @@ def media_scan(spark, sf_dir):
     c.where(has).select("series_id", name.alias("name"), F.col("ingest_pos").cast("string").alias("value")).repartition("series_id", "name").write.partitionBy("series_id", "name").text(there)
     e = M.episodes(M.folders(spark, there), key=["series_id"]).select("series_id", "ep", "bytes", F.lit(False).alias("missing"))
     return e.unionByName(M.missing(c, e).withColumns({"bytes": F.lit(None).cast("long"), "missing": F.lit(True)}))
+
+
+@query(f"with {_CLIPS} select series_id, ep, cast(time_s as int) as time_s, count(*) as n from c where emotion >= 2 group by 1, 2, 3")
+def series_review_keys(spark, sf_dir):
+    """Marks of review tables, a folder a series, written as CSV and read back as the keys that each series keeps."""
+    at = A.new_folder(spark, "series-review")
+    mark = F.when(F.col("emotion") < 2, "N").when(F.col("emotion") == 2, " yes").otherwise("Y")
+    V.write_review(A.clips(spark, sf_dir).select("series_id", mark.alias("keep"), "ep", "time_s"), at, ["series_id"])
+    return V.kept_keys(V.read_review(spark, at)).groupBy("series_id", "ep", "time_s").agg(F.count("*").alias("n"))

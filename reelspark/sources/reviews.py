@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 
 
-def write_review(clips: DataFrame, path: str) -> None:
-    """One folder of CSV files with headings; any column order, commas and line feeds in texts are quoted."""
-    clips.write.option("header", True).option("escape", '"').csv(path)
+def write_review(clips: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """One folder of CSV files with headings, or one for each value of by; any column order, commas and line feeds in texts are quoted."""
+    clips.write.partitionBy(*by).option("header", True).option("escape", '"').csv(path)
 
 
 def kept_keys(review: DataFrame) -> DataFrame:
@@ -31,11 +33,11 @@ def read_calibration(spark, path: str) -> DataFrame:
     return raw.select(F.col(f"`{first}`").alias("label"), *(F.col(f"`{c}`").alias("time_s" if c == "time(s)" else c) for c in rest))
 
 
-def labelled(calibration: DataFrame, references: DataFrame) -> DataFrame:
-    """References with their label 1 to 3, met on ep and whole seconds, not on row numbers; rows without a label are left out."""
-    marks = calibration.select(R.number(F.trim("label"), "int").alias("label"), R.number(F.col("ep"), "int").alias("ep"), R.number(F.col("time_s"), "double").cast("int").alias("time_s"))
-    marks = marks.where("label between 1 and 3").groupBy("ep", "time_s").agg(F.min("label").alias("label"))
-    return references.withColumn("time_s", F.col("time_s").cast("int")).join(marks, ["ep", "time_s"])
+def labelled(calibration: DataFrame, references: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """References with their label 1 to 3, met on key, ep and whole seconds, not on row numbers; rows without a label are left out."""
+    marks = calibration.select(*key, R.number(F.trim("label"), "int").alias("label"), R.number(F.col("ep"), "int").alias("ep"), R.number(F.col("time_s"), "double").cast("int").alias("time_s"))
+    marks = marks.where("label between 1 and 3").groupBy(*key, "ep", "time_s").agg(F.min("label").alias("label"))
+    return references.withColumn("time_s", F.col("time_s").cast("int")).join(marks, [*key, "ep", "time_s"])
 
 
 def edit_list(spark, path: str) -> DataFrame:

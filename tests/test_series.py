@@ -17,6 +17,7 @@ from reelspark.sources import label_cache as C
 from reelspark.sources import legacy as L
 from reelspark.sources import media as M
 from reelspark.sources import profiles as Q
+from reelspark.sources import reviews as V
 from reelspark.streaming import ingest
 from reelspark.streaming import rebanding as B
 
@@ -186,3 +187,14 @@ def test_media_are_listed_without_their_contents(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[1][:200]
     wanted = spark.createDataFrame([("S1", 1), ("S1", 2), ("S3", 1)], "series_id string, ep int")
     assert sorted(map(tuple, M.missing(wanted, e).collect())) == [("S1", 2), ("S3", 1)]
+
+
+def test_marks_of_one_series_leave_the_others_alone(spark, tmp_path):
+    rows = [("A", "y", 1, 4.0, "x"), ("B", "n", 1, 4.0, "x"), ("B", "Y", 2, 5.9, 'a, "b"\nc')]
+    d = spark.createDataFrame(rows, "series_id string, keep string, ep int, time_s double, note string")
+    V.write_review(d, f"file:{tmp_path}/r", ["series_id"])
+    got = V.kept_keys(V.read_review(spark, f"file:{tmp_path}/r")).select("series_id", "ep", "time_s").collect()
+    assert sorted(map(tuple, got)) == [("A", 1, 4), ("B", 2, 5)]
+    marks = spark.createDataFrame([("A", "2", "1", "4.2"), ("B", "3", "1", "4")], "series_id string, label string, ep string, time_s string")
+    refs = spark.createDataFrame([("A", 1, 4.0), ("B", 1, 4.0)], "series_id string, ep int, time_s double")
+    assert sorted((r["series_id"], r["label"]) for r in V.labelled(marks, refs, ["series_id"]).collect()) == [("A", 2), ("B", 3)]
