@@ -197,6 +197,17 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(body, r" ?([\x01\x02]) ?", "$1")), ITEM, "$1")
 
 
+def heads(ids: dict[str, str]) -> list[str]:
+    """What sentences that begin a known one begin with: its first two words, or the first alone where a line may end behind it."""
+    out = set()
+    for s in ids:
+        one, two = re.split(r"[ \x01]", s)[:2]
+        if ANYONE in (one, two):
+            raise ValueError("a known sentence must begin with two words of its own")
+        out |= {one, f"{one} {two}"}
+    return sorted(out)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (lines count as such), n_known, sentence_ids and licences (comma-joined, in text and rule order), n_licences."""
     ids = known()
@@ -212,7 +223,11 @@ def find(docs: DataFrame) -> DataFrame:
         return out
 
     found = docs.select("doc_id", marked(F.col("text")).alias("body"))
-    found = found.select("doc_id", F.size(F.filter(F.split("body", r"[\x01\x02]"), lambda s: s != "")).alias("n_sentences"), F.regexp_extract_all("body", one, F.lit(1)).alias("hits"))
+    found = found.withColumn("pieces", F.filter(F.split("body", r"[\x01\x02]"), lambda s: s != ""))
+    # sentences are looked up by their first words; only texts in which one begins like a known sentence are read for whole ones
+    maybe = F.arrays_overlap(F.transform("pieces", lambda s: F.substring_index(s, " ", 2)), F.array(*map(F.lit, heads(ids))))
+    hits = F.when(maybe, F.regexp_extract_all("body", one, F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = found.select("doc_id", F.size("pieces").alias("n_sentences"), hits.alias("hits"))
     found = found.withColumn("hits", F.transform("hits", name))
     line = F.concat(F.lit("<"), F.array_join("hits", "><"), F.lit(">"))
     picks, earlier = [], {}
