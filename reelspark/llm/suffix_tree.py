@@ -13,8 +13,9 @@ the slices are exchanged once, the texts never. Then the tree grows level by lev
 are counted over all slices by sums over hashed keys (common.tally), but only where the level above has shown that the context
 occurs twice, as no other can be retained or have a longer one that is; so most longer sequences are never sent. A last round
 sums the contexts' divergences. A context's T is the count of a sequence one shorter, so no row ever stands for a whole context,
-and no frequent word gathers its followers anywhere. A slice sends a bounded number of messages a round. Counts are exact up to
-63-bit hashes of words and sequences; divergences are summed in whole 2**-24 parts of a nat, a slice's part being rounded.
+and no frequent word gathers its followers anywhere. A slice sends a bounded number of messages a round. Words are
+told apart by 63-bit hashes, longer sequences by hashes with SPARE bits more than the table's bytes need: one in 16 million meets
+another, at any size. Divergences are summed in whole 2**-24 parts of a nat, a slice's part being rounded.
 
 Null and wordless texts are the end token alone. Null doc_ids count as training. Rows may repeat and count each time; extra
 columns, whatever their names, are ignored; an empty table gives no rows; with no training rows every symbol has the base's
@@ -36,9 +37,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import ASK, CHUNK_BYTES, FAN, ask_table, joined, mix, pack, tally, unpack
 
 #: NAT: divergences are summed in whole parts of a nat, so that their order doesn't matter.
-DEPTH, SMOOTH, DIVERGE, NAT = 3, 2.0, 0.0, 1 << 24
+#: SPARE: bits of a sequence's key beyond those that tell as many keys apart as the table has bytes.
+DEPTH, SMOOTH, DIVERGE, NAT, SPARE = 3, 2.0, 0.0, 1 << 24, 24
 U = np.uint64
-EVEN = ~U(1)
 _STEP, _NEXT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Hashes of the symbols that are no words.
 END, START = (U(xxhash.xxh64_intdigest(b, 7)) for b in (b"\xff", b"\xfe"))  # not UTF-8
@@ -71,7 +72,8 @@ def before(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
 class Chunk:
     """A slice's positions. Level d is about sequences of d context words and a symbol; take() brings in what is known of a level."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, shift: int = 1):
+        self.shift = U(shift)
         row = {n: t[n][0].as_py() for n in ("sizes", "hashes", "words")}
         self.number, self.sizes = t["chunk"][0].as_py(), unpack(row["sizes"], np.int64)
         hashes, self.words = unpack(row["hashes"], U), unpack(row["words"], np.int32).astype(np.int64)
@@ -83,6 +85,10 @@ class Chunk:
         self.count: list[np.ndarray] = []  # of each level, how often the sequence that ends here occurred in training
         self.docs = self.room = 0
 
+    def even(self, keys: np.ndarray) -> np.ndarray:
+        """Keys without their last bits, so that they pack shorter and differ from those of words, which are odd."""
+        return keys >> self.shift << self.shift
+
     def contexts(self, d: int) -> np.ndarray:
         """Hashes of the d symbols before each position."""
         while len(self.context) <= d:
@@ -100,7 +106,7 @@ class Chunk:
         At level 1, which is asked for together with the words, all positions.
         """
         where = np.flatnonzero(self.times(d) > 1) if d > 1 else np.arange(len(self.symbol))
-        keys, at = np.unique(mix(self.contexts(d)[where] * _NEXT + self.symbol[where] + U(d)) & EVEN, return_inverse=True)
+        keys, at = np.unique(self.even(mix(self.contexts(d)[where] * _NEXT + self.symbol[where] + U(d))), return_inverse=True)
         return keys, at, where
 
     def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, list]:
@@ -142,7 +148,7 @@ class Chunk:
         for d, _, above, n in self.follow():
             if d:
                 live = np.flatnonzero(n > 1)
-                own, at = np.unique(mix(self.contexts(d)[live] + U(d)) & EVEN, return_inverse=True)
+                own, at = np.unique(self.even(mix(self.contexts(d)[live] + U(d))), return_inverse=True)
                 t = self.train[live]
                 rest, count, up = SMOOTH * above[live][t], self.count[d][live][t], above[live][t]
                 gain = np.log((count - 1 + rest) / ((n[live][t] - 1 + SMOOTH) * up))
@@ -211,14 +217,15 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False)) if train_when is None else ~train_when
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     senders = max(1, -(-int(total) // slice_bytes))
+    shift = max(1, 64 - SPARE - int(total + 1).bit_length())
     ranges = max(1, senders // per_range)
     cut = min(ranges, fan)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
-    parts = coded(docs, held, slice_bytes)
+    parts = coded(docs, held, slice_bytes).where(F.col("chunk").isNotNull())  # as the joins below have it, so that all read one exchange
 
     def known(t: pa.Table, levels: int) -> Chunk:
-        c = Chunk(t)
+        c = Chunk(t, shift)
         for d in range(1, levels + 1):
             c.take(d, answers(t, d))
         return c
@@ -232,14 +239,14 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
         def asked(t: pa.Table) -> pa.Table:
             c = known(t, level - 1)
             keys, n, _ = c.asked(level)
-            return ask_table(c.number, keys, n, cut, 1)
+            return ask_table(c.number, keys, n, cut, shift)
 
         return asked
 
     def ask_states(t: pa.Table) -> pa.Table:
         c = known(t, depth)
         keys, gains, _ = c.states()
-        return ask_table(c.number, keys, np.rint(gains * NAT).astype(np.int64), cut, 1)
+        return ask_table(c.number, keys, np.rint(gains * NAT).astype(np.int64), cut, shift)
 
     def finish(t: pa.Table) -> pa.Table:
         c = known(t, depth)
@@ -255,7 +262,7 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
 
     def answered(asks: DataFrame, k: int, answer, notes=lambda keys, sums: []) -> DataFrame:
         """The slices with the answers to round k beside them."""
-        got = tally(asks, senders, cut, ranges, 1, np.int64, answer, notes)
+        got = tally(asks, senders, cut, ranges, shift, np.int64, answer, notes)
         return parts.join(got.groupBy(F.col("sender").alias("chunk")).agg(F.collect_list(F.struct("place", "reply", "notes")).alias(f"r{k}")), "chunk")
 
     # one plan: slices and each round's answers are exchanged by chunk once, and all later rounds read these exchanges
