@@ -14,8 +14,8 @@ are counted over all slices by sums over hashed keys (common.tally), but only wh
 occurs twice, as no other can be retained or have a longer one that is; so most longer sequences are never sent. A last round
 sums the contexts' divergences. A context's T is the count of a sequence one shorter, so no row ever stands for a whole context,
 and no frequent word gathers its followers anywhere. A slice sends a bounded number of messages a round. Words are
-told apart by 63-bit hashes, longer sequences by hashes with SPARE bits more than the table's bytes need: one in 16 million meets
-another, at any size. Divergences are summed in whole 2**-24 parts of a nat, a slice's part being rounded.
+told apart by 63-bit hashes, longer sequences by hashes with SPARE bits more than the table's bytes need: one in 4 million meets
+another, at any size. Divergences are summed in whole 2**-20 parts of a nat, a slice's part being rounded.
 
 Null and wordless texts are the end token alone. Null doc_ids count as training. Rows may repeat and count each time; extra
 columns, whatever their names, are ignored; an empty table gives no rows; with no training rows every symbol has the base's
@@ -38,7 +38,7 @@ from .common import ASK, CHUNK_BYTES, FAN, ask_table, joined, mix, pack, tally,
 
 #: NAT: divergences are summed in whole parts of a nat, so that their order doesn't matter.
 #: SPARE: bits of a sequence's key beyond those that tell as many keys apart as the table has bytes.
-DEPTH, SMOOTH, DIVERGE, NAT, SPARE = 3, 2.0, 0.0, 1 << 24, 24
+DEPTH, SMOOTH, DIVERGE, NAT, SPARE = 3, 2.0, 0.0, 1 << 20, 22
 U = np.uint64
 _STEP, _NEXT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Hashes of the symbols that are no words.
@@ -222,7 +222,8 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
     cut = min(ranges, fan)
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
-    parts = coded(docs, held, slice_bytes).where(F.col("chunk").isNotNull())  # as the joins below have it, so that all read one exchange
+    # dealt by chunk and without nulls, as the groups and joins below want it, so that all of them read this one exchange
+    parts = coded(docs, held, slice_bytes).where(F.col("chunk").isNotNull()).repartition("chunk")
 
     def known(t: pa.Table, levels: int) -> Chunk:
         c = Chunk(t, shift)
