@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.adapters import new_folder
-from .windows import CUTS
+from .windows import CUTS, part_of
 
 #: Rows of one key that one task numbers by a window; a table with a larger key is numbered in two passes.
 ROWS_A_TASK = 2_000_000
@@ -53,7 +53,7 @@ def band(at: Column, n: Column) -> Column:
     """Bands 5 to 1 of a place from 0 among n; each cut is at least one row."""
     out = F.lit(1)
     for b, share in zip((2, 3, 4, 5), reversed(CUTS), strict=True):
-        out = F.when(at < F.greatest(F.lit(1), F.floor(n * share)), b).otherwise(out)
+        out = F.when(at < F.greatest(F.lit(1), part_of(n, share)), b).otherwise(out)
     return out.cast("int")
 
 

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 CUTS = (0.05, 0.15, 0.35, 0.60)
 
 
+def part_of(n: Column, share: float) -> Column:
+    """The whole part of n times a share of whole hundredths, exactly: 0.35 of 180 is 63, which floor(n * 0.35) in doubles misses."""
+    return F.floor(n * F.lit(round(share * 100)) / 100)
+
+
 def banded(df: DataFrame, value: str, key: Sequence[str], tie: Sequence[str], name: str = "band") -> DataFrame:
     """Bands 5 to 1 by descending rank within the key; ties in the order of tie; each cut is at least one row."""
     part = Window.partitionBy(*key)
@@ -19,7 +24,7 @@ def banded(df: DataFrame, value: str, key: Sequence[str], tie: Sequence[str], na
     n = F.count("*").over(part)
     band = F.lit(1)
     for b, share in zip((2, 3, 4, 5), reversed(CUTS), strict=True):
-        band = F.when(rank < F.greatest(F.lit(1), F.floor(n * share)), b).otherwise(band)
+        band = F.when(rank < F.greatest(F.lit(1), part_of(n, share)), b).otherwise(band)
     return df.withColumn(name, band.cast("int"))
 
 

@@ -331,7 +331,7 @@ def protagonist_cut(spark, sf_dir):
     c = clips(spark, sf_dir).join(lead, "series_id").withColumn("protagonist", F.contains("chars_text", "__p"))
     w = Window.partitionBy("series_id", "protagonist")
     c = c.withColumns({"__k": F.row_number().over(w.orderBy(F.md5(F.concat(F.lit("keep|"), F.col("ingest_pos").cast("string"))), "ingest_pos")), "__n": F.count("*").over(w)})
-    return c.where(F.col("protagonist") | (F.col("__k") <= F.floor(F.col("__n") * 0.7))).select("series_id", "ingest_pos", "protagonist")
+    return c.where(F.col("protagonist") | (F.col("__k") <= W.part_of(F.col("__n"), 0.7))).select("series_id", "ingest_pos", "protagonist")
 
 
 @query(f"""with {_CLASSIC}, la as (select *, (row_number() over (partition by series_id order by ep, time_s, ingest_pos) - 1)::double as i, count(*) over (partition by series_id) as n from ka), lb as (select *, i / greatest(1, n - 1) * (n * 7) as est, n * 7 as total from la),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from reelspark.functions import rules
-from reelspark.operators import joins, windows
+from reelspark.operators import joins, ranks, windows
 
 
 def test_band_sizes(spark):
@@ -17,6 +17,14 @@ def test_small_groups_have_a_best_row(spark):
     assert windows.banded(df, "v", ["k"], ["id"]).first()["band"] == 5
 
 
+def test_band_cuts_are_exact(spark):
+    df = spark.range(180).select(F.lit("s").alias("k"), "id", F.col("id").alias("v"))
+    for banded in (windows.banded, ranks.banded):
+        n = {r["band"]: r["count"] for r in banded(df, "v", ["k"], ["id"]).groupBy("band").count().collect()}
+        assert n == {5: 9, 4: 18, 3: 36, 2: 45, 1: 72}  # 0.35 * 180 is 62.99 in doubles
+    assert [r[0] for r in spark.createDataFrame([(90,), (1,)], "n long").select(windows.part_of(F.col("n"), 0.7)).collect()] == [63, 0]
+
+
 def test_window_dedup(spark):
     df = spark.createDataFrame([(1, 10.0, 0), (1, 12.0, 1), (1, 30.0, 2), (2, 10.0, 3)], "ep int, t double, pos int")
     once = windows.first_in_window(df, ["ep"], F.col("t"), ["pos"], 5.0)
