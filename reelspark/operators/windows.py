@@ -55,6 +55,13 @@ def capped_rank(df: DataFrame, group: Sequence[str], capped: str, order: Sequenc
     return top(few, group, order, n)
 
 
+def deviation(rank: str) -> Column:
+    """stddev_samp of whole numbers from whole sums, so that groups whose spread is equal tie in every order of their rows; null for a single row."""
+    n, s = F.count(rank), F.sum(F.col(rank).cast("long"))
+    squares = F.sum(F.col(rank).cast("long") * F.col(rank))
+    return F.when(n > 1, F.sqrt((n * squares - s * s) / (n * (n - 1))))
+
+
 def running(df: DataFrame, key: Sequence[str], order: Sequence, amount: Column, name: str) -> DataFrame:
     """The sum of amount over the rows before."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

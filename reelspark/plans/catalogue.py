@@ -449,7 +449,7 @@ def consensus(spark, sf_dir):
     w = spark.createDataFrame(_PASSES, "pass int, we int, wa int, ws int")
     y = A.clips(spark, sf_dir).crossJoin(F.broadcast(w)).withColumn("score", F.expr("emotion * we + action_level * wa + speech_density * ws"))
     r = W.capped_rank(y, ["pass", "series_id"], "ep", [F.desc("score"), "ingest_pos"], 2, 30)
-    return r.groupBy("series_id", "ingest_pos").agg(F.count("*").alias("passes"), F.avg("rank").alias("mean_rank"), F.stddev_samp("rank").alias("sd"))
+    return r.groupBy("series_id", "ingest_pos").agg(F.count("*").alias("passes"), F.avg("rank").alias("mean_rank"), W.deviation("rank").alias("sd"))
 
 
 @query(f"with {_PASS} select series_id, ingest_pos, passes, round(mean_rank, 4) as mean_rank, round(coalesce(sd, 0), 4) as sd, passes = 3 and coalesce(sd, 0) < 3 as stable from a")

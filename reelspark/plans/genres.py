@@ -215,7 +215,7 @@ def passes(spark, sf_dir, users=15):
     c, parts = with_parts(clips(spark, sf_dir, users), w.groupBy("series_id").agg(F.first("genre").alias("genre")))
     score = weighted(parts, F.when(F.col("p") != 2, F.col("__own")).otherwise(F.col("__plain")))
     r = W.capped_rank(c.join(w.drop("genre"), "series_id").withColumn("score", score), ["series_id", "p"], "ep", [F.desc("score"), "ingest_pos"], 2, 30)
-    return r.groupBy("series_id", "ingest_pos").agg(F.count("*").alias("appearances"), F.avg("rank").alias("mean_rank"), F.coalesce(F.stddev_samp("rank"), F.lit(0.0)).alias("sd"), F.max("rank").alias("worst"))
+    return r.groupBy("series_id", "ingest_pos").agg(F.count("*").alias("appearances"), F.avg("rank").alias("mean_rank"), F.coalesce(W.deviation("rank"), F.lit(0.0)).alias("sd"), F.max("rank").alias("worst"))
 
 
 @query(f"with {_PASSES} select series_id, ingest_pos, round(mean_rank, 1) as mean_rank, round(sd, 1) as sd, case when round(sd, 1) < 3 then 'high' else 'medium' end as stability from pq where appearances >= 5 and worst <= 40")

@@ -25,6 +25,13 @@ def test_band_cuts_are_exact(spark):
     assert [r[0] for r in spark.createDataFrame([(90,), (1,)], "n long").select(windows.part_of(F.col("n"), 0.7)).collect()] == [63, 0]
 
 
+def test_equal_deviations_tie(spark):
+    ranks_of = {1: (7, 9, 12), 2: (25, 28, 30), 3: (12, 7, 9), 4: (14, 19, 17), 5: (4,)}
+    df = spark.createDataFrame([(g, r) for g, rs in ranks_of.items() for r in rs], "g int, r int").repartition(3, "r")
+    sd = {r["g"]: r["sd"] for r in df.groupBy("g").agg(windows.deviation("r").alias("sd")).collect()}
+    assert sd[1] == sd[2] == sd[3] == sd[4] and round(sd[1], 4) == 2.5166 and sd[5] is None
+
+
 def test_window_dedup(spark):
     df = spark.createDataFrame([(1, 10.0, 0), (1, 12.0, 1), (1, 30.0, 2), (2, 10.0, 3)], "ep int, t double, pos int")
     once = windows.first_in_window(df, ["ep"], F.col("t"), ["pos"], 5.0)
