@@ -15,7 +15,8 @@ def episode_name(ep: Column, template: str = "{ep}.mp4") -> Column:
     number = ep.cast("string")
     out = F.lit(template)
     for mark, width in (("{ep}", 0), ("{ep02}", 2), ("{ep03}", 3)):
-        out = F.replace(out, F.lit(mark), F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number))
+        if mark in template:
+            out = F.replace(out, F.lit(mark), F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number))
     return out
 
 
@@ -27,9 +28,18 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def folders(spark: SparkSession, path: str) -> DataFrame:
     """series_id, path, name, bytes of media in parts: below series_id=<id>, a folder name=<file> with what belongs to it. Sizes and paths only."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return in_parts(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length"))
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """What folders() gives, from an inventory as stores of many small files keep one: JSON lines with path and length of each file, in any number of files."""
+    return in_parts(spark.read.schema("path string, length long").json(path))
+
+
+def in_parts(listed: DataFrame) -> DataFrame:
+    """series_id, path, name, bytes of whole media, from path and length of their parts."""
     whole = F.regexp_extract("path", r"^(.*/series_id=[^/]+/name=[^/]+)/[^/]+$", 1)
-    rows = f.select(whole.alias("path"), "length").where("path <> ''").groupBy("path").agg(F.sum("length").alias("bytes"))
+    rows = listed.select(whole.alias("path"), "length").where("path <> ''").groupBy("path").agg(F.sum("length").alias("bytes"))
     return rows.select(F.regexp_extract("path", r"/series_id=([^/]+)/name=[^/]+$", 1).alias("series_id"), "path", F.regexp_extract("path", r"/name=([^/]+)$", 1).alias("name"), "bytes")
 
 
@@ -42,8 +52,11 @@ def episodes(found: DataFrame, template: str = "{ep}.mp4", key: Sequence[str] =
     """key, ep, path, bytes: one file an episode of a key; the template's name goes before 1.mp4, 01.mp4 and 第1集.mp4, then the smaller path."""
     old = r"^(?:第)?(\d+)(?:集)?\.mp4$"
     digits = F.coalesce(F.nullif(F.regexp_extract("name", old, 1), F.lit("")), F.regexp_extract("name", r"(\d+)", 1))
-    x = found.withColumn("ep", R.number(digits, "int")).where("ep is not null")
-    named = F.col("name") == episode_name(F.col("ep"), template)
-    fit = F.when(named, 0).when(F.col("name") == episode_name(F.col("ep")), 1).when(F.col("name") == episode_name(F.col("ep"), "{ep02}.mp4"), 2).when(F.col("name") == episode_name(F.col("ep"), "第{ep}集.mp4"), 3).when(F.col("name").rlike(old), 4)
-    x = x.withColumn("__fit", fit).where("__fit is not null")
+    x = found.withColumn("ep", R.number(digits, "int"))
+
+    def fits(f):  # of a name and its episode, which are worked out once a file, though the filter below moves down to the parts
+        name, ep = f["name"], f["ep"]
+        return F.when(name == episode_name(ep, template), 0).when(name == episode_name(ep), 1).when(name == episode_name(ep, "{ep02}.mp4"), 2).when(name == episode_name(ep, "第{ep}集.mp4"), 3).when(name.rlike(old), 4)
+
+    x = x.withColumn("__fit", F.get(F.transform(F.array(F.struct("name", "ep")), fits), F.lit(0))).where("ep is not null and __fit is not null")
     return x.withColumn("__k", F.row_number().over(Window.partitionBy(*key, "ep").orderBy("__fit", "path"))).where("__k = 1").select(*key, "ep", "path", "bytes")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reelspark.operators import intervals as I
 from reelspark.operators import ranks as K
 from reelspark.operators import windows as W
+from reelspark.plans import catalogue, series, weighting
 from reelspark.plans import parsing as P
 from reelspark.sources import annotations as N
 from reelspark.sources import label_cache as C
@@ -189,6 +190,26 @@ def test_media_are_listed_without_their_contents(spark, tmp_path):
     assert sorted(map(tuple, M.missing(wanted, e).collect())) == [("S1", 2), ("S3", 1)]
 
 
+def test_media_of_an_inventory(spark, tmp_path):
+    files = [("S1/name=1.mp4/a", 3), ("S1/name=1.mp4/b", 4), ("S1/name=01.mp4/a", 9), ("S2/name=第1集.mp4/a", 5), ("S2/name=readme.txt/a", 5), ("S2/loose.mp4", 1)]
+    (tmp_path / "list.json").write_text("\n".join(json.dumps({"path": f"s3://media/series_id={p}", "length": n}) for p, n in files), "utf-8")
+    e = M.episodes(M.inventory(spark, f"file:{tmp_path}"), key=["series_id"])
+    assert sorted((r["series_id"], r["ep"], r["bytes"]) for r in e.collect()) == [("S1", 1, 7), ("S2", 1, 5)]
+
+
+def files_below(path):
+    return [f for f in path.rglob("*") if f.is_file() and f.name.startswith("part-")]
+
+
+def test_files_do_not_grow_with_series(spark, tmp_path, monkeypatch):
+    for module in (series, weighting):
+        monkeypatch.setattr(module.A, "new_folder", lambda spark, name: f"file:{tmp_path}/{name}")
+    for name in ("media_scan", "flat_fields", "series_review_keys"):
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").count()
+    for folder in ("media", "flat-fields", "series-review"):
+        assert 0 < len(files_below(tmp_path / folder)) <= 8, folder  # 10 series of 76 episodes
+
+
 def test_marks_of_one_series_leave_the_others_alone(spark, tmp_path):
     rows = [("A", "y", 1, 4.0, "x"), ("B", "n", 1, 4.0, "x"), ("B", "Y", 2, 5.9, 'a, "b"\nc')]
     d = spark.createDataFrame(rows, "series_id string, keep string, ep int, time_s double, note string")
