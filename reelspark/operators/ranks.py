@@ -19,15 +19,20 @@ def _names(order: Sequence) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in order]
 
 
-def numbered(df: DataFrame, key: Sequence[str], order: Sequence, at: str = "place", n: str = "n", rows: int = ROWS_A_TASK) -> DataFrame:
+def largest(df: DataFrame, key: Sequence[str]) -> int:
+    """The number of rows of the largest key."""
+    return df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+
+
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence, at: str = "place", n: str = "n", rows: int = ROWS_A_TASK, largest_key: int | None = None) -> DataFrame:
     """df with each row's place in its key, from 0, in the given order, and the key's number of rows.
 
     Keys of up to rows rows are numbered by one window. Where a key has more, all rows are dealt by ranges of key and order, so a
     large key lies in many tasks, sorted and numbered within their task; prefix counts of the tasks (a row a task) make places in
     the whole of these, and the first place of each key makes places in the key. Rows equal in key and order may come either way.
+    largest_key: what largest() gives, if the caller knows it.
     """
-    largest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    if largest <= rows:
+    if (largest(df, key) if largest_key is None else largest_key) <= rows:
         w = Window.partitionBy(*key)
         return df.withColumns({at: (F.row_number().over(w.orderBy(*_names(order))) - 1).cast("long"), n: F.count("*").over(w)})
     return spread(df, key, order, at, n)
@@ -57,6 +62,6 @@ def band(at: Column, n: Column) -> Column:
     return out.cast("int")
 
 
-def banded(df: DataFrame, value: str, key: Sequence[str], tie: Sequence[str], name: str = "band", rows: int = ROWS_A_TASK) -> DataFrame:
+def banded(df: DataFrame, value: str, key: Sequence[str], tie: Sequence[str], name: str = "band", rows: int = ROWS_A_TASK, largest_key: int | None = None) -> DataFrame:
     """Bands 5 to 1 by descending rank within the key, ties in the order of tie; keys of more than rows rows are spread over tasks."""
-    return numbered(df, key, [F.desc(value), *tie], "__at", "__n", rows).withColumn(name, band(F.col("__at"), F.col("__n"))).drop("__at", "__n")
+    return numbered(df, key, [F.desc(value), *tie], "__at", "__n", rows, largest_key).withColumn(name, band(F.col("__at"), F.col("__n"))).drop("__at", "__n")

@@ -16,8 +16,9 @@ _NAMES = ["series_id", "ingest_pos", "hook_value", "promo_value"]
 
 def rebanded(df):
     """Hook and promo bands of whole series."""
-    hook = K.banded(df, "hook_value", ["series_id"], ["ingest_pos"], "hook_band")
-    return K.banded(hook, "promo_value", ["series_id"], ["ingest_pos"], "promo_band").select(*_NAMES, "hook_band", "promo_band")
+    n = K.largest(df, ["series_id"])
+    hook = K.banded(df, "hook_value", ["series_id"], ["ingest_pos"], "hook_band", largest_key=n)
+    return K.banded(hook, "promo_value", ["series_id"], ["ingest_pos"], "promo_band", largest_key=n).select(*_NAMES, "hook_band", "promo_band")
 
 
 @query(f"with {_BANDED} select series_id, ingest_pos, hook_band, promo_band from b")
@@ -25,11 +26,10 @@ def growing_bands(spark, sf_dir):
     """Bands after three batches of arriving clips and a repeated one: as if all had come at once."""
     came, to, state = (A.new_folder(spark, n) for n in ("arriving", "bands", "bands-state"))
     rows = scored(spark, sf_dir).select(*_NAMES)
-    for k in range(3):
-        rows.where(F.pmod(F.xxhash64("ingest_pos"), F.lit(3)) == k).write.parquet(f"{came}/part={k}")
     store = B.BandStore(spark, to, ["series_id"], ["ingest_pos"], rebanded)
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{came}/part=*")
-    store.follow(arriving, state).awaitTermination()
+    for k in range(3):  # what has come since the last run is one batch, in however many files, so there are as many batches at any size
+        rows.where(F.pmod(F.xxhash64("ingest_pos"), F.lit(3)) == k).write.parquet(f"{came}/part={k}")
+        store.follow(spark.readStream.schema(rows.schema).parquet(f"{came}/part=*"), state).awaitTermination()
     last = max(store._manifest().values(), default=0)
     store.apply(spark.read.parquet(f"{came}/part=2"), last + 1)  # rows that are there already
     return store.read(rebanded(rows.limit(0)).schema).select("series_id", "ingest_pos", "hook_band", "promo_band")

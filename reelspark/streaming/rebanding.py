@@ -54,18 +54,21 @@ class BandStore:
         """Take a batch in. Rows of it replace earlier ones with their ident; keys that it does not name keep their rows as they are."""
         new = self._bucketed(arrived.dropDuplicates(self.ident)).persist()
         touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most as many as there are buckets
+        kept = [new]
         if touched:
             last = self._manifest(batch)
             schema = self.rerank(arrived.limit(0)).schema
             old = self._rows(schema, {b: last[b] for b in touched if b in last})
             keys = new.select(*self.key).distinct()
             same = old.join(keys, self.key, "left_anti")
-            mixed = old.join(keys, self.key, "left_semi").select(*arrived.columns).join(new.select(*self.ident), self.ident, "left_anti").unionByName(new.select(*arrived.columns))
+            mixed = old.join(keys, self.key, "left_semi").select(*arrived.columns).join(new.select(*self.ident), self.ident, "left_anti").unionByName(new.select(*arrived.columns)).persist()  # read by what reranks it, more than once
+            kept.append(mixed)
             out = self._bucketed(self.rerank(mixed).select(*schema.names).unionByName(same.select(*schema.names)))
             # one file a bucket and batch
             out.repartition(min(len(touched), self.buckets), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
         self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch}")
-        new.unpersist()
+        for df in kept:
+            df.unpersist()
 
     def follow(self, arriving: DataFrame, checkpoint: str) -> StreamingQuery:
         """All that has arrived, batch by batch; the running query ends by itself."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelspark.operators import intervals as I
 from reelspark.operators import ranks as K
 from reelspark.operators import windows as W
-from reelspark.plans import catalogue, series, weighting
+from reelspark.plans import catalogue, incremental, series, weighting
 from reelspark.plans import parsing as P
 from reelspark.sources import annotations as N
 from reelspark.sources import label_cache as C
@@ -219,3 +219,11 @@ def test_marks_of_one_series_leave_the_others_alone(spark, tmp_path):
     marks = spark.createDataFrame([("A", "2", "1", "4.2"), ("B", "3", "1", "4")], "series_id string, label string, ep string, time_s string")
     refs = spark.createDataFrame([("A", 1, 4.0), ("B", 1, 4.0)], "series_id string, ep int, time_s double")
     assert sorted((r["series_id"], r["label"]) for r in V.labelled(marks, refs, ["series_id"]).collect()) == [("A", 2), ("B", 3)]
+
+
+def test_batches_of_growing_bands_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental.A, "new_folder", lambda spark, name: f"file:{tmp_path}/{name}")
+    monkeypatch.setattr(incremental, "scored", lambda spark, sf_dir: catalogue.scored(spark, sf_dir).repartition(4))
+    n = incremental.growing_bands(spark, "/root/testdata/sf0.001").count()
+    assert n == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert len(list((tmp_path / "bands" / "manifest").glob("batch=*"))) == 4  # three batches and the repeated one
