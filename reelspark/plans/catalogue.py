@@ -750,8 +750,8 @@ def story_profiles(spark, sf_dir):
     q = c.groupBy("series_id", "ep").agg(F.max("time_s").cast("int").alias("t"), F.max("emotion").alias("impact"))
     quote = F.struct(F.concat(F.lit("EP"), two(F.col("ep"))).alias("episode"), F.concat_ws(":", two(F.floor(F.col("t") / 60)), two(F.col("t") % 60)).alias("timestamp"), F.col("ep").cast("string").alias("text"), "impact")
     q = q.groupBy("series_id").agg(F.collect_list(quote).alias("golden_quotes"))
-    n.join(q, "series_id").select("series_id", F.to_json(F.struct("情节节点", "golden_quotes")).alias("value")).write.partitionBy("series_id").text(at)
-    p = P.read(spark, at)
+    P.write_rows(n.join(q, "series_id").select("series_id", F.to_json(F.struct("情节节点", "golden_quotes")).alias("value")), at)
+    p = P.read_rows(spark, at)
     nodes = P.nodes(p).select("series_id", F.lit("node").alias("kind"), F.col("node_pos").alias("pos"), F.col("stage").alias("name"), "ep_lo", "ep_hi")
     return nodes.unionByName(P.quotes(p).select("series_id", F.lit("quote").alias("kind"), F.col("impact").alias("pos"), F.col("text").alias("name"), F.col("ep").alias("ep_lo"), F.col("time_s").cast("int").alias("ep_hi")))
 

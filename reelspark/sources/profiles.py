@@ -22,6 +22,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("series_id").cast("string").alias("series_id"), "value")
 
 
+def write_rows(profiles: DataFrame, path: str) -> None:
+    """Profiles (series_id and value) of many series as JSON lines, in as many files as there are tasks; read_rows() gives what read() gives of folders."""
+    profiles.select("series_id", "value").write.json(path)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("series_id string, value string").json(path)
+
+
 def _listed(schema: str, *names: str) -> Column:
     """The first of the named lists that is there."""
     found = [F.from_json(F.get_json_object("value", f"$['{n}']"), schema) for n in names]

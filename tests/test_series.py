@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelspark.operators import intervals as I
 from reelspark.operators import ranks as K
 from reelspark.operators import windows as W
-from reelspark.plans import catalogue, incremental, series, weighting
+from reelspark.plans import catalogue, incremental, reviewing, series, weighting
 from reelspark.plans import parsing as P
 from reelspark.sources import annotations as N
 from reelspark.sources import label_cache as C
@@ -202,11 +202,11 @@ def files_below(path):
 
 
 def test_files_do_not_grow_with_series(spark, tmp_path, monkeypatch):
-    for module in (series, weighting):
+    for module in (series, weighting, reviewing, catalogue):
         monkeypatch.setattr(module.A, "new_folder", lambda spark, name: f"file:{tmp_path}/{name}")
-    for name in ("media_scan", "flat_fields", "series_review_keys"):
+    for name in ("media_scan", "flat_fields", "series_review_keys", "profile_people", "review_files"):
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").count()
-    for folder in ("media", "flat-fields", "series-review"):
+    for folder in ("media", "flat-fields", "series-review", "profiles", "review-data"):
         assert 0 < len(files_below(tmp_path / folder)) <= 8, folder  # 10 series of 76 episodes
 
 
