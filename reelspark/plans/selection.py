@@ -100,13 +100,15 @@ def filter_pools(spark, sf_dir):
 
 
 def pools(d):
-    w = Window.partitionBy("series_id", "mol_type")
+    # counts and places over one order, usable clips first: one sort and one pass of six rows a clip
+    o = Window.partitionBy("series_id", "mol_type").orderBy(F.desc("__4"), F.desc("molecular"), "ingest_pos")
+    w = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = d.withColumns({"molecular": S.molecular_score(), "__1": S.fits(True), "__2": S.fits(False), "__3": S.quality_fits(), "__4": F.col("usable")})
-    d = d.withColumns({f"__n{k}": F.count_if(f"__{k}").over(w) for k in range(1, 5)} | {"__old": F.avg(R.flag((F.col("audio_energy") > 1) | (F.col("speech_density") > 1))).over(w) < 0.2})
+    d = d.withColumns({f"__n{k}": F.count_if(f"__{k}").over(w) for k in range(1, 5)} | {"__old": F.avg(R.flag((F.col("audio_energy") > 1) | (F.col("speech_density") > 1))).over(w) < 0.2, "__best": F.row_number().over(o)})
     strict = (F.col("__n1") >= F.col("min_clips")) | ~(F.col("__old") & (F.col("__n2") > F.col("__n1")))
     d = d.withColumns({"__t": F.when(strict, "strict").otherwise("relaxed"), "__n0": F.when(strict, F.col("__n1")).otherwise(F.col("__n2"))})
     tier = F.when(F.col("__n0") >= F.col("min_clips"), F.col("__t")).when(F.col("mol_type") == "cinematic_beauty", F.when(F.col("__n3") > F.col("__n0"), "quality").otherwise(F.col("__t"))).when(F.col("__old") & (F.col("__n4") > F.col("__n0")), "best").otherwise(F.col("__t"))
-    d = d.withColumns({"tier": tier, "__best": F.row_number().over(Window.partitionBy("series_id", "mol_type", "__4").orderBy(F.desc("molecular"), "ingest_pos"))})
+    d = d.withColumn("tier", tier)
     inside = F.when(F.col("tier") == "strict", F.col("__1")).when(F.col("tier") == "relaxed", F.col("__2")).when(F.col("tier") == "quality", F.col("__3")).otherwise(F.col("__4") & (F.col("__best") <= F.greatest(F.col("min_clips") * 3, F.lit(20))))
     return d.where(inside).drop(*(c for c in d.columns if c.startswith("__")))
 
