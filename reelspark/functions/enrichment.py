@@ -40,14 +40,14 @@ def reject(words: Column) -> Column:
     """Ordered: a given reason stands unless the picture contradicts it; then what is said, an empty poor shot, a text card, a poor or guessed label."""
     given, quality, subtitle = F.coalesce(F.nullif("reject_reason", F.lit("")), F.lit("无")), R.clamp(F.coalesce("visual_quality", F.lit(3))), F.length(F.trim(text("subtitle_text")))
     lifted = ((given == "低质量") & (quality >= 3)) | ((given == "纯文字") & (quality >= 4) & (subtitle < 12) & (text("shot") != "空镜"))
-    said = R.first_of(words, dims.REJECT_WORDS, "")
+    said = R.first_of(words, dims.REJECT_WORDS, "", R.holds)
     return (
         F.when((given != "无") & ~lifted, given)
         .when(said != "", said)
         .when((text("shot") == "空镜") & (quality <= 2), "空镜")
-        .when((subtitle >= 12) & R.any_word(words, CARD_WORDS), "纯文字")
+        .when((subtitle >= 12) & R.holds(words, CARD_WORDS), "纯文字")
         .when((text("event_conf") == "模糊") & (quality <= 2), "模糊")
-        .when(R.any_word(text("desc_clean"), HEDGES), "推测污染")
+        .when(R.holds(F.col("desc_clean"), HEDGES), "推测污染")
         .otherwise("无")
     )
 
@@ -60,9 +60,9 @@ def decided(clips: DataFrame) -> DataFrame:
     """Clips with the decision columns beside their own; a clip's own reject_reason and event_subtype are replaced."""
     d = clips.withColumn("__blob", blob()).withColumn("reject_reason", reject(F.col("__blob")))
     bad = F.col("reject_reason") != "无"
-    d = d.withColumn("usable", ~bad).withColumn("event_subtype", R.event_subtype(F.col("__blob"), F.coalesce(F.nullif("event_subtype", F.lit("")), F.lit("无")), F.col("reject_reason")))
-    stronger = (F.col("action_direction") == "增强") & R.any_word(F.col("__blob"), dims.HIGH_ACTION)
-    clash, face = R.flag(R.any_word(F.col("__blob"), dims.HIGH_CONFLICT)), R.flag(F.col("face_quality").isin("正脸", "半面"))
+    d = d.withColumn("usable", ~bad).withColumn("event_subtype", R.event_subtype(F.col("__blob"), F.coalesce(F.nullif("event_subtype", F.lit("")), F.lit("无")), F.col("reject_reason"), R.holds))
+    stronger = (F.col("action_direction") == "增强") & R.holds(F.col("__blob"), dims.HIGH_ACTION)
+    clash, face = R.flag(R.holds(F.col("__blob"), dims.HIGH_CONFLICT)), R.flag(F.col("face_quality").isin("正脸", "半面"))
     peak, beat, quoted = F.coalesce("has_speech_peak", F.lit(False)), F.coalesce("beat_nearby", F.lit(False)), text("transcript_excerpt") != ""
     anchored = text("dialogue_anchor").isin("boundary", "dense_speech")
     hook = R.trend_base(1) + clash + R.flag(stronger) + face + R.flag(F.length(F.trim(text("subtitle_text"))) >= 4) + R.flag(peak | beat) - R.flag(bad, 4)
@@ -77,7 +77,7 @@ def decided(clips: DataFrame) -> DataFrame:
         "aesthetic_score": aesthetic, "cinematic_beauty": R.clamp(aesthetic),
         "dialogue_value": R.clamp(density + R.flag(quoted) + R.flag(anchored)), "rhythm_value": R.clamp(energy + R.flag(beat) + R.flag(peak)), "audio_hook_value": R.clamp(energy + R.flag(peak, 2) + R.flag(beat)),
         "cut_anchor": F.when(quoted & anchored, "dialogue").when(peak | beat, "impact_audio").otherwise("visual"),
-        "conflict_side": R.conflict_side(F.col("__blob")),
+        "conflict_side": R.conflict_side(F.col("__blob"), R.holds),
     })
     return timed(d.withColumn("action_level", F.col("raised_action")).drop("raised_action", "__blob").withColumn("first_role", first_role()), "first_role")
 

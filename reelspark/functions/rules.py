@@ -14,6 +14,15 @@ def any_word(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(map(re.escape, words)))
 
 
+def holds(text: Column, words: list[str]) -> Column:
+    """any_word for long texts that are columns (the text is read once a word).
+
+    An alternation is tried anew at each letter, and a stage that holds many of them gets methods beyond the 8,000 bytes that the
+    JVM compiles.
+    """
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
 def clamp(value: Column, lo: int = 1, hi: int = 5) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), value.cast("int")))
 
@@ -28,11 +37,11 @@ def falsy(value: Column, default) -> Column:
     return F.coalesce(F.nullif(value, F.lit(0)), F.lit(default))
 
 
-def first_of(text: Column, rules: list[tuple[str, list[str]]], default) -> Column:
+def first_of(text: Column, rules: list[tuple[str, list[str]]], default, test=any_word) -> Column:
     """The name of the first rule one of whose words the text holds."""
     out = F
     for name, words in rules:
-        out = out.when(any_word(text, words), F.lit(name))
+        out = out.when(test(text, words), F.lit(name))
     return out.otherwise(F.lit(default) if isinstance(default, str) else default)
 
 
@@ -72,13 +81,13 @@ def reject_reason(blob: Column, visual_quality: Column, shot: Column, given: Col
     return F.when(stands, given).otherwise(said)
 
 
-def event_subtype(blob: Column, given: Column, reason: Column) -> Column:
+def event_subtype(blob: Column, given: Column, reason: Column, test=any_word) -> Column:
     frames = reason.isin("片头", "片尾", "纯文字", "白屏", "黑屏", "空镜")
-    return F.when(given != "无", given).when(frames, reason).otherwise(first_of(blob, dims.SUBTYPE_WORDS, "无"))
+    return F.when(given != "无", given).when(frames, reason).otherwise(first_of(blob, dims.SUBTYPE_WORDS, "无", test))
 
 
-def conflict_side(blob: Column) -> Column:
-    return first_of(blob, dims.SIDE_WORDS, "无")
+def conflict_side(blob: Column, test=any_word) -> Column:
+    return first_of(blob, dims.SIDE_WORDS, "无", test)
 
 
 def cut_role(hook: Column) -> Column:

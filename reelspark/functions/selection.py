@@ -21,9 +21,15 @@ def any_of(text: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.contains(text, w))
 
 
+def texts() -> dict[str, Column]:
+    """The event text, and what character_boost() reads, as columns: rules that go through words would build them anew for each."""
+    event = F.lower(E.event_text())
+    return {"_event": E.event_text(), "_event_low": event, "_words": F.concat_ws(" ", F.lower(E.text("desc_clean")), event)}
+
+
 def narrative_boost(nodes: Column, names: Column) -> Column:
-    """Over the story's nodes (stage, ep_lo, ep_hi) that hold the episode: a peak 1, an event of conflict in it 1 more, and half a point for each name in the description where names count."""
-    clash, said = R.flag(R.any_word(E.event_text(), PEAK_EVENTS)), F.size(F.filter(names, lambda n: (F.length(n) >= 2) & F.contains(E.text("desc_clean"), n)))
+    """Of a clip with texts(), over the story's nodes (stage, ep_lo, ep_hi) that hold the episode: a peak 1, an event of conflict in it 1 more, and half a point for each name in the description where names count."""
+    clash, said = R.flag(R.holds(F.col("_event"), PEAK_EVENTS)), F.size(F.filter(names, lambda n: (F.length(n) >= 2) & F.contains(E.text("desc_clean"), n)))
 
     def points(node):
         peak = R.flag(R.any_word(node["stage"], dims.PEAKS)) * (clash + 1)
@@ -33,9 +39,8 @@ def narrative_boost(nodes: Column, names: Column) -> Column:
 
 
 def character_boost(characters: Column) -> Column:
-    """Half a point for each character (name, terms) that the clip names, one more if its event holds one of the character's terms; 4 at most."""
-    event = F.lower(E.event_text())
-    words = F.concat_ws(" ", F.lower(E.text("desc_clean")), event)
+    """Of a clip with texts(): half a point for each character (name, terms) that the clip names, one more if its event holds one of the character's terms; 4 at most."""
+    event, words = F.col("_event_low"), F.col("_words")
     points = lambda c: F.when((F.length(c["name"]) >= 2) & F.contains(words, F.lower(c["name"])), F.when(any_of(event, c["terms"]), 1.5).otherwise(0.5)).otherwise(0.0)
     return F.least(F.lit(4.0), F.aggregate(F.transform(characters, points), F.lit(0.0), lambda a, x: a + x))
 
@@ -46,18 +51,18 @@ def _held(text: Column, words: list[str]) -> Column:
 
 
 def prepared() -> dict[str, Column]:
-    """What scores and filters need of a clip whatever the template: worked out once, before clips meet templates.
+    """What scores and filters need of a clip with texts() whatever the template: worked out once, before clips meet templates.
 
     _hits and _shots: the templates' events and shots that a clip shows; _plain: its score without theirs; _fair: whether any
     template may take it; _high: whether it is of high conflict.
     """
-    text, seen = E.event_text(), F.coalesce("dialogue_visible", F.lit(False))
+    text, seen = F.col("_event"), F.coalesce("dialogue_visible", F.lit(False))
     events, shots = (sorted({w for m in dims.MOLECULES.values() for w in m[k]}) for k in (6, 7))
     base = F.col("emotion") * 12 + F.col("action_level") * 10 + F.col("visual_quality") * 8 + R.flag(F.col("face_quality").isin("正脸", "侧脸", "半面"), 10) + R.flag(seen, 8)
     base = base + F.least(F.lit(10), F.floor(F.length(E.text("subtitle_text")) / 2)) + sum((R.flag(F.contains(text, F.lit(x)), 12) for x in dims.SCORED_SUBTYPES), F.lit(0))
     lost = R.flag(~F.col("usable"), 100) + R.flag(F.col("event_conf") == "模糊", 50)
-    fair = F.col("usable") & (F.col("reject_reason") == "无") & ~((F.col("event_conf") == "模糊") & (F.col("visual_quality") <= 2)) & ~R.any_word(E.text("desc_clean"), HEDGES) & (F.length(E.text("desc_clean")) >= 30)
-    return {"_hits": _held(text, events), "_shots": _held(E.text("shot"), shots), "_plain": base - lost, "_fair": fair, "_high": high_conflict()}
+    fair = F.col("usable") & (F.col("reject_reason") == "无") & ~((F.col("event_conf") == "模糊") & (F.col("visual_quality") <= 2)) & ~F.coalesce(R.holds(F.col("desc_clean"), HEDGES), F.lit(False)) & (F.length(E.text("desc_clean")) >= 30)
+    return {"_hits": _held(text, events), "_shots": _held(E.text("shot"), shots), "_plain": base - lost, "_fair": fair, "_high": high_conflict(F.col("_event"))}
 
 
 def molecular_score() -> Column:
@@ -72,7 +77,7 @@ def molecular_score() -> Column:
         .when(kind.isin("hook_clash", "suspense_hook"), energy * 5 + R.flag(F.col("has_speech_peak"), 12) + R.flag(F.col("beat_nearby"), 8))
         .otherwise(F.when(aes > 0, aes * 15).otherwise(F.col("visual_quality") * 10) + R.flag(F.col("shot").isin("全景", "特写"), 15) + R.flag(F.col("face_quality") == "无人", 4) + F.least(F.lit(4), energy))
     )
-    return (F.col("_plain") + F.size(F.array_intersect("events", "_hits")) * 18 + own + F.when((aes > 0) & (kind != "cinematic_beauty"), aes * 5).otherwise(0)).cast("int")
+    return (F.col("_plain") + F.size(F.filter("events", lambda e: F.array_contains("_hits", e))) * 18 + own + F.when((aes > 0) & (kind != "cinematic_beauty"), aes * 5).otherwise(0)).cast("int")
 
 
 def fusion_score() -> Column:
@@ -81,13 +86,14 @@ def fusion_score() -> Column:
     return R.fusion_score() + F.col("narrative") * 0.08 + R.flag((kind == "quote_rhythm") & F.col("quoted"), 0.15) + F.when(kind == "identity_twist", F.col("characters") * 0.05).otherwise(0.0)
 
 
-def high_conflict() -> Column:
+def high_conflict(event: Column) -> Column:
     strong = (F.col("emotion") >= 5) | (F.col("action_level") >= 4)
-    return strong & R.any_word(E.event_text(), dims.CLASH) & (F.col("visual_quality") >= 3) & ~F.col("face_quality").isin("无人", "模糊") & (F.col("event_conf") != "模糊") & F.col("usable")
+    return strong & R.holds(event, dims.CLASH) & (F.col("visual_quality") >= 3) & ~F.col("face_quality").isin("无人", "模糊") & (F.col("event_conf") != "模糊") & F.col("usable")
 
 
 def fits(strict: bool) -> Column:
     """Whether a prepared() clip passes its template's filter; the relaxed one asks a level less of emotion and neither faces, events nor shots."""
+    among = lambda words, held: F.exists(words, lambda w: F.array_contains(held, w))
     beauty, quality = F.col("mol_type") == "cinematic_beauty", F.col("visual_quality")
     subtype, face = ~E.text("event_subtype").isin("", "无"), E.text("face_quality")
     least = F.col("emo_min") if strict else F.greatest(F.lit(2), F.col("emo_min") - 1)
@@ -95,7 +101,7 @@ def fits(strict: bool) -> Column:
     ok = ok & ~(beauty & (face == "模糊")) & ~(beauty & (F.trim(E.text("event")) == "") & ~subtype)
     if strict:
         ok = ok & (beauty | (~face.isin("模糊", "无人") & ~((face == "") & (F.coalesce("faces", F.lit(0)) < 1))))
-        ok = ok & ((F.size("events") == 0) | F.arrays_overlap("events", "_hits")) & ((F.size("shots") == 0) | F.arrays_overlap("shots", "_shots"))
+        ok = ok & ((F.size("events") == 0) | among("events", "_hits")) & ((F.size("shots") == 0) | among("shots", "_shots"))
     return ok
 
 

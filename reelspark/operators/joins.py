@@ -28,6 +28,17 @@ def near(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, seconds
     return left.join(r, on, "left_semi")
 
 
+def beside(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, seconds: float, name: str) -> DataFrame:
+    """left with a flag: whether a row of right of the same key lies at most seconds away.
+
+    Times of right meet per key and bucket, so left is joined once, a row to one row at most, and keeps its partitioning if they are few.
+    """
+    r = right.where(F.col(at).isNotNull()).select(*key, F.col(at).alias("__at"), F.explode(buckets(at, seconds)).alias("__b")).groupBy(*key, "__b").agg(F.collect_set("__at").alias("__at"))
+    d = left.withColumn("__b", F.floor(F.col(at) / seconds)).join(r, [*key, "__b"], "left")
+    hit = F.exists("__at", lambda t: F.abs(F.col(at) - t) <= seconds)
+    return d.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__at", "__b")
+
+
 def staged(clips: DataFrame, nodes: DataFrame) -> DataFrame:
     """The first stage whose episode range holds the clip's episode, else '未知'. nodes: a fixed handful of rows."""
     episodes = clips.select("ep").distinct()

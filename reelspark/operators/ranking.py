@@ -16,7 +16,8 @@ def by_beats(pool: DataFrame, key: Sequence[str], score: str, tie: str, top_n: C
     first, chosen or not. Then one clip each 5 s of an episode stays; places that this frees go to what was dropped, one each 3 s.
     """
     w = Window.partitionBy(*key)
-    d = pool.withColumn("__r", F.row_number().over(w.orderBy(F.desc(score), tie))).withColumn("__n", F.least(top_n, F.count("*").over(w)))
+    best = w.orderBy(F.desc(score), tie)
+    d = pool.withColumns({"__r": F.row_number().over(best), "__n": F.least(top_n, F.count("*").over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))})
     d = d.withColumn("__k", F.row_number().over(Window.partitionBy(*key, beat).orderBy("__r")))
     share = F.coalesce(F.col("beats")[F.col(beat)], F.lit(0.0))
     d = d.withColumn("__in", (share > 0) & (F.col("__k") <= F.greatest(F.lit(1), F.bround(F.col("__n") * share, 0))))

@@ -19,9 +19,9 @@ def part_of(n: Column, share: float) -> Column:
 
 def banded(df: DataFrame, value: str, key: Sequence[str], tie: Sequence[str], name: str = "band") -> DataFrame:
     """Bands 5 to 1 by descending rank within the key; ties in the order of tie; each cut is at least one row."""
-    part = Window.partitionBy(*key)
-    rank = F.row_number().over(part.orderBy(F.desc(value), *tie)) - 1
-    n = F.count("*").over(part)
+    w = Window.partitionBy(*key).orderBy(F.desc(value), *tie)
+    rank = F.row_number().over(w) - 1
+    n = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # in the same order, so that both share a pass
     band = F.lit(1)
     for b, share in zip((2, 3, 4, 5), reversed(CUTS), strict=True):
         band = F.when(rank < F.greatest(F.lit(1), part_of(n, share)), b).otherwise(band)

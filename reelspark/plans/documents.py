@@ -68,8 +68,8 @@ _COUNTED = f"""{_CUTS}, va as (select *, {selection._HIGH} as high, count(*) ove
 
 def counted(spark, sf_dir):
     """What the checks look at, one row a series and template."""
-    c = selection.cuts(spark, sf_dir).withColumns({"high": S.high_conflict(), "in_ep": F.count("*").over(Window.partitionBy(*_KEY, "ep")), "in_window": F.row_number().over(Window.partitionBy(*_KEY, "ep", F.bround(F.col("time_s") / 5, 0)).orderBy("place"))})
-    twist = F.greatest(*(F.contains(E.event_text(), F.lit(t)) for t in _TWISTS))
+    c = selection.cuts(spark, sf_dir).withColumn("_event", E.event_text()).withColumns({"high": S.high_conflict(F.col("_event")), "in_ep": F.count("*").over(Window.partitionBy(*_KEY, "ep")), "in_window": F.row_number().over(Window.partitionBy(*_KEY, "ep", F.bround(F.col("time_s") / 5, 0)).orderBy("place"))})
+    twist = F.greatest(*(F.contains("_event", F.lit(t)) for t in _TWISTS))
     n = lambda cond: F.count_if(F.expr(cond))
     return c.groupBy(*_KEY).agg(
         F.count("*").alias("n"), F.min("min_clips").alias("need"), n("visual_quality < 3").alias("low_q"), F.max("in_ep").alias("top_ep"), F.min_by("high", "place").alias("first_high"), F.count_if("high").alias("highs"), F.avg("action_level").alias("action"),
@@ -163,7 +163,8 @@ _REMAIN = f"{_CUTS}, zz as (select series_id, mol_type, ingest_pos from rl excep
 @query(f"with recursive {_REMAIN} select series_id, mol_type, count(*) as unused from zz group by series_id, mol_type")
 def unused_candidates(spark, sf_dir):
     """How many ranked clips a selection leaves over."""
-    left = selection.ranked(spark, sf_dir).select(*_KEY, "ingest_pos").join(selection.selected(spark, sf_dir).select(*_KEY, "ingest_pos"), [*_KEY, "ingest_pos"], "left_anti")
+    r = selection.kept_ranking(spark, sf_dir)
+    left = r.select(*_KEY, "ingest_pos").join(selection.selected(r).select(*_KEY, "ingest_pos"), [*_KEY, "ingest_pos"], "left_anti")
     return left.groupBy(*_KEY).agg(F.count("*").alias("unused"))
 
 

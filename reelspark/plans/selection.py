@@ -42,15 +42,15 @@ def told(spark, sf_dir):
     """Banded clips with their stage, whether a long line is near, and what the story and its characters add."""
     c = enrichment.banded(spark, sf_dir)
     quotes = A.cues(spark, sf_dir).where("chars >= 40").select(F.col("ep").cast("int").alias("ep"), F.col("start_s").alias("time_s"))
-    near = J.near(c.select("ep", "time_s", "ingest_pos"), quotes, ["ep"], "time_s", 5.0).select("ingest_pos", F.lit(True).alias("quoted"))
-    c = J.staged(c, dims.stage_nodes(spark)).join(near, "ingest_pos", "left").withColumn("quoted", F.coalesce("quoted", F.lit(False)))
     nodes = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(lo).alias("ep_lo"), F.lit(hi).alias("ep_hi")) for s, lo, hi in dims.STAGES))
+    stage = F.get(F.filter(nodes, lambda n: F.col("ep").between(n["ep_lo"], n["ep_hi"])), F.lit(0))["stage"]  # nodes are in their order
+    c = J.beside(c, quotes, ["ep"], "time_s", 5.0, "quoted").withColumns({"story_stage": F.coalesce(stage, F.lit("未知"))} | S.texts())
     people = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, ts)).alias("terms")) for n, ts in dims.CHARACTERS))
     return c.withColumns({"narrative": S.narrative_boost(nodes, F.transform(people, lambda p: p["name"])), "characters": S.character_boost(people)})
 
 
-#: What S.prepared() adds.
-_PREPARED = ["_hits", "_shots", "_plain", "_fair", "_high"]
+#: What S.texts() and S.prepared() add.
+_PREPARED = ["_event", "_event_low", "_words", "_hits", "_shots", "_plain", "_fair", "_high"]
 
 
 def fused(clips):
@@ -166,11 +166,15 @@ ORACLES["diversity_selection"] = f"""with recursive {catalogue._RANKED}, lim as
  select series_id, mol_type, cut.ingest_pos, cut.ep, cast(rank as int) as rank, pass from z join cut using (series_id, mol_type, rank)"""
 
 
-def selected(spark, sf_dir):
-    """The ranking under variety limits; where too few are left the looser limits, then those with looks and a description, then all. Adds rung and taken."""
+def kept_ranking(spark, sf_dir):
+    """The ranking, written and read back: a template's size of rows a series, and what selects from it reads it more than once."""
     at = A.new_folder(spark, "ranked")
-    ranked(spark, sf_dir).write.parquet(at)  # a template's size of rows a series; both sides of the join below read them
-    r = spark.read.parquet(at)
+    ranked(spark, sf_dir).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def selected(r):
+    """The ranking r, which is read twice, under variety limits; where too few are left the looser limits, then those with looks and a description, then all. Adds rung and taken."""
     key = ["series_id", "mol_type"]
     looks = (F.col("aesthetic_score") >= 3) & (F.length("desc_clean") > 15)
     row = W.one_row(scene="scene").withField("looks", looks)
@@ -187,7 +191,7 @@ def selected(spark, sf_dir):
 
 @query(f"with recursive {_LADDER} select series_id, mol_type, ingest_pos, rung, cast(taken as int) as taken from sel")
 def spread_selection(spark, sf_dir):
-    return selected(spark, sf_dir).select("series_id", "mol_type", "ingest_pos", "rung", "taken")
+    return selected(kept_ranking(spark, sf_dir)).select("series_id", "mol_type", "ingest_pos", "rung", "taken")
 
 
 _INDEX = "case when " + " when ".join(f"contains(story_stage, '{w}') then {k + 1}" for k, w in enumerate(dims.STAGE_WORDS)) + " when ep <= 10 then 1 when ep <= 25 then 2 when ep <= 45 then 3 when ep <= 62 then 4 when ep <= 76 then 5 else 0 end"
@@ -203,7 +207,7 @@ _ORDERED = f"""{_LADDER}, ta as (select * replace (case when ingest_pos % 9 = 0
 
 def ordered(spark, sf_dir):
     late = F.col("ingest_pos") % 9 == 0
-    s = selected(spark, sf_dir).withColumns({"ep": F.when(late, F.col("ep") + 76).otherwise(F.col("ep")), "story_stage": F.when(late, "未知").otherwise(F.col("story_stage"))})
+    s = selected(kept_ranking(spark, sf_dir)).withColumns({"ep": F.when(late, F.col("ep") + 76).otherwise(F.col("ep")), "story_stage": F.when(late, "未知").otherwise(F.col("story_stage"))})
     return K.in_story_order(s.withColumn("st", S.stage_index()), ["series_id", "mol_type"], "st", "taken")
 
 
