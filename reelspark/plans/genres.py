@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enrichment as E
 from ..functions import rules as R
+from ..functions import words as H
 from ..operators import ranks as K
 from ..operators import windows as W
 from ..sources import adapters as A
@@ -95,8 +96,9 @@ def lexicon(spark) -> DataFrame:
 
 def genre_scores(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Per key and genre: lines, lines with a strong, weak and opposing term, and score: three times the first share, the second, less twice the third; never under 0."""
-    hit = lambda ws: F.count_if(R.any_word(F.col(text), ws))
-    rows = texts.groupBy(key).agg(F.count("*").alias("lines"), *(hit(ws).alias(f"{g}_{t}") for g, v in GENRES.items() for t, ws in zip(TIERS, v[:3], strict=True)))
+    lists = [ws for v in GENRES.values() for ws in v[:3]]
+    hit = lambda k: F.count_if(F.col("__held").bitwiseAND(F.lit(1 << k)) != 0)
+    rows = texts.select(key, H.held(F.col(text), lists).alias("__held")).groupBy(key).agg(F.count("*").alias("lines"), *(hit(3 * i + k).alias(f"{g}_{t}") for i, g in enumerate(GENRES) for k, t in enumerate(TIERS)))
     one = F.array(*(F.struct(F.lit(g).alias("genre"), *(F.col(f"{g}_{t}").alias(t) for t in TIERS)) for g in GENRES))
     score = F.greatest(F.lit(0.0), (F.col("strong") * 3 + F.col("weak") - F.col("against") * 2) / F.greatest(F.lit(1), F.col("lines")))
     return rows.select(key, "lines", F.inline(one)).withColumn("score", score)

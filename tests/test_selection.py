@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions import enrichment as E
+from reelspark.functions import rules as R
 from reelspark.functions import selection as S
+from reelspark.functions import words
 from reelspark.operators import ranking as K
 from reelspark.operators import windows as W
 from reelspark.plans import dims, documents, genres, reviewing, selection
@@ -162,3 +164,20 @@ def test_times_beside(spark):
     right = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, None)], "ep int, t double")
     got = J.beside(left, right, ["ep"], "t", 5.0, "q").orderBy("id").collect()
     assert [(r["id"], r["q"]) for r in got] == [(1, True), (2, False), (3, False), (4, False), (5, False)]
+
+
+def test_words_of_lists_are_found_in_one_walk(spark):
+    lists = [["血", "伤口"], ["流血", "口"], ["ab", "b"], ["一群"]]
+    texts = ["", "血", "伤口流血", "xab", "B", "一 群", None]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("n", words.held(F.col("t"), lists))
+    holds = words.among(lists, "n")
+    got = d.orderBy("k").select("n", *(holds(None, ws) for ws in lists), *(R.holds(F.col("t"), ws) for ws in lists)).collect()
+    assert [r[0] for r in got] == [0, 1, 3, 4, 0, 0, None]
+    assert all(tuple(r)[1:5] == tuple(r)[5:] for r in got)
+    with pytest.raises(ValueError):
+        words.held(F.col("t"), [["x"]] * 64)
+
+
+def test_genres_are_counted_without_alternations(spark):
+    plan = genres.verdict(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
