@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -36,9 +36,3 @@ def held(text: Column, lists: Sequence[Sequence[str]]) -> Column:
             yield pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.int64())
 
     return found(text.cast("binary"))
-
-
-def among(lists: Sequence[Sequence[str]], column: str) -> Callable[[Column, list[str]], Column]:
-    """A test for rules, in the place of rules.holds, where the column has the text's held() of these lists."""
-    place = {tuple(ws): k for k, ws in enumerate(lists)}
-    return lambda _, words: F.col(column).bitwiseAND(F.lit(1 << place[tuple(words)])) != 0
