@@ -1,8 +1,8 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8, checked exactly.
 
 Candidates share one of BANDS keys, each made of ROWS minima of the shingles' hashes (MinHash): a pair of similarity s
-is compared with probability 1 - (1 - s^ROWS)^BANDS, 0.99992 at 0.8 and more above it. Keys that stand for the same
-texts are compared once. All pairs of a key are decided by the sets themselves; a key of more than BLOCK_BYTES of sets is
+is compared with probability 1 - (1 - s^ROWS)^BANDS, 0.99992 at 0.8 and more above it. Whoever calls can name more
+keys; simhash.py names the groups of its fingerprints. Keys that stand for the same texts are compared once. All pairs of a key are decided by the sets themselves; a key of more than BLOCK_BYTES of sets is
 split into blocks and the pairs of blocks are dealt to tasks. Within a task, pairs already linked are not compared again.
 
 Words are split at ASCII white space, A-Z lower-cased; a text under five words is one shingle of all its words. Texts of
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, seem_among
+from .common import majority, mix, seem_among
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, (4, 5), 24, 5, 42
 #: Bytes of shingle sets in one block of a key.
@@ -65,7 +65,7 @@ def row_key() -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, row (its row_key), node, n_bytes of the set and its keys."""
+    """doc_id, row (its row_key), node, n_bytes of the set, its keys and fp, the SimHash fingerprint of the set (zero for none)."""
 
     def rows(batches):
         for b in batches:
@@ -73,10 +73,11 @@ def keyed(docs: DataFrame) -> DataFrame:
                 part = b.slice(k, 512)
                 sets = [shingles(t) for t in part["text"].to_pylist()]
                 keys = [bands(s) if len(s) else [] for s in sets]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], pa.array(map(node, sets), pa.int64()), pa.array([s.nbytes for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "n_bytes", "keys"])
+                fp = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], pa.array(map(node, sets), pa.int64()), pa.array([s.nbytes for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fp.view(np.int64))], ["doc_id", "row", "node", "n_bytes", "keys", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", row_key().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, f"doc_id {kind}, row long, node long, n_bytes long, keys array<long>")
+    return docs.select("doc_id", row_key().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, f"doc_id {kind}, row long, node long, n_bytes long, keys array<long>, fp long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -118,12 +119,15 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def edges(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def edges(ids: DataFrame, docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """a, b: links whose transitive closure is that of all compared pairs that are similar. ids: the saved rows of keyed(docs).
+    more: key, node and n_bytes, further groups whose pairs are compared.
 
     Only texts that share a key with another one are read again for their sets: one row a node, found by its row_key.
     """
     binned = ids.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "n_bytes")
+    if more is not None:
+        binned = binned.unionByName(more)
     counts = binned.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("node").alias("who"), F.sum("n_bytes").alias("n_bytes")).where("n > 1")
     counts = counts.groupBy("n", "who", "n_bytes").agg(F.min("key").alias("key"))
     counts = counts.select("key", F.ceil(F.col("n_bytes") / BLOCK_BYTES).cast("int").alias("blocks"))

@@ -277,10 +277,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return ids.join(groups(ids).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
+def candidates(ids: DataFrame) -> DataFrame:
+    """key, node and n_bytes: the sets by components of their fingerprints, one row a set. ids: rows of minhash.keyed()."""
+    nodes = ids.where("node <> 0").dropDuplicates(["node"]).select("node", "n_bytes", "fp")
+    roots = saved(components(edges(nodes.select("fp").distinct())))
+    found = nodes.join(roots.withColumnRenamed("node", "of"), F.col("fp") == F.col("of"), "left")
+    return found.select(F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "fp")).alias("key"), "node", "n_bytes")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (minhash.py), all columns: the one with the smallest doc_id (null after all others)."""
+    """One document of each group of near copies, all columns: the one with the smallest doc_id (null after all others).
+
+    Candidates are what the bit-sliced comparison links by fingerprints of 5-word shingles, and what MinHash adds, as similar sets
+    may differ in more than RADIUS bits; the sets decide all of them (minhash.py).
+    """
     ids = saved(minhash.keyed(docs))
-    roots = saved(components(minhash.edges(ids, docs)))
+    roots = saved(components(minhash.edges(ids, docs, candidates(ids))))
     # rows of one node meet only after they were reduced to its smallest doc_id
     low = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
     best = low.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("best").alias("best"))

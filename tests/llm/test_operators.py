@@ -78,6 +78,20 @@ def test_near_copies_by_shingles(spark, block, monkeypatch):
     assert {r["doc_id"] for r in simhash.deduplicated(d).collect()} == set(low) and len(set(low)) < 100
 
 
+def test_fingerprints_give_the_stage_candidates(spark):
+    base = prose(7, 400)
+    texts = [base, base + " and", "one " + base, prose(8, 400), None, ""]  # the copies' fingerprints are within the radius
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = minhash.keyed(d).localCheckpoint()
+    node = {r["doc_id"]: r["node"] for r in ids.collect()}
+    keys = {r["node"]: r["key"] for r in simhash.candidates(ids).collect()}
+    assert set(keys) == {node[k] for k in range(4)} and keys[node[0]] == keys[node[1]] == keys[node[2]] != keys[node[3]]
+    without = ids.withColumn("keys", F.array().cast("array<long>"))  # no MinHash
+    links = {frozenset((r["a"], r["b"])) for r in minhash.edges(without, d, simhash.candidates(ids)).collect()}
+    assert {n for x in links for n in x} == {node[k] for k in range(3)} and len(links) == 2
+    assert minhash.edges(without, d).count() == 0
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([("q1", prose(2, 300)[:120]), ("q2", "the END"), ("q3", None), ("q4", "")], "item_id string, text string")
     for size in (decontaminate.BLOCK_BYTES, 50):  # one automaton, and many
