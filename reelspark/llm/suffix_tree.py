@@ -12,7 +12,8 @@ Nothing whole goes through the driver, one task or one group. Tasks code what th
 the slices are exchanged once, the texts never. Then the tree grows level by level: each level's sequences (context and symbol)
 are counted over all slices by sums over hashed keys (common.tally), but only where the level above has shown that the context
 occurs twice, as no other can be retained or have a longer one that is; so most longer sequences are never sent. A last round
-sums the contexts' divergences. A context's T is the count of a sequence one shorter, so no row ever stands for a whole context,
+sums the contexts' divergences: a context is a sequence that has been asked for, so its part goes, without its key, to where
+that has been counted. A context's T is the count of a sequence one shorter, so no row ever stands for a whole context,
 and no frequent word gathers its followers anywhere. A slice sends a bounded number of messages a round. Words are
 told apart by 63-bit hashes, longer sequences by hashes with SPARE bits more than the table's bytes need: one in 4 million meets
 another, at any size. Divergences are summed in whole 2**-20 parts of a nat, a slice's part being rounded.
@@ -25,6 +26,8 @@ round over the slices.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ASK, CHUNK_BYTES, FAN, ask_table, joined, mix, pack, tally, unpack
+from .common import ASK, CHUNK_BYTES, FAN, MORE, ask_table, joined, mix, more_table, pack, relayed, retally, tally, unpack
 
 #: NAT: divergences are summed in whole parts of a nat, so that their order doesn't matter.
 #: SPARE: bits of a sequence's key beyond those that tell as many keys apart as the table has bytes.
@@ -72,7 +75,7 @@ def before(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
 class Chunk:
     """A slice's positions. Level d is about sequences of d context words and a symbol; take() brings in what is known of a level."""
 
-    def __init__(self, t: pa.Table, shift: int = 1):
+    def __init__(self, t: pa.Table, shift: int = 1, depth: int = DEPTH):
         self.shift = U(shift)
         row = {n: t[n][0].as_py() for n in ("sizes", "hashes", "words")}
         self.number, self.sizes = t["chunk"][0].as_py(), unpack(row["sizes"], np.int64)
@@ -82,6 +85,12 @@ class Chunk:
         self.symbol = hashes[self.words]
         self.past, self.context = self.symbol, [np.zeros(len(self.symbol), U)]
         self.word_keys = hashes | U(1)
+        start = [U(0)]  # contexts of start symbols alone are no sequences, so they get keys beside the words
+        for _ in range(depth):
+            start.append(mix(np.array([start[-1]], U) * _STEP + START + U(1))[0])
+        self.start_keys = np.array(start[1:], U) | U(1)
+        self.depth = depth
+        self.placed: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}  # of each level asked for, its keys and, below depth, where each position's is, or -1
         self.count: list[np.ndarray] = []  # of each level, how often the sequence that ends here occurred in training
         self.docs = self.room = 0
 
@@ -115,12 +124,14 @@ class Chunk:
         n = np.bincount(at[self.train[where]], minlength=len(keys))
         if level > 1:
             return keys, n, [(level, at, where)]
-        both = np.concatenate([self.word_keys, keys])
+        both = np.concatenate([self.word_keys, self.start_keys, keys])
         up = np.argsort(both, kind="stable")
         place = np.empty(len(up), np.int64)
         place[up] = np.arange(len(up))
-        n = np.concatenate([np.bincount(self.words[self.train], minlength=len(self.word_keys)), n])
-        return both[up], n[up], [(0, place[self.words], np.arange(len(self.words))), (1, place[len(self.word_keys) + at], where)]
+        words = len(self.word_keys)
+        n = np.concatenate([np.bincount(self.words[self.train], minlength=words), np.zeros(len(self.start_keys), np.int64), n])
+        self.start_places = place[words : words + len(self.start_keys)]
+        return both[up], n[up], [(0, place[self.words], np.arange(len(self.words))), (1, place[words + len(self.start_keys) + at], where)]
 
     def take(self, level: int, replies: pa.Table) -> None:
         """The answers to asked(level)."""
@@ -128,10 +139,16 @@ class Chunk:
             distinct, tokens, self.docs = (sum(x) for x in zip(*replies["notes"].to_pylist(), strict=True))
             self.room, self.tokens = tokens + 0.5 * (distinct + 1), tokens
         seen = joined(replies, np.int64)
-        for _, at, where in self.asked(level)[2]:
+        keys, _, answers = self.asked(level)
+        for d, at, where in answers:
             count = np.zeros(len(self.symbol), np.int64)
             count[where] = seen[at]
             self.count.append(count)
+            place = None
+            if d < self.depth:
+                place = np.full(len(self.symbol), -1, np.int32)
+                place[where] = at
+            self.placed[d] = keys, place
 
     def follow(self):
         """Level by level from the root on: the level, probabilities there and above, and how often the context occurred."""
@@ -142,28 +159,37 @@ class Chunk:
             p = np.where(n > 1, (self.count[d] + SMOOTH * above) / (n + SMOOTH), above)
             yield d, p, above, n
 
-    def states(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-        """Ascending keys of all contexts that occurred twice, this chunk's part of their divergence, and of each level its positions and their contexts' places."""
-        keys, gains, where = [np.zeros(0, U)], [np.zeros(0)], []
-        for d, _, above, n in self.follow():
-            if d:
-                live = np.flatnonzero(n > 1)
-                own, at = np.unique(self.even(mix(self.contexts(d)[live] + U(d))), return_inverse=True)
-                t = self.train[live]
-                rest, count, up = SMOOTH * above[live][t], self.count[d][live][t], above[live][t]
-                gain = np.log((count - 1 + rest) / ((n[live][t] - 1 + SMOOTH) * up))
-                where.append((d, live, sum(map(len, keys)) + at))
-                keys.append(own)
-                gains.append(np.bincount(at[t], gain, len(own)))
-        every, total = np.concatenate(keys), np.concatenate(gains)
-        up = np.argsort(every, kind="stable")
-        place = np.empty(len(up), np.int64)
-        place[up] = np.arange(len(up))
-        return every[up], total[up], [(d, live, place[at]) for d, live, at in where]
+    def states(self):
+        """Level by level from 1 on: the level, the positions whose context occurred twice, and where their contexts are.
+
+        A context is the sequence that ends one position before, so it has that one's place among the keys that were asked for
+        with level - 1 (from 0 on; level 1's, if the context is a word or start symbols); places go on from level to level.
+        """
+        for d in range(1, len(self.count)):
+            live = np.flatnonzero(self.times(d) > 1)
+            at = before(self.placed[d - 1][1] + self.offset(d - 1), self.starts, self.start_places[d - 1])
+            yield d, live, at[live]
+
+    def asks(self) -> list[np.ndarray]:
+        """The keys of each round."""
+        return [self.placed[k][0] for k in range(1, max(2, len(self.count) - 1))]
+
+    def offset(self, level: int) -> int:
+        return sum(len(self.placed[k][0]) for k in range(1, level))
+
+    def divergences(self) -> list[np.ndarray]:
+        """This chunk's part of the divergence of each context that occurred twice, at its place among the keys of asks(); else zero."""
+        keys = self.asks()
+        out = np.zeros(sum(map(len, keys)))
+        for (d, _, above, n), (_, live, at) in zip(list(self.follow())[1:], self.states(), strict=True):
+            t = self.train[live]
+            rest, count, up = SMOOTH * above[live][t], self.count[d][live][t], above[live][t]
+            out += np.bincount(at[t], np.log((count - 1 + rest) / ((n[live][t] - 1 + SMOOTH) * up)), len(out))
+        return np.split(np.rint(out * NAT).astype(np.int64), np.cumsum([len(k) for k in keys])[:-1])
 
     def scores(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 of the base's and the tree's probability, and of known tokens, a document each. kept: a mark for each key of states()."""
-        places = {d: (live, at) for d, live, at in self.states()[2]}
+        """log10 of the base's and the tree's probability, and of known tokens, a document each. kept: a mark for each key of asks()."""
+        places = {d: (live, at) for d, live, at in self.states()}
         root = best = None
         for d, p, _, _ in self.follow():
             if d:
@@ -226,7 +252,7 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
     parts = coded(docs, held, slice_bytes).where(F.col("chunk").isNotNull()).repartition("chunk")
 
     def known(t: pa.Table, levels: int) -> Chunk:
-        c = Chunk(t, shift)
+        c = Chunk(t, shift, depth)
         for d in range(1, levels + 1):
             c.take(d, answers(t, d))
         return c
@@ -244,10 +270,9 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
 
         return asked
 
-    def ask_states(t: pa.Table) -> pa.Table:
+    def diverged(t: pa.Table) -> pa.Table:
         c = known(t, depth)
-        keys, gains, _ = c.states()
-        return ask_table(c.number, keys, np.rint(gains * NAT).astype(np.int64), cut, shift)
+        return more_table(c.number, c.asks(), c.divergences(), cut)
 
     def finish(t: pa.Table) -> pa.Table:
         c = known(t, depth)
@@ -261,15 +286,20 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
         word = (keys & U(1)) > 0
         return [(word & (sums > 0)).sum(), sums[word].sum(), sums[keys == END | U(1)].sum()]
 
-    def answered(asks: DataFrame, k: int, answer, notes=lambda keys, sums: []) -> DataFrame:
+    def answered(got: DataFrame, k: int) -> DataFrame:
         """The slices with the answers to round k beside them."""
-        got = tally(asks, senders, cut, ranges, shift, np.int64, answer, notes)
         return parts.join(got.groupBy(F.col("sender").alias("chunk")).agg(F.collect_list(F.struct("place", "reply", "notes")).alias(f"r{k}")), "chunk")
 
-    # one plan: slices and each round's answers are exchanged by chunk once, and all later rounds read these exchanges
+    # one plan: slices, asks and each round's answers are exchanged once, and all later rounds read these exchanges
+    rounds, hops = range(1, max(2, depth)), {}
     for level in range(1, depth + 1):
-        parts = answered(parts.groupBy("chunk").applyInArrow(ask(level), ASK), level, lambda sums: sums, *([notes] if level == 1 else []))
-    parts = answered(parts.groupBy("chunk").applyInArrow(ask_states, ASK), depth + 1, lambda sums: (sums > DIVERGE * NAT).astype(np.uint8))
+        asks = parts.groupBy("chunk").applyInArrow(ask(level), ASK)
+        hops[level] = relayed(asks, senders, cut, ranges, shift, np.int64)
+        parts = answered(tally(asks, senders, cut, ranges, shift, np.int64, lambda sums: sums, *([notes] if level == 1 else []), hops=hops[level]), level)
+    more = parts.groupBy("chunk").applyInArrow(diverged, MORE)
+    # the rounds' answers meet the slices in one join, so that the plan grows by a slice's history a round and doesn't double; a round's places follow those of the rounds before
+    states = [retally(hops[k], more, k - 1, shift, lambda sums: (sums > DIVERGE * NAT).astype(np.uint8)).withColumn("place", F.col("place") + (k - 1) * cut) for k in rounds]
+    parts = answered(reduce(DataFrame.unionByName, states), depth + 1)
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parts.groupBy("chunk").applyInArrow(finish, schema)
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 
 from reelspark.llm import common, suffix_tree
@@ -100,3 +101,26 @@ def test_tally_moves_rows_in_proportion_to_senders(spark):
 def test_packed_keys():
     keys = np.unique(np.concatenate([np.arange(0, 1 << 40, 1 << 30, dtype=np.uint64), np.array([3, 7, 2**63 + 1], np.uint64)]))
     assert np.array_equal(common.unpack_keys(common.pack_keys(keys, 8), 8), keys) and len(common.unpack_keys(common.pack_keys(keys[:0], 8), 8)) == 0
+
+
+def test_further_sums_without_keys_are_smaller_and_the_same():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64) >> np.uint64(8) << np.uint64(8))
+    values = np.random.default_rng(2).integers(-(1 << 23), 1 << 23, len(keys))
+    values[::3] = 0
+    more = common.more_table(5, [keys, keys[:0]], [values, values[:0]], 4)
+    assert np.array_equal(np.concatenate([common.unpack_sparse(m[0]) for m in more["more"].to_pylist()]), values)
+    assert all(len(common.unpack_sparse(m[1])) == 0 for m in more["more"].to_pylist())
+    asks = common.ask_table(5, keys, values, 4, 8)
+    size = lambda t, *names: sum(len(b) for n in names for b in t[n].to_pylist())
+    assert sum(len(m[0]) for m in more["more"].to_pylist()) < size(asks, "keys", "values") / 2
+
+
+@pytest.mark.parametrize("ranges", [4, 12])
+def test_retally(spark, ranges):
+    names = {s: np.unique(np.random.default_rng(s % 3).integers(0, 1 << 64, 40, dtype=np.uint64) | np.uint64(1)) for s in range(6)}
+    asks = spark.createDataFrame([r for s, k in names.items() for r in common.ask_table(s, k, np.arange(len(k)), 4, 0).to_pylist()], common.ASK)
+    more = spark.createDataFrame([r for s, k in names.items() for r in common.more_table(s, [k[:0], k], [np.zeros(0, np.int64), np.arange(len(k)) - s], 4).to_pylist()], common.MORE)
+    got = common.retally(common.relayed(asks, 6, 4, ranges, 0, np.int64), more, 1, 0, lambda sums: sums).toArrow()
+    for s, k in names.items():
+        mine = common.joined(got.filter(pc.equal(got["sender"], s)), np.int64)
+        assert np.array_equal(mine, sum(np.arange(len(k)) - x for x in names if x % 3 == s % 3))
