@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ASK, CHUNK_BYTES, FAN, MORE, ask_table, joined, mix, more_table, pack, relayed, retally, tally, unpack
+from .common import ASK, CHUNK_BYTES, FAN, MORE, ask_table, joined, mix, more_table, pack, relayed, retally, saved, tally, unpack
 
 #: NAT: divergences are summed in whole parts of a nat, so that their order doesn't matter.
 #: SPARE: bits of a sequence's key beyond those that tell as many keys apart as the table has bytes.
@@ -297,6 +297,8 @@ def score(docs: DataFrame, train_when=None, depth: int | None = None, fan: int =
         hops[level] = relayed(asks, senders, cut, ranges, shift, np.int64)
         parts = answered(tally(asks, senders, cut, ranges, shift, np.int64, lambda sums: sums, *([notes] if level == 1 else []), hops=hops[level]), level)
     more = parts.groupBy("chunk").applyInArrow(diverged, MORE)
+    if depth > DEPTH:  # a plan that held all earlier levels once more a round would be too long
+        more = saved(more)
     # the rounds' answers meet the slices in one join, so that the plan grows by a slice's history a round and doesn't double; a round's places follow those of the rounds before
     states = [retally(hops[k], more, k - 1, shift, lambda sums: (sums > DIVERGE * NAT).astype(np.uint8)).withColumn("place", F.col("place") + (k - 1) * cut) for k in rounds]
     parts = answered(reduce(DataFrame.unionByName, states), depth + 1)
